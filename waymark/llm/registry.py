@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chunks, exact, licenses, packing, topk, urls
+from waymark.llm import chunks, exact, licenses, packing, pii, quality, topk, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,18 @@ def op7_url_filter(spark, d):
 def op8_best_fit(spark, d):
     """No SQL: a tokenizer. Tested for whole pieces, room, gaps and the number of sequences."""
     return packing.pack_documents(table(spark, d, "documents"))
+
+
+@query()
+def op2_skip_chain_pii(spark, d):
+    """No SQL: a trained field. Tested against plain patterns and planted mentions."""
+    docs = table(spark, d, "documents")
+    found = pii.find(docs, pii.train(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query()
+def op10_line_crf_quality(spark, d):
+    """No SQL: a trained field. Tested by held-out accuracy."""
+    docs = table(spark, d, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, d, "labels")))
