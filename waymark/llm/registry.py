@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chunks, exact, jaccard, licenses, packing, pii, quality, topk, urls
+from waymark.llm import chunks, exact, jaccard, licenses, packing, pii, quality, repeats, topk, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -124,3 +124,9 @@ def op10_line_crf_quality(spark, d):
     """No SQL: a trained field. Tested by held-out accuracy."""
     docs = table(spark, d, "documents")
     return quality.score(docs, quality.train(docs, table(spark, d, "labels")))
+
+
+@query()
+def op9_suffix_dedup(spark, d):
+    """No SQL: all strings of all texts. Tested against brute force."""
+    return repeats.remove(table(spark, d, "documents")).drop("kept")
