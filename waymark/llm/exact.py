@@ -70,7 +70,8 @@ def drop_copies(docs: DataFrame, prefix: int = 128, id_col: str = "doc_id", text
     def same(other: DataFrame):
         return hashed[id_col].eqNullSafe(other["doc_id"]) & (hashed["_sha"] == other["text_sha256"])
 
-    out = hashed.join(dropped, same(dropped), "left_anti")
+    small = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    out = hashed.join(F.broadcast(dropped) if small else dropped, same(dropped), "left_anti")
     if repeated.isEmpty():
         return out.drop("_sha")
     once = out.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "_sha"])
