@@ -107,7 +107,7 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _settle(table: pa.Table) -> Iterator[tuple]:
+def _settle(table: pa.Table, most: int) -> Iterator[tuple]:
     """Of one bucket's requests: which stretches an earlier document has as a whole, and which have to be looked at closely."""
     groups = table.column("g").to_pylist()
     anchor = [_unpack(x) for x in table.column("anchor").to_pylist()]
@@ -132,7 +132,7 @@ def _settle(table: pa.Table) -> Iterator[tuple]:
         kinds = np.bincount(of_a[new_s])
         full = d > least_s[of_s]
         several = kinds[of_a] > 1
-        crowd = kinds[of_a] > CROWD
+        crowd = kinds[of_a] > most
         edge, partner = ~full & several & (d > least_a[of_a]), ~full & several & (d == least_a[of_a])
         code[order] = np.select([full, edge & crowd, partner & crowd, edge, partner], [FULL, CROWD_EDGE, CROWD_PARTNER, EDGE, PARTNER], 0)
     at = 0
@@ -170,7 +170,7 @@ def shared_strings(contexts: list[bytes], docs: np.ndarray, length: int) -> list
     return out
 
 
-def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, length: int = 50, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256 for every row.
 
     A byte goes if a string of `length` bytes over it also starts in a document with a smaller doc_id; strings are judged on
@@ -206,11 +206,11 @@ def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
         return pa.table([pa.array(x, t) for x, t in zip(([g] * len(b), b, a, s, d), kinds, strict=True)], ["g", "bucket", "anchor", "stretch", "docs"])
 
     def settle(table: pa.Table) -> pa.Table:
-        found = list(_settle(table))
-        g, at, code, crowd = zip(*found, strict=True) if found else ((), (), (), ())
+        found = list(_settle(table, crowd))
+        g, at, code, many = zip(*found, strict=True) if found else ((), (), (), ())
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
         bucket = [table.column("bucket")[0].as_py()] * len(g)
-        return pa.table([pa.array(x, t) for x, t in zip((g, bucket, at, code, crowd), kinds, strict=True)], ["g", "bucket", "at", "code", "crowd"])
+        return pa.table([pa.array(x, t) for x, t in zip((g, bucket, at, code, many), kinds, strict=True)], ["g", "bucket", "at", "code", "crowd"])
 
     asked = own.groupBy("g").applyInArrow(ask, "g bigint, bucket bigint, anchor binary, stretch binary, docs binary")
     codes = cut(asked.groupBy("bucket").applyInArrow(settle, "g bigint, bucket bigint, at binary, code binary, crowd boolean"))
@@ -308,4 +308,4 @@ def _crowd(sent: DataFrame, length: int) -> DataFrame:
     strings = strings.select("g", "k", "d", "at", F.xxhash64("s").alias("s1"), F.xxhash64(F.lit(7), "s").alias("s2"))
     least = strings.groupBy("s1", "s2").agg(F.min("d").alias("least"))
     hit = strings.join(least, ["s1", "s2"]).filter("least < d")
-    return hit.groupBy("g", "k").agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col("at"))).alias("bits"))
+    return hit.groupBy("g", "k").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits"))
