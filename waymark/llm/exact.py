@@ -48,8 +48,9 @@ def groups(docs: DataFrame, prefix: int = 128, all_hashes: bool = False, id_col:
     light = cut(light)
     # Equal rows are counted, not carried: a group of copies is one row for each id before it is shuffled.
     each = light.filter("_b").groupBy("_len", "text_sha256", "doc_id").agg(F.count("*").alias("_n"))
-    whole = each.groupBy("_len", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("_n").alias("group_size"))
-    joined = each.join(whole, ["_len", "text_sha256"])
+    whole = cut(each.groupBy("_len", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("_n").alias("group_size")))
+    small = whole.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = each.join(F.broadcast(whole) if small else whole, ["_len", "text_sha256"])
     order = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))
     found = joined.select("doc_id", "keep_id", "group_size", "text_sha256", order.alias("_i")).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"), "text_sha256"
