@@ -23,7 +23,8 @@ from waymark.session import cut
 
 GRAM = 24
 #: An anchor with more different stretches than this is settled string by string in Spark, so that no task gathers them.
-CROWD = 2000
+#: So many fill one suffix array.
+CROWD = 25_000
 BROADCAST_ROWS = 1_000_000
 LAST = 2**63 - 1
 _K = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -31,12 +32,12 @@ _SEGMENT = 1 << 22
 FULL, EDGE, PARTNER, CROWD_EDGE, CROWD_PARTNER = 1, 2, 3, 4, 5
 
 
-def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor in the text, and the first and last string start that it stands for."""
+def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each anchor in the text, the first and last string start that it stands for, and a hash of the stretch."""
     n = len(raw) - length + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none.astype(np.uint64)
     span = length - GRAM + 1
     view = lambda k: np.ndarray((len(raw) - GRAM + 1,), "<u8", raw, k, (1,))
     gram = words.mix(view(0) * _K[0] + words.mix(view(8) * _K[1] + view(16) * _K[2]))
@@ -55,7 +56,12 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     at = np.concatenate(place)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:], [n]]) - 1
-    return gram[at[first]], first, last
+    # Grams laid end to end from the start and back from the end cover the stretch and so tell it.
+    stretch = (last - first).astype(np.uint64)
+    for k in range(-(-(span + length) // (2 * GRAM))):
+        stretch = words.mix(stretch * _K[1] + gram[first + k * GRAM])
+        stretch = words.mix(stretch * _K[2] + gram[last + length - (k + 1) * GRAM])
+    return gram[at[first]], first, last, stretch
 
 
 class Group:
@@ -66,14 +72,13 @@ class Group:
         self.d = np.array([r[0] for r in rows], np.int64)
         self.ids = [r[1] for r in rows]
         self.raw = [r[2].encode() for r in rows]
-        parts = [(*anchors(r, length),) for r in self.raw]
+        parts = [anchors(r, length) for r in self.raw]
         self.doc = np.repeat(np.arange(len(rows)), [len(p[0]) for p in parts])
         none = [np.zeros(0, np.uint64)]
         self.anchor = np.concatenate([p[0] for p in parts] or none)
         self.first = np.concatenate([p[1] for p in parts] or none).astype(np.int64)
         self.last = np.concatenate([p[2] for p in parts] or none).astype(np.int64)
-        stretch = [words.hashes(r, p[1], p[2] + length) for r, p in zip(self.raw, parts, strict=True)]
-        self.stretch = np.concatenate(stretch or none)
+        self.stretch = np.concatenate([p[3] for p in parts] or none)
         self.bucket = (self.anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         # One of each pair, by bucket and then in order of documents; `of` leads from an occurrence to it.
         pair = words.mix(self.anchor * _K[1] + self.stretch)
@@ -233,6 +238,7 @@ def remove(docs: DataFrame, length: int = 50, crowd: int = CROWD, id_col: str =
         return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["g", "k", "anchor", "d", "crowd", "context"])
 
     sent = own.groupBy("g").cogroup(codes.groupBy("g")).applyInArrow(contexts, "g bigint, k bigint, anchor bigint, d bigint, crowd boolean, context binary")
+    sent = cut(sent)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
