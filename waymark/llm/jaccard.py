@@ -182,8 +182,8 @@ def link(sets: list[np.ndarray], alike: Similarity, group: list[int], asking: np
     return label.tolist()
 
 
-def _profile(docs: DataFrame, alike: Similarity, width: int) -> DataFrame:
-    """doc_id, n_shingles, two halves of a hash of the set, and its keys, for every row."""
+def _profile(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles and two halves of a hash of the set, for every row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +194,68 @@ def _profile(docs: DataFrame, alike: Similarity, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()),
-                        pa.array([m[1] for m in marks], pa.int64()), pa.array([alike.keys(s) for s in sets], pa.list_(pa.int64())),
+                        pa.array([m[1] for m in marks], pa.int64()),
                     ],
-                    ["doc_id", "n_shingles", "hi", "lo", "keys"],
+                    ["doc_id", "n_shingles", "hi", "lo"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, hi bigint, lo bigint, keys array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, hi bigint, lo bigint")
+
+
+def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the smallest node of each key, and edges from the key's other nodes to it, each once."""
+    order = np.lexsort((node, key))
+    fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.zeros(0, bool)
+    head = order[fresh]
+    hub = node[head][np.cumsum(fresh) - 1] if len(order) else node
+    own = node[order]
+    pairs = np.unique(np.column_stack([own[own != hub], hub[own != hub]]), axis=0)
+    return head, pairs[:, 0], pairs[:, 1]
+
+
+def _shared(docs: DataFrame, alike: Similarity, width: int, buckets: int) -> DataFrame:
+    """Edges (a, b) by which all documents with a key in common hang together.
+
+    Keys travel as packed arrays, a row for each bucket of keys. A slice of documents sends a key once, with its smallest
+    node, and ties the others to that node itself; so a key of very many documents is one entry a slice.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in arrow.slices(batch, "text", 4_000_000):
+                found = [alike.keys(s) for s in shingle_sets(arrow.texts(part, "text"), width)]
+                key = np.concatenate(found).view(np.uint64)
+                node = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), [len(f) for f in found])
+                head, a, b = _stars(key, node)
+                key, node = key[head], node[head]
+                bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                order = np.lexsort((node, bucket))
+                key, node, bucket = key[order], node[order], bucket[order]
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                rows = [
+                    (k, key[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), node[i:j].tobytes(), None)
+                    for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i
+                ]
+                if len(a):
+                    rows.append((int(a[0]) % buckets, None, a.tobytes(), b.tobytes()))
+                if rows:
+                    columns = zip(*rows, strict=True)
+                    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "keys", "nodes", "hubs"])
+
+    def tie(table: pa.Table) -> pa.Table:
+        keys, nodes, hubs = (table.column(c).to_pylist() for c in ("keys", "nodes", "hubs"))
+        raw = np.frombuffer(b"".join(k for k in keys if k is not None), np.uint8).reshape(-1, 6)
+        key = np.zeros((len(raw), 8), np.uint8)
+        key[:, :6] = raw
+        node = np.frombuffer(b"".join(n for k, n in zip(keys, nodes, strict=True) if k is not None), "<i8")
+        _, a, b = _stars(key.view("<u8").ravel(), node)
+        a = np.concatenate([a, *(np.frombuffer(n, "<i8") for k, n in zip(keys, nodes, strict=True) if k is None)])
+        b = np.concatenate([b, *(np.frombuffer(h, "<i8") for h in hubs if h is not None)])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(pack, "bucket bigint, keys binary, nodes binary, hubs binary")
+    return packed.groupBy("bucket").applyInArrow(tie, "a bigint, b bigint")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -262,14 +318,12 @@ def classes(
     """
     alike = Similarity(percent)
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(_profile(base, alike, width))
+    rows = cut(_profile(base, width))
+    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     mark = ["hi", "lo", "n_shingles"]
     real = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     first = cut(real.groupBy(*mark).agg(F.min("doc_id").alias("node")))
-    stands = real.join(first, mark).filter("doc_id = node").select("node", "keys")
-    keyed = stands.select("node", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub <> _last").select("key", "hub")
-    shared = keyed.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    shared = _shared(base, alike, width, max(8, total // 16_000_000))
     families = cut(components(shared).withColumnRenamed("component", "family"))
 
     # Where to look: members of families with the number of blocks of each family.
