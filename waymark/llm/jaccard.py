@@ -61,7 +61,7 @@ class Similarity:
         self.sizes = [1]
         while self.sizes[-1] < 2**40:
             self.sizes.append(max(self.sizes[-1] + 1, self.sizes[-1] * 108 // percent + 1))
-        self.made: dict[int, tuple[int, int]] = {}
+        self.made: dict[int, tuple[int, int, int]] = {}
 
     def need(self, total):
         """Fewest shared elements of two sets whose sizes sum to total."""
@@ -71,30 +71,32 @@ class Similarity:
         """Largest set that can be alike."""
         return 100 * size // self.percent
 
-    def deal(self, c: int) -> tuple[int, int]:
-        """For size class c, the number of groups and how many of them a set may leave out; no groups if alike means equal.
+    def deal(self, c: int) -> tuple[int, int, int]:
+        """For size class c: the number of groups, how many of them a set may leave out, and up to what size; no groups if
+        alike means equal.
 
-        The spare groups are as many as a set is likely to have with at most one element, or none if that cannot be."""
+        Groups of at most one element say little, empty ones nothing. The spare groups are as many as a set is likely to have
+        of these, or of empty ones if that would take too many, or none."""
         if c not in self.made:
             top = 2 * (self.sizes[c + 1] - 1)
             d = top * (100 - self.percent) // (100 + self.percent)  # most elements that alike sets of such sizes differ in
             least = self.percent * self.sizes[c] / 100
-            spare = 0
-            for s in range(1, 2 * d + 1) if d < 4000 else range(d // 8, 2 * d, max(1, d // 64)):
+            found = (d + 1, 0, -1) if d > 0 else (0, 0, -1)
+            for size, s in ((size, s) for size in (1, 0) for s in range(1, 2 * d + 1, max(1, d // 64))):
                 mean = least / (d + 1 + s)
-                low = (d + 1 + s) * math.exp(-mean) * (1 + mean)
+                low = (d + 1 + s) * math.exp(-mean) * (1 + mean * size)
                 if low + 3 * math.sqrt(low) <= s:
-                    spare = s
+                    found = (d + 1 + s, s, size)
                     break
-            self.made[c] = (d + 1 + spare if d > 0 else 0, spare)
+            self.made[c] = found
         return self.made[c]
 
     def keys(self, shingles: np.ndarray) -> np.ndarray:
         """One key for each group of the set that can tell it: two alike sets share one.
 
         Sizes fall into classes, and a set takes part in its own and, if a partner can lie there, the next. Sets alike
-        within a class differ in at most d elements, so of d + 1 + s groups at least s + 1 are equal in both. Groups of at
-        most one element say little; a set with no more than s of them leaves them out, and there is still one to meet on.
+        within a class differ in at most d elements, so of d + 1 + s groups at least s + 1 are equal in both. A set with no more
+        than s groups that say too little leaves them out, and there is still one to meet on.
         """
         n = len(shingles)
         if not n:
@@ -102,7 +104,7 @@ class Similarity:
         at = int(np.searchsorted(self.sizes, n, "right")) - 1
         out = []
         for c in (at, at + 1) if self.partner(n) >= self.sizes[at + 1] else (at,):
-            m, spare = self.deal(c)
+            m, spare, size = self.deal(c)
             if not m:
                 continue  # only equal sets, which are one class anyway
             group = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # rises with the hash
@@ -110,8 +112,8 @@ class Similarity:
             sums = np.zeros(m, np.uint64)
             full = counts > 0
             sums[full] = np.add.reduceat(words.mix(shingles * _K[1]), (np.cumsum(counts) - counts)[full])
-            low = counts <= 1
-            keep = ~low if spare and low.sum() <= spare else np.ones(m, bool)
+            low = counts <= size
+            keep = ~low if low.sum() <= spare else np.ones(m, bool)
             tag = np.arange(m, dtype=np.uint64) * _K[2] + np.uint64((c + 1) * int(_K[0]) % 2**64) + counts.astype(np.uint64)
             out.append(words.mix(sums ^ words.mix(tag))[keep])
         return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
