@@ -76,7 +76,7 @@ class Similarity:
         alike means equal.
 
         Groups of at most one element say little, empty ones nothing. The spare groups are as many as a set is likely to have
-        of these, or of empty ones if that would take too many, or none."""
+        of these, or of empty ones if that would take too many. Sets too small for either get keys of single elements."""
         if c not in self.made:
             top = 2 * (self.sizes[c + 1] - 1)
             d = top * (100 - self.percent) // (100 + self.percent)  # most elements that alike sets of such sizes differ in
@@ -107,6 +107,10 @@ class Similarity:
             m, spare, size = self.deal(c)
             if not m:
                 continue  # only equal sets, which are one class anyway
+            if size < 0:  # of alike sets the first elements, as many as may be missing and one more, have one in common
+                first = shingles[: n - -(-self.percent * n // 100) + 1]
+                out.append(words.mix(first ^ np.uint64((c + 1) * int(_K[2]) % 2**64)))
+                continue
             group = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # rises with the hash
             counts = np.bincount(group.astype(np.int64), minlength=m)
             sums = np.zeros(m, np.uint64)
