@@ -18,7 +18,8 @@ from waymark.session import shared_dir
 
 def watch_folder(spark: SparkSession, root: str, since: str | None = None, glob: str = "*.{mp4,mov}") -> DataFrame:
     """One job row for each video file; with `since`, files older than that are left alone."""
-    seen = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(root)
+    kind = "path string, modificationTime timestamp, length bigint, content binary"
+    seen = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", glob).load(root)
     jobs = seen.select(
         scalars.video_id(F.col("path"), F.col("modificationTime")).alias("video_id"), "path", "length", "modificationTime"
     )
