@@ -1,20 +1,20 @@
-"""N-gram Jaccard join: group counts of documents as points in R-trees, over families that share a group's content.
+"""N-gram Jaccard join: group counts of documents as points in R-trees, over families that share rare shingles.
 
-A document's shingle hashes are dealt into groups. Two sets that differ in few enough shingles have a group in common,
-content and all; documents with such a group in common, directly or through others, form a family, and only there are
-links looked for. In a family, documents are points whose coordinates are counts of shingles a group; a tree of boxes
-over the points bounds the overlap of a document with all points of a box by the sum of smaller coordinates, and what
-that leaves is verified on the sets.
+Two alike sets share most of their shingles, so also one of the rarest few of each. Documents with such a rare shingle in
+common, directly or through others, form a family, and only there are links looked for. In a family, shingle hashes are
+dealt into groups and documents are points whose coordinates are counts a group; a tree of boxes over the points bounds
+the overlap of a document with all points of a box by the sum of smaller coordinates, and what that leaves is verified on
+the sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,69 +58,22 @@ class Similarity:
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.sizes = [1]
-        while self.sizes[-1] < 2**40:
-            self.sizes.append(max(self.sizes[-1] + 1, self.sizes[-1] * 108 // percent + 1))
-        self.made: dict[int, tuple[int, int, int]] = {}
 
     def need(self, total):
         """Fewest shared elements of two sets whose sizes sum to total."""
         return -(-(self.percent * total) // (100 + self.percent))
 
-    def partner(self, size: int) -> int:
-        """Largest set that can be alike."""
-        return 100 * size // self.percent
-
-    def deal(self, c: int) -> tuple[int, int, int]:
-        """For size class c: the number of groups, how many of them a set may leave out, and up to what size; no groups if
-        alike means equal.
-
-        Groups of at most one element say little, empty ones nothing. The spare groups are as many as a set is likely to have
-        of these, or of empty ones if that would take too many. Sets too small for either get keys of single elements."""
-        if c not in self.made:
-            top = 2 * (self.sizes[c + 1] - 1)
-            d = top * (100 - self.percent) // (100 + self.percent)  # most elements that alike sets of such sizes differ in
-            least = self.percent * self.sizes[c] / 100
-            found = (d + 1, 0, -1) if d > 0 else (0, 0, -1)
-            for size, s in ((size, s) for size in (1, 0) for s in range(1, 2 * d + 1, max(1, d // 64))):
-                mean = least / (d + 1 + s)
-                low = (d + 1 + s) * math.exp(-mean) * (1 + mean * size)
-                if low + 3 * math.sqrt(low) <= s:
-                    found = (d + 1 + s, s, size)
-                    break
-            self.made[c] = found
-        return self.made[c]
-
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """One key for each group of the set that can tell it: two alike sets share one.
-
-        Sizes fall into classes, and a set takes part in its own and, if a partner can lie there, the next. Sets alike
-        within a class differ in at most d elements, so of d + 1 + s groups at least s + 1 are equal in both. A set with no more
-        than s groups that say too little leaves them out, and there is still one to meet on.
-        """
-        n = len(shingles)
-        if not n:
-            return np.zeros(0, np.int64)
-        at = int(np.searchsorted(self.sizes, n, "right")) - 1
-        out = []
-        for c in (at, at + 1) if self.partner(n) >= self.sizes[at + 1] else (at,):
-            m, spare, size = self.deal(c)
-            if not m:
-                continue  # only equal sets, which are one class anyway
-            if size < 0:  # of alike sets the first elements, as many as may be missing and one more, have one in common
-                first = shingles[: n - -(-self.percent * n // 100) + 1]
-                out.append(words.mix(first ^ np.uint64((c + 1) * int(_K[2]) % 2**64)))
-                continue
-            group = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # rises with the hash
-            counts = np.bincount(group.astype(np.int64), minlength=m)
-            sums = np.zeros(m, np.uint64)
-            full = counts > 0
-            sums[full] = np.add.reduceat(words.mix(shingles * _K[1]), (np.cumsum(counts) - counts)[full])
-            low = counts <= size
-            keep = ~low if low.sum() <= spare else np.ones(m, bool)
-            tag = np.arange(m, dtype=np.uint64) * _K[2] + np.uint64((c + 1) * int(_K[0]) % 2**64) + counts.astype(np.uint64)
-            out.append(words.mix(sums ^ words.mix(tag))[keep])
-        return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
+    def least(self, size):
+        """Fewest elements that a set of that size shares with any that is alike; also the size of its smallest partner."""
+        return -(-self.percent * size // 100)
+
+    def extra(self, size):
+        """How many of the shared elements a look at the first ones is to show."""
+        return np.minimum(1 + size * (100 - self.percent) // 100, self.least(size))
+
+    def first(self, size):
+        """In any order that all sets keep to, the shared elements of two alike sets begin within so many of each, plus one."""
+        return size - self.least(size) + 1
 
 
 class RTree:
@@ -208,74 +161,187 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, hi bigint, lo bigint")
 
 
-def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the smallest node of each key, and edges from the key's other nodes to it, each once."""
-    order = np.lexsort((node, key))
-    fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.zeros(0, bool)
-    head = order[fresh]
-    hub = node[head][np.cumsum(fresh) - 1] if len(order) else node
-    own = node[order]
-    pairs = np.unique(np.column_stack([own[own != hub], hub[own != hub]]), axis=0)
-    return head, pairs[:, 0], pairs[:, 1]
+def _deal(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order by bucket, and for each bucket that has any its number and its stretch."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+    return order, [(k, i, j) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((words.mix(key) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
 
+def _bytes(table: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in table.column(column).to_pylist() if x is not None), kind)
 
-def _shared(docs: DataFrame, alike: Similarity, width: int, buckets: int) -> DataFrame:
-    """Edges (a, b) by which all documents with a key in common hang together.
 
-    Keys travel as packed arrays, a row for each bucket of keys. A slice of documents sends a key once, with its smallest
-    node, and ties the others to that node itself; so a key of very many documents is one entry a slice.
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values: the number of each one's run, and the runs' starts."""
+    fresh = np.ones(len(ordered), bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    return np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+
+
+_NOBODY = np.iinfo(np.int64).min
+
+
+def _shared_counts(docs: DataFrame, alike: Similarity, width: int, buckets: int) -> DataFrame:
+    """node, shared: how many of a document's smallest hashes another document has among its own.
+
+    The smallest hashes of alike sets, a bit more than each may be without, show `extra` of the shared ones. A slice of
+    documents sends a key once; what the slice itself shares is counted there, so a key of very many documents is one entry
+    a slice.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in arrow.slices(batch, "text", 4_000_000):
-                found = [alike.keys(s) for s in shingle_sets(arrow.texts(part, "text"), width)]
-                key = np.concatenate(found).view(np.uint64)
+                found = [s[: alike.first(len(s)) - 1 + alike.extra(len(s))] if len(s) else s for s in shingle_sets(arrow.texts(part, "text"), width)]
+                key = np.concatenate(found)
+                if not len(key):
+                    continue
                 node = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), [len(f) for f in found])
-                head, a, b = _stars(key, node)
-                key, node = key[head], node[head]
-                bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                order = np.lexsort((node, bucket))
-                key, node, bucket = key[order], node[order], bucket[order]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows = [
-                    (k, key[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), node[i:j].tobytes(), None)
-                    for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i
-                ]
-                if len(a):
-                    rows.append((int(a[0]) % buckets, None, a.tobytes(), b.tobytes()))
-                if rows:
-                    columns = zip(*rows, strict=True)
-                    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "keys", "nodes", "hubs"])
+                order = np.argsort(key, kind="stable")
+                key, node = key[order], node[order]
+                run, start = _runs(key)
+                many = np.bincount(run)[run] > 1
+                who, n = np.unique(node[many], return_counts=True)
+                key, node = key[start], np.where(many[start], _NOBODY, node[start])
+                order, parts = _deal(_bucket(key, buckets), buckets)
+                key, node = key[order], node[order]
+                rows = [(k, key[i:j].tobytes(), node[i:j].tobytes(), None) for k, i, j in parts]
+                if len(who):
+                    rows.append((int(who[0]) % buckets, None, who.tobytes(), n.astype("<i8").tobytes()))
+                yield _batch(rows, ["bucket", "keys", "nodes", "counts"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()])
+
+    def meet(table: pa.Table) -> pa.Table:
+        own = pc.is_valid(table.column("keys"))
+        sent, told = table.filter(own), table.filter(pc.invert(own))
+        key, node = _bytes(sent, "keys", "<u8"), _bytes(sent, "nodes", "<i8")
+        order = np.argsort(key, kind="stable")
+        run, _ = _runs(key[order])
+        met = node[order][np.bincount(run)[run] > 1] if len(run) else node
+        who, n = np.unique(met[met != _NOBODY], return_counts=True)
+        return pa.table({"node": np.concatenate([who, _bytes(told, "nodes", "<i8")]), "n": np.concatenate([n.astype(np.int64), _bytes(told, "counts", "<i8")])})
+
+    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(pack, "bucket bigint, keys binary, nodes binary, counts binary")
+    met = packed.groupBy("bucket").applyInArrow(meet, "node bigint, n bigint")
+    return met.groupBy("node").agg(F.sum("n").alias("shared"))
+
+
+def _slices(docs: DataFrame, width: int) -> DataFrame:
+    """Sets of (node, text) in slices: slice, nodes, sizes, shingles (packed 64-bit numbers)."""
 
-    def tie(table: pa.Table) -> pa.Table:
-        keys, nodes, hubs = (table.column(c).to_pylist() for c in ("keys", "nodes", "hubs"))
-        raw = np.frombuffer(b"".join(k for k in keys if k is not None), np.uint8).reshape(-1, 6)
-        key = np.zeros((len(raw), 8), np.uint8)
-        key[:, :6] = raw
-        node = np.frombuffer(b"".join(n for k, n in zip(keys, nodes, strict=True) if k is not None), "<i8")
-        _, a, b = _stars(key.view("<u8").ravel(), node)
-        a = np.concatenate([a, *(np.frombuffer(n, "<i8") for k, n in zip(keys, nodes, strict=True) if k is None)])
-        b = np.concatenate([b, *(np.frombuffer(h, "<i8") for h in hubs if h is not None)])
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in arrow.slices(batch, "text", 4_000_000):
+                sets = shingle_sets(arrow.texts(part, "text"), width)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                nodes = part.column("node").to_numpy(zero_copy_only=False).astype(np.int64)
+                yield _batch([(nodes.tobytes(), sizes.tobytes(), np.concatenate(sets).tobytes())], ["nodes", "sizes", "shingles"], [pa.binary()] * 3)
 
-    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(pack, "bucket bigint, keys binary, nodes binary, hubs binary")
-    return packed.groupBy("bucket").applyInArrow(tie, "a bigint, b bigint")
+    return docs.mapInArrow(run, "nodes binary, sizes binary, shingles binary").withColumn("slice", F.monotonically_increasing_id())
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """All columns but text, and the set as bytes."""
-    keep = [c for c in docs.columns if c != "text"]
+def _sets(slices: DataFrame) -> DataFrame:
+    """Slices to rows node, shingles; empty sets are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in arrow.slices(batch, "text"):
-                sets = shingle_sets(arrow.texts(part, "text"), width)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([s.tobytes() for s in sets], pa.binary())], [*keep, "shingles"])
+            for row in batch.to_pylist():
+                ends = 8 * np.cumsum(np.frombuffer(row["sizes"], "<i8"))
+                cuts = zip(np.frombuffer(row["nodes"], "<i8").tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)
+                rows = [(n, row["shingles"][i:j]) for n, i, j in cuts if j > i]
+                if rows:
+                    yield _batch(rows, ["node", "shingles"], [pa.int64(), pa.binary()])
+
+    return slices.select("nodes", "sizes", "shingles").mapInArrow(run, "node bigint, shingles binary")
+
+
+def _frequencies(slices: DataFrame, buckets: int) -> DataFrame:
+    """slice, keys, held: for every slice the shingles that more than one document has, and how many have them."""
 
-    kinds = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", shingles binary")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                key, n = np.unique(np.frombuffer(row["shingles"], "<u8"), return_counts=True)
+                order, parts = _deal(_bucket(key, buckets), buckets)
+                key, n = key[order], n[order].astype("<i4")
+                if parts:
+                    rows = [(k, row["slice"], key[i:j].tobytes(), n[i:j].tobytes()) for k, i, j in parts]
+                    yield _batch(rows, ["bucket", "slice", "keys", "held"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+    def count(table: pa.Table) -> pa.Table:
+        key, n = _bytes(table, "keys", "<u8"), _bytes(table, "held", "<i4").astype(np.int64)
+        sizes = [len(x) // 8 for x in table.column("keys").to_pylist()]
+        _, run = np.unique(key, return_inverse=True)
+        total = np.bincount(run, n).astype(np.int64)[run]
+        rows, at = [], 0
+        for where, size in zip(table.column("slice").to_pylist(), sizes, strict=True):
+            keep = total[at : at + size] > 1
+            if keep.any():
+                rows.append((where, key[at : at + size][keep].tobytes(), total[at : at + size][keep].tobytes()))
+            at += size
+        kinds = [pa.int64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["slice", "keys", "held"])
+
+    packed = slices.select("slice", "shingles").mapInArrow(pack, "bucket bigint, slice bigint, keys binary, held binary")
+    return packed.groupBy("bucket").applyInArrow(count, "slice bigint, keys binary, held binary")
+
+
+def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the smallest node of each key, and edges from the key's other nodes to it, each once."""
+    order = np.lexsort((node, key))
+    run, start = _runs(key[order])
+    own, hub = node[order], node[order][start][run]
+    pairs = np.unique(np.column_stack([own[own != hub], hub[own != hub]]), axis=0)
+    return order[start], pairs[:, 0], pairs[:, 1]
+
+
+def _rare_edges(slices: DataFrame, held: DataFrame, alike: Similarity, buckets: int) -> DataFrame:
+    """Edges (a, b) by which documents that share one of their rarest shingles hang together.
+
+    A set's shingles are ordered by how many have them; where those that nobody else has fill the first ones, the document
+    is alike to none. A slice sends a key once, with its smallest node, and ties the others to that node itself.
+    """
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, kinds = ["bucket", "keys", "nodes", "hubs"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        sizes, shingle = _bytes(left, "sizes", "<i8"), _bytes(left, "shingles", "<u8")
+        known, held = _bytes(right, "keys", "<u8"), _bytes(right, "held", "<i8")
+        rows = []
+        if len(known) and len(shingle):
+            order = np.argsort(known)
+            known, held = known[order], held[order]
+            at = np.minimum(np.searchsorted(known, shingle), len(known) - 1)
+            n = np.where(known[at] == shingle, held[at], 1)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((shingle, n, doc))
+            rank = np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc]
+            keep = order[(rank < alike.first(sizes)[doc]) & (n[order] > 1)]
+            key, node = shingle[keep], _bytes(left, "nodes", "<i8")[doc[keep]]
+            head, a, b = _stars(key, node)
+            key, node = key[head], node[head]
+            order, parts = _deal(_bucket(key, buckets), buckets)
+            key, node = key[order], node[order]
+            rows = [(k, key[i:j].tobytes(), node[i:j].tobytes(), None) for k, i, j in parts]
+            if len(a):
+                rows.append((int(a[0]) % buckets, None, a.tobytes(), b.tobytes()))
+        return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names)
+
+    def tie(table: pa.Table) -> pa.Table:
+        own = pc.is_valid(table.column("keys"))
+        sent, told = table.filter(own), table.filter(pc.invert(own))
+        _, a, b = _stars(_bytes(sent, "keys", "<u8"), _bytes(sent, "nodes", "<i8"))
+        return pa.table({"a": np.concatenate([a, _bytes(told, "nodes", "<i8")]), "b": np.concatenate([b, _bytes(told, "hubs", "<i8")])})
+
+    chosen = slices.groupBy("slice").cogroup(held.groupBy("slice")).applyInArrow(pick, "bucket bigint, keys binary, nodes binary, hubs binary")
+    return chosen.groupBy("bucket").applyInArrow(tie, "a bigint, b bigint")
 
 
 def _blocks(rows: DataFrame, keys: list[str], alike: Similarity, reps: bool = False) -> DataFrame:
@@ -329,15 +395,22 @@ def classes(
     mark = ["hi", "lo", "n_shingles"]
     real = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     first = cut(real.groupBy(*mark).agg(F.min("doc_id").alias("node")))
-    shared = _shared(base, alike, width, max(8, total // 16_000_000))
-    families = cut(components(shared).withColumnRenamed("component", "family"))
+
+    # Documents that share enough of their smallest hashes, then those of them that share one of their rarest shingles.
+    shared = _shared_counts(base, alike, width, max(8, total // 32_000_000))
+    fewest = f"({percent} * n_shingles + 99) DIV 100"  # the size of the smallest partner
+    enough = F.expr(f"shared >= least(1 + {100 - percent} * ({fewest}) DIV 100, ({percent} * ({fewest}) + 99) DIV 100)")
+    looked = cut(first.join(shared, "node").filter(enough).select("node").distinct())
+    slices = cut(_slices(base.join(_small(looked), base["doc_id"] == looked["node"]).select("node", "text"), width))
+    volume = slices.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    buckets = max(8, volume // 16_000_000)
+    families = cut(components(_rare_edges(slices, _frequencies(slices, buckets), alike, buckets)).withColumnRenamed("component", "family"))
 
     # Where to look: members of families with the number of blocks of each family.
     sized = families.join(first.groupBy("node").agg(F.sum("n_shingles").alias("n")), "node")
     blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / block).cast("bigint").alias("k"))
     members = cut(sized.join(blocks, "family").select("node", "family", "k"))
-    chosen = base.join(_small(members), base["doc_id"] == members["node"]).select("node", "family", "k", "text")
-    hold = _sets(chosen, width).filter(F.octet_length("shingles") > 0).select(
+    hold = _sets(slices).join(_small(members), "node").select(
         "family", "node", F.col("node").alias("label"), "k", F.lit(True).alias("asks"), "shingles", F.pmod(F.xxhash64("node"), "k").alias("tile")
     )
     large = not members.filter("k > 1").isEmpty()
