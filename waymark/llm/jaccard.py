@@ -397,13 +397,13 @@ def classes(
     first = cut(real.groupBy(*mark).agg(F.min("doc_id").alias("node")))
 
     # Documents that share enough of their smallest hashes, then those of them that share one of their rarest shingles.
-    shared = _shared_counts(base, alike, width, max(8, total // 32_000_000))
+    shared = _shared_counts(base, alike, width, max(8, total // 16_000_000))
     fewest = f"({percent} * n_shingles + 99) DIV 100"  # the size of the smallest partner
     enough = F.expr(f"shared >= least(1 + {100 - percent} * ({fewest}) DIV 100, ({percent} * ({fewest}) + 99) DIV 100)")
     looked = cut(first.join(shared, "node").filter(enough).select("node").distinct())
     slices = cut(_slices(base.join(_small(looked), base["doc_id"] == looked["node"]).select("node", "text"), width))
     volume = slices.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
-    buckets = max(8, volume // 16_000_000)
+    buckets = max(8, volume // 8_000_000)
     families = cut(components(_rare_edges(slices, _frequencies(slices, buckets), alike, buckets)).withColumnRenamed("component", "family"))
 
     # Where to look: members of families with the number of blocks of each family.

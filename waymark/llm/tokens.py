@@ -36,7 +36,7 @@ class Encoder:
     a special token's string or with characters beyond the stable range go to the tokenizers library itself.
     """
 
-    def __init__(self, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", entries: int = 400_000):
+    def __init__(self, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", entries: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
