@@ -375,7 +375,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def classes(
-    docs: DataFrame, percent: int = 90, width: int = 3, block: int = 300_000, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, percent: int = 90, width: int = 3, block: int = 50_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the smallest doc_id that links lead to.
 
