@@ -195,7 +195,7 @@ def _shared_counts(docs: DataFrame, alike: Similarity, width: int, buckets: int)
 
     The smallest hashes of alike sets, a bit more than each may be without, show `extra` of the shared ones. A slice of
     documents sends a key once; what the slice itself shares is counted there, so a key of very many documents is one entry
-    a slice.
+    a slice. Answers go back by slice, packed, and are summed there: one row a document, however many buckets its keys met in.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,24 +214,37 @@ def _shared_counts(docs: DataFrame, alike: Similarity, width: int, buckets: int)
                 key, node = key[start], np.where(many[start], _NOBODY, node[start])
                 order, parts = _deal(_bucket(key, buckets), buckets)
                 key, node = key[order], node[order]
-                rows = [(k, key[i:j].tobytes(), node[i:j].tobytes(), None) for k, i, j in parts]
+                # Any number does for a slice that only brings its answers together; ids that come again are summed at the end.
+                where = hash((part.column("doc_id")[0].as_py(), part.num_rows, len(key)))
+                rows = [(k, where, key[i:j].tobytes(), node[i:j].tobytes(), None) for k, i, j in parts]
                 if len(who):
-                    rows.append((int(who[0]) % buckets, None, who.tobytes(), n.astype("<i8").tobytes()))
-                yield _batch(rows, ["bucket", "keys", "nodes", "counts"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()])
+                    rows.append((int(who[0]) % buckets, where, None, who.tobytes(), n.astype("<i8").tobytes()))
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                yield _batch(rows, ["bucket", "slice", "keys", "nodes", "counts"], kinds)
 
     def meet(table: pa.Table) -> pa.Table:
         own = pc.is_valid(table.column("keys"))
         sent, told = table.filter(own), table.filter(pc.invert(own))
-        key, node = _bytes(sent, "keys", "<u8"), _bytes(sent, "nodes", "<i8")
-        order = np.argsort(key, kind="stable")
-        run, _ = _runs(key[order])
-        met = node[order][np.bincount(run)[run] > 1] if len(run) else node
-        who, n = np.unique(met[met != _NOBODY], return_counts=True)
-        return pa.table({"node": np.concatenate([who, _bytes(told, "nodes", "<i8")]), "n": np.concatenate([n.astype(np.int64), _bytes(told, "counts", "<i8")])})
+        key = _bytes(sent, "keys", "<u8")
+        _, run = np.unique(key, return_inverse=True)
+        shared = np.bincount(run)[run] > 1 if len(key) else np.zeros(0, bool)
+        rows, at = list(zip(*(told.column(c).to_pylist() for c in ("slice", "nodes", "counts")), strict=True)), 0
+        for where, raw in zip(sent.column("slice").to_pylist(), sent.column("nodes").to_pylist(), strict=True):
+            node = np.frombuffer(raw, "<i8")
+            who, n = np.unique(node[shared[at : at + len(node)] & (node != _NOBODY)], return_counts=True)
+            at += len(node)
+            if len(who):
+                rows.append((where, who.tobytes(), n.astype("<i8").tobytes()))
+        kinds = [pa.int64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["slice", "nodes", "counts"])
+
+    def total(table: pa.Table) -> pa.Table:
+        node, run = np.unique(_bytes(table, "nodes", "<i8"), return_inverse=True)
+        return pa.table({"node": node, "n": np.bincount(run, _bytes(table, "counts", "<i8"), len(node)).astype(np.int64)})
 
-    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(pack, "bucket bigint, keys binary, nodes binary, counts binary")
-    met = packed.groupBy("bucket").applyInArrow(meet, "node bigint, n bigint")
-    return met.groupBy("node").agg(F.sum("n").alias("shared"))
+    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(pack, "bucket bigint, slice bigint, keys binary, nodes binary, counts binary")
+    met = packed.groupBy("bucket").applyInArrow(meet, "slice bigint, nodes binary, counts binary")
+    return met.groupBy("slice").applyInArrow(total, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("shared"))
 
 
 def _slices(docs: DataFrame, width: int) -> DataFrame:
@@ -409,7 +422,7 @@ def classes(
     # Where to look: members of families with the number of blocks of each family.
     sized = families.join(first.groupBy("node").agg(F.sum("n_shingles").alias("n")), "node")
     blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / block).cast("bigint").alias("k"))
-    members = cut(sized.join(blocks, "family").select("node", "family", "k"))
+    members = cut(sized.join(_small(cut(blocks)), "family").select("node", "family", "k"))
     hold = _sets(slices).join(_small(members), "node").select(
         "family", "node", F.col("node").alias("label"), "k", F.lit(True).alias("asks"), "shingles", F.pmod(F.xxhash64("node"), "k").alias("tile")
     )
@@ -429,12 +442,12 @@ def _link_large(hold: DataFrame, alike: Similarity, block: int) -> DataFrame:
     own = cut(_blocks(hold, ["family", "tile"], alike, reps=True))
     edges = own.filter("shingles IS NULL").select("a", "b")
     # One document of each group of a large family, block against block.
-    split = hold.filter("k > 1").select("family", "k").distinct()
-    reps = own.filter("shingles IS NOT NULL").join(split, "family").select(
+    split = cut(hold.filter("k > 1").select("family").distinct())
+    reps = own.filter("shingles IS NOT NULL").join(_small(split), "family").select(
         "family", F.col("a").alias("node"), F.col("a").alias("label"), F.lit(True).alias("asks"), "shingles"
     )
     room = reps.groupBy("family").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * block)).cast("bigint").alias("k2"))
-    dealt = reps.join(room, "family").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(1)), "k2")).drop("k2")
+    dealt = reps.join(_small(cut(room)), "family").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(1)), "k2")).drop("k2")
     edges = cut(edges.unionByName(_blocks(dealt, ["family", "tile"], alike).select("a", "b")))
     found = components(edges)
     # What is still apart: all but the largest group of each family, against the whole family.
@@ -443,7 +456,7 @@ def _link_large(hold: DataFrame, alike: Similarity, block: int) -> DataFrame:
     groups = state.groupBy("family", "label").agg(F.sum(F.octet_length("shingles")).alias("n"))
     most = groups.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("top"))
     apart = most.filter("parts > 1").select("family", "most", F.ceil((F.col("all") - F.col("top")) / (8 * block)).cast("bigint").alias("km"))
-    left = state.join(apart, "family")
+    left = state.join(_small(cut(apart)), "family")
     minor = left.filter("label <> most").withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), "km"))
     asking = minor.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
     others = left.withColumn("asks", F.lit(False)).withColumn("j", F.col("tile")).withColumn(
