@@ -83,6 +83,8 @@ class Graph:
 
 
 WIDTH = 64
+#: Least log potential of two tied mentions having the same label: a tie by chance is taken for one in about three thousand.
+TIE = 8.0
 
 
 def _shape(token: str) -> list[int]:
@@ -183,9 +185,12 @@ def _ratios(pairs: list[tuple[int, int]]) -> np.ndarray:
 def fit(graphs: list[Graph], steps: int = 200) -> Model:
     """Piecewise training, the base patterns' labels standing for the truth: a softmax over token features, and the
     association of labels over each sort of edge. The patterns themselves are no features, so what is learned is what
-    their matches look like."""
-    features = [f for g in graphs for f in g.features]
-    labels = np.array([y for g in graphs for y in g.label], int)
+    their matches look like. A token that the patterns leave out but that a tie leads to from a match is what the field is
+    to decide, so it has no known label and takes no part."""
+    unknown = [{b for edge in g.skip for a, b in (edge, edge[::-1]) if g.label[a] and not g.label[b]} for g in graphs]
+    known = lambda kind: [(g.label[i], g.label[j]) for g, u in zip(graphs, unknown, strict=True) for i, j in getattr(g, kind) if i not in u and j not in u]
+    features = [f for g, u in zip(graphs, unknown, strict=True) for i, f in enumerate(g.features) if i not in u]
+    labels = np.array([y for g, u in zip(graphs, unknown, strict=True) for i, y in enumerate(g.label) if i not in u], int)
     n = len(LABELS)
     if not len(labels) or not labels.any():
         return Model(np.zeros((WIDTH + 1, n)), np.zeros((n, n)), np.zeros((n, n)), False)
@@ -199,11 +204,12 @@ def fit(graphs: list[Graph], steps: int = 200) -> Model:
         grad = x.T @ (y - p) / len(x) - 1e-4 * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w = w + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    chain = _ratios([(g.label[i], g.label[j]) for g in graphs for i, j in g.chain])
-    ties = [(g.label[i], g.label[j]) for g in graphs for i, j in g.skip]
+    chain = _ratios(known("chain"))
+    ties = known("skip")
     skip = _ratios(ties + [(b, a) for a, b in ties])
-    # Ties are what the method is for: agreement counts at least this much, whatever a small sample has of them.
-    skip = np.where(np.eye(n, dtype=bool), np.maximum(skip, 1.5), np.minimum(skip, 0.0))
+    # Unrelated tokens of a text hardly ever have seven digits or a name in common, so agreement of tied mentions counts at
+    # least TIE, whatever a small sample has of them; the shape of a token can still speak against it.
+    skip = np.where(np.eye(n, dtype=bool), np.maximum(skip, TIE), np.minimum(skip, 0.0))
     skip[0, 0] = min(skip[0, 0], 0.5)
     return Model(w, chain, skip)
 
