@@ -25,6 +25,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
+_SPACE = re.compile(r"\s")
+_RUN = re.compile(r"[0-9]+")
+#: What may stand between the digit groups of one number.
+_GAP = re.compile(r"[\s()./\u2010-\u2014-]{1,4}")
+_NAME = re.compile(r"[A-Za-z0-9._%+-]+")
+_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+#: Mailboxes named after a task (RFC 2142 and usual ones): as words they name no person.
+_ROLES = frozenset(
+    "abuse account accounts admin billing careers contact customer editor enquiries feedback hello help home hostmaster info jobs legal "
+    "list mail mailer-daemon marketing media news newsletter no-reply noreply office orders postmaster press privacy root sales security "
+    "service services shop staff subscribe support team test unsubscribe usenet user users uucp webmaster".split()
+)
 _EDGE = "\"'`.,;:!?()[]{}<>«»“”‘’"
 
 
@@ -73,7 +85,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Graph:
-    """Tokens of one text that hold a digit or an `@`, with what ties them. All other tokens are no entity, by definition."""
+    """Mentions of one text with what ties them: base spans, what meets a key of one, and other tokens with a digit or an `@`."""
 
     spans: list[tuple[int, int]] = field(default_factory=list)
     features: list[list[int]] = field(default_factory=list)
@@ -109,9 +121,9 @@ def _shape(token: str) -> list[int]:
 
 
 def _keys(token: str) -> set[str]:
-    """By what a token is taken for another mention of the same thing."""
+    """By what tokens that meet no base span are taken for the same thing."""
     bare = token.strip(_EDGE).lower()
-    digits = "".join(c for c in bare if c in "0123456789")
+    digits = _digits(bare)
     out = {"=" + bare} if len(bare) > 5 else set()
     if len(digits) >= 7:
         out.add("#" + digits[-7:])
@@ -120,37 +132,166 @@ def _keys(token: str) -> set[str]:
     return out
 
 
+def _digits(text: str) -> str:
+    return "".join(_RUN.findall(text))
+
+
+def _name(word: str) -> str:
+    return word.strip("._%+-").lower()
+
+
+def _base_keys(text: str, kind: int) -> set[str]:
+    """`=` and an e-mail's name, `#` and the last seven of all digits (of an e-mail's name: its digits)."""
+    name = text.partition("@")[0] if kind == 0 else ""
+    digits = _digits(name or text)
+    return ({"=" + _name(name)} if len(_name(name)) > 3 else set()) | ({"#" + digits[-7:]} if len(digits) >= 7 else set())
+
+
+def _cased(c: str) -> bool:
+    return c.lower() != c.upper()
+
+
+def _names(text: str, names: set[str]) -> Iterator[tuple[int, int, str]]:
+    """Whole words that are the name of an e-mail, with a host after it if one follows. A mailbox's role is a mention only with one."""
+    for m in _NAME.finditer(text):
+        name = _name(m.group())
+        if name not in names:
+            continue
+        start = m.start() + len(m.group()) - len(m.group().lstrip("._%+-"))
+        end, host = start + len(name), _HOST.match(text, m.end())
+        if name in _ROLES and not host:
+            continue
+        # Letters of scripts with cases would make it another word; others are written without spaces.
+        if not (m.start() and _cased(text[m.start() - 1])) and not (m.end() < len(text) and _cased(text[m.end()])):
+            yield start, host.end() if host else end, "=" + name
+
+
+def _numbers(text: str, numbers: set[str], busy: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Runs of digit groups, in one token or several, that are the end (seven digits at least) or the whole of a number of
+    `numbers`, which holds all those ends; zeros may stand before. Also single tokens that only end alike."""
+
+    def meet(groups: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+        joined = "".join(text[a:b] for a, b in groups)
+        offset = [0]
+        for a, b in groups:
+            offset.append(offset[-1] + b - a)
+        for k in range(len(groups)):
+            end = offset[k + 1]
+            if end < 7 or joined[end - 7 : end] not in numbers:
+                continue
+            first = k
+            while offset[first] > end - 7:
+                first -= 1
+            best = first if not _SPACE.search(text, groups[first][0], groups[k][1]) else None
+            i = first
+            while i >= 0 and end - offset[i] <= 24:
+                x = joined[offset[i] : end]
+                if x in numbers or x.lstrip("0") in numbers:
+                    best = i
+                i -= 1
+            if best is None:
+                continue
+            start, stop = groups[best][0], groups[k][1]
+            if start and text[start - 1] == "(" and ")" in text[start:stop]:
+                start -= 1
+            if start and text[start - 1] == "+":
+                start -= 1
+            yield start, stop, "#" + joined[end - 7 : end]
+
+    run: list[tuple[int, int]] = []
+    k = 0
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        while k < len(busy) and busy[k][1] <= a:
+            k += 1
+        taken = k < len(busy) and busy[k][0] < b
+        if run and (taken or not _GAP.fullmatch(text, run[-1][1], a)):
+            yield from meet(run)
+            run = []
+        if not taken:
+            run.append((a, b))
+    yield from meet(run)
+
+
+def _union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _apart(found: Iterable[tuple[int, int, str]], busy: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """What of `found` lies outside `busy`, from the left, of overlapping ones the first and longest."""
+    out, k, done = [], 0, 0
+    for a, b, key in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
+        while k < len(busy) and busy[k][1] <= a:
+            k += 1
+        if a >= done and not (k < len(busy) and busy[k][0] < b):
+            out.append((a, b, key))
+            done = b
+    return out
+
+
+def _mentions(text: str, spans: list[tuple[int, int, int]], busy: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, key) outside the base spans of all that meets a key of one, in order."""
+    names: set[str] = set()
+    numbers: set[str] = set()
+    for a, k, b in spans:
+        for key in _base_keys(text[a:b], k):
+            if key[0] == "=":
+                names.add(key[1:])
+            else:
+                digits = _digits(text[a:b].partition("@")[0])[-24:]
+                numbers.update(digits[i:] for i in range(len(digits) - 6))
+    found = list(_names(text, names)) if names else []
+    if numbers:
+        found += _numbers(text, numbers, busy)
+    return _apart(found, busy)
+
+
 def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph:
     g = Graph()
     if not _HINT.search(text):
         return g
-    seen: dict[str, int] = {}
-    k, done, previous_end = 0, 0, -2
+    busy = _union((a, b) for a, _, b in spans)
+    nodes = [(a, b, k + 1, _base_keys(text[a:b], k)) for a, k, b in spans]
+    if spans:
+        met = _mentions(text, spans, busy)
+        nodes += [(a, b, 0, {key}) for a, b, key in met]
+        busy = _union([*busy, *((a, b) for a, b, _ in met)])
+    k, done = 0, 0
     hit = _HINT.search(text)
     while hit:
         start = hit.start()
         while start > done and not text[start - 1].isspace():
             start -= 1
-        end = _TOKEN.match(text, start).end()
+        end = done = _TOKEN.match(text, start).end()
+        while k < len(busy) and busy[k][1] <= start:
+            k += 1
+        if not (k < len(busy) and busy[k][0] < end):
+            nodes.append((start, end, 0, None))
+        hit = _HINT.search(text, end)
+    seen: dict[str, int] = {}
+    previous_end = -3
+    for i, (start, end, label, keys) in enumerate(sorted(nodes, key=lambda x: x[:3])):
         token = text[start:end]
-        i = len(g.spans)
         left, right = len(token) - len(token.lstrip(_EDGE)), len(token.rstrip(_EDGE))
-        g.spans.append((start + left, start + right) if right > left else (start, end))
-        while k < len(spans) and spans[k][2] <= start:
-            k += 1
-        g.label.append(spans[k][1] + 1 if k < len(spans) and spans[k][0] < end else 0)
+        g.spans.append((start + left, start + right) if keys is None and right > left else (start, end))
+        g.label.append(label)
         own = _shape(token[:400])
         g.features.append(own)
         if i and start - previous_end <= 2:
             g.chain.append((i - 1, i))
             g.features[i - 1] = g.features[i - 1] + [30 + f for f in own if f < 17]
             g.features[i] = own + [47 + f for f in g.features[i - 1] if f < 17]
-        for key in _keys(token[:400]):
+        for key in _keys(token[:400]) if keys is None else keys:
             if key in seen and seen[key] != i:
                 g.skip.append((seen[key], i))
             seen[key] = i
-        previous_end = done = end
-        hit = _HINT.search(text, end)
+        previous_end = end
     g.skip = sorted(set(g.skip))
     return g
 
@@ -247,8 +388,8 @@ def propagate(g: Graph, model: Model, rounds: int = 30, damping: float = 0.3) ->
 
 
 def added_spans(text: str, spans: list[tuple[int, int, int]], model: Model, sure: float = 0.9) -> list[tuple[int, int, int]]:
-    """Spans beyond the base ones: tokens whose label the field is sure of, and that ties lead to from a base span of that kind."""
-    if not model.ready:
+    """Spans beyond the base ones: mentions whose label the field is sure of, and that ties lead to from a base span of that kind."""
+    if not model.ready or not spans:
         return []
     g = graph(text, spans)
     tied = {i for edge in g.skip for i in edge if not g.label[i]}
