@@ -34,3 +34,12 @@ def test_mentions(model, text, want):
     spans = pii.base_spans(text)
     assert spans
     assert [f"{pii.KINDS[k]} {text[a:b]}" for a, k, b in pii.added_spans(text, spans, model)] == want
+
+
+def test_long_tokens(model):
+    head = "1" + "ab," * 200
+    g = pii.graph(f"{head}x {head}y {head}x", [])
+    assert g.skip == [(0, 2)]
+    assert pii._shape(head + "12345678901234567890") == pii._shape("12345678901234567890," * 30 + "a" * 700)
+    text = f'{head}"+1 415 555 0199",{head} {head}"4155550199",{head} {head}z'
+    assert [text[a:b] for a, _, b in pii.added_spans(text, pii.base_spans(text), model)] == ["4155550199"]

@@ -101,8 +101,8 @@ TIE = 8.0
 
 def _shape(token: str) -> list[int]:
     """Positions of the features that a token has, 0..29."""
-    digits = sum(c in "0123456789" for c in token)
-    letters = sum(c.isalpha() for c in token)
+    digits = sum(map(token.count, "0123456789"))
+    letters = sum(map(str.isalpha, token))
     out = [min(digits, 8) if digits < 10 else 9 if digits < 14 else 10 if digits < 20 else 11]
     out.append(12 + min(token.count("."), 4))
     out.append(17 + min(token.count("-"), 3))
@@ -281,13 +281,13 @@ def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph:
         left, right = len(token) - len(token.lstrip(_EDGE)), len(token.rstrip(_EDGE))
         g.spans.append((start + left, start + right) if keys is None and right > left else (start, end))
         g.label.append(label)
-        own = _shape(token[:400])
+        own = _shape(token)
         g.features.append(own)
         if i and start - previous_end <= 2:
             g.chain.append((i - 1, i))
             g.features[i - 1] = g.features[i - 1] + [30 + f for f in own if f < 17]
             g.features[i] = own + [47 + f for f in g.features[i - 1] if f < 17]
-        for key in _keys(token[:400]) if keys is None else keys:
+        for key in _keys(token) if keys is None else keys:
             if key in seen and seen[key] != i:
                 g.skip.append((seen[key], i))
             seen[key] = i
