@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +50,20 @@ TEMPLATES = {
     "unlicense/notice": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved/notice": "All rights reserved.",
 }
+#: For windows only, as the SQL of the scan holds TEMPLATES: usual variants of the notices.
+VARIANTS = TEMPLATES | {
+    "apache-2.0/short": "Licensed under the Apache License 2.0",
+    "apache-2.0/title": "Apache License Version 2.0",
+    "mit/licensed": "Licensed under the MIT License.",
+    "mit/distributed": "distributed under the terms of the MIT license",
+    "gpl-3.0/short": "Licensed under the GNU GPL v3",
+    "gpl-3.0/title": "GNU General Public License v3.0",
+    "bsd/notice": "Licensed under the BSD License.",
+    "mpl-2.0/short": "Licensed under the Mozilla Public License 2.0",
+    "cc-by-4.0/title": "Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-4.0/title": "Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc-4.0/title": "Creative Commons Attribution-NonCommercial 4.0 International License",
+}
 _WORD = re.compile(rb"[a-z0-9]+")
 
 
@@ -119,6 +135,97 @@ def scan(
     return hits.withColumn("dice", 2.0 * F.col("shared") / F.col("total"))
 
 
+class Windows:
+    """Finds stretches of words, wherever they begin and end, whose bigrams are like a template's.
+
+    A stretch has at most (2-t)/t times as many bigrams as the template. At its ends stand bigrams of the template, since
+    leaving others out there never makes it less alike; and it has at least t/(2-t) of the template's.
+    """
+
+    def __init__(self, templates: dict[str, str], percent: int):
+        self.percent = percent
+        self.sets = {k: b for k, t in templates.items() if (b := bigrams(t.encode()))}
+        self.of: dict[bytes, list[str]] = {}
+        for k, b in self.sets.items():
+            for x in b:
+                self.of.setdefault(x, []).append(k)
+        # Most words are in no template, so pairs are joined only where both are.
+        self.first, self.second = ({x.split()[i] for x in self.of} for i in (0, 1))
+
+    def candidates(self, raw: bytes) -> Iterator[tuple[int, int, str, int, int]]:
+        """(first word, last word, template, shared, sum of sizes) of every stretch at or above the threshold."""
+        words = _WORD.findall(raw.lower())
+        places: dict[str, list[int]] = {}
+        first, second = self.first, self.second
+        for i, a in enumerate(words[:-1]):
+            if a in first and words[i + 1] in second:
+                for key in self.of.get(a + b" " + words[i + 1], ()):
+                    places.setdefault(key, []).append(i)
+        pair = lambda i: words[i] + b" " + words[i + 1]
+        for key, at in places.items():
+            own, t = self.sets[key], self.percent
+            n = len(own)
+            most, need = n * (200 - t) // t, -(-n * t // (200 - t))
+            if len(at) < need:
+                continue
+            inside: Counter = Counter()
+            end = 0
+            for k, start in enumerate(at):
+                while end < len(at) and at[end] < start + most:
+                    inside[pair(at[end])] += 1
+                    end += 1
+                if len(inside) >= need:
+                    seen: set[bytes] = set()
+                    shared, j = 0, start
+                    for stop in at[k:end]:
+                        seen.update(map(pair, range(j, stop)))
+                        x = pair(stop)
+                        shared += x not in seen
+                        seen.add(x)
+                        j = stop + 1
+                        if 200 * shared >= t * (n + len(seen)):
+                            yield start, stop + 1, key, shared, n + len(seen)
+                gone = pair(start)
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+
+    def best(self, raw: bytes) -> list[tuple[int, int, str, int, int]]:
+        """Of stretches that overlap the most alike; equal ones by more shared bigrams, then place, then name."""
+        out: list[tuple[int, int, str, int, int]] = []
+        for x in sorted(self.candidates(raw), key=lambda x: (-x[3] / x[4], -x[3], x[0], x[1], x[2])):
+            i = bisect_left(out, x[:1])
+            if (i == 0 or out[i - 1][1] < x[0]) and (i == len(out) or x[1] < out[i][0]):
+                out.insert(i, x)
+        return out
+
+
+def windows(
+    docs: DataFrame, templates: dict[str, str] | None = None, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """Stretches of words that match a template, wherever they stand in a text: doc_id, first_word, last_word, license, shared,
+    total, dice. Lines and paragraphs do not matter; stretches of one text do not overlap. Rows as in scan()."""
+    kind = dict(docs.dtypes)[id_col]
+    table = VARIANTS if templates is None else templates
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = Windows(table, percent)
+        for batch in batches:
+            for part in arrow.slices(batch, "text"):
+                rows: list[tuple] = []
+                for doc, text in zip(part.column("doc_id").to_pylist(), arrow.texts(part, "text"), strict=True):
+                    rows += ((doc, *row) for row in match.best(text.encode()))
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                types = [part.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "first_word", "last_word", "license", "shared", "total"],
+                )
+
+    schema = f"doc_id {kind}, first_word bigint, last_word bigint, license string, shared int, total int"
+    hits = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return hits.withColumn("dice", 2.0 * F.col("shared") / F.col("total"))
+
+
 def units(raw: bytes, match: Matcher) -> Iterator[tuple]:
     """(unit, first line, last line, licence, shared, total) of the matching units of one text."""
     lines = raw.split(b"\n")

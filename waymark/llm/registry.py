@@ -55,6 +55,13 @@ def op1_license_scan(spark, d):
     return licenses.per_document(docs, licenses.scan(docs))
 
 
+@query()
+def op1_license_windows(spark, d):
+    """No SQL: windows at every word. Tested against brute force."""
+    docs = table(spark, d, "documents")
+    return licenses.per_document(docs, licenses.windows(docs))
+
+
 @query()
 def op3_chunked_bpe(spark, d):
     """No SQL: a tokenizer. Tested against the library."""
