@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +32,12 @@ def watch_folder(spark: SparkSession, root: str, since: str | None = None, glob:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType, times: int = 1) -> DataFrame:
-    """A table of `folder` as a stream; `times` > 1 delivers each file that often, under other names."""
-    one = lambda: spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """A table of `folder`, one file or a folder of part files, as a stream; `times` > 1 delivers each file that often."""
+    # A stream reads folders only, so a single file is picked from its folder by its name.
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    parts = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    read = lambda: spark.readStream.schema(schema)
+    one = lambda: read().parquet(f"{folder}/{name}") if parts else read().option("pathGlobFilter", name).parquet(folder)
     out = one()
     for _ in range(times - 1):
         out = out.unionByName(one())
@@ -39,6 +48,52 @@ def blur_filter(scores: DataFrame, threshold: float = 100.0) -> DataFrame:
     return scores.filter(is_sharp(threshold))
 
 
+def ordered(batches: Iterable[pd.DataFrame], keys: list[str], most: int = 100_000) -> Iterator[pd.DataFrame]:
+    """The rows of all batches in the order of `keys`, nulls last, with about `most` rows in memory: more are merged from disk."""
+    held: list[pd.DataFrame] = []
+    starts: list[int] = []
+    piece = max(1, most // 100)
+    with tempfile.TemporaryFile() as file:
+        for rows in batches:
+            held.append(rows)
+            if sum(map(len, held)) >= most:
+                starts.append(_spill(file, pd.concat(held).sort_values(keys), piece))
+                held = []
+        if not starts:
+            if held:
+                yield pd.concat(held).sort_values(keys)
+            return
+        if held:
+            starts.append(_spill(file, pd.concat(held).sort_values(keys), piece))
+            columns = held[0].columns
+            held = []
+        else:
+            columns = rows.columns
+        at = [columns.get_loc(k) for k in keys]
+        merged = heapq.merge(*(_rows(file, a) for a in starts), key=lambda r: [(True, 0) if pd.isna(r[i]) else (False, r[i]) for i in at])
+        while part := list(islice(merged, most)):
+            yield pd.DataFrame.from_records(part, columns=columns)
+
+
+def _spill(file: BinaryIO, rows: pd.DataFrame, piece: int) -> int:
+    """Write a sorted run behind all others; its place."""
+    start = file.seek(0, 2)
+    for i in range(0, len(rows), piece):
+        pickle.dump(rows.iloc[i : i + piece], file)
+    pickle.dump(None, file)
+    return start
+
+
+def _rows(file: BinaryIO, place: int) -> Iterator[tuple]:
+    while True:
+        file.seek(place)
+        rows = pickle.load(file)
+        if rows is None:
+            return
+        place = file.tell()
+        yield from rows.itertuples(index=False, name=None)
+
+
 def temporal_sample(sharp: DataFrame, source_fps: float = 1.0, target_fps: float = 5.0) -> DataFrame:
     """As the batch operator, in order of arrival: a late frame is counted when it comes, and nothing is taken back.
 
@@ -50,10 +105,11 @@ def temporal_sample(sharp: DataFrame, source_fps: float = 1.0, target_fps: float
 
     def sample(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["frame_no", "path"])
-        at = pd.RangeIndex(seen, seen + len(rows))
-        state.update((seen + len(rows),))
-        yield rows[at % step == 0][columns]
+        for rows in ordered(batches, ["frame_no", "path"]):
+            at = pd.RangeIndex(seen, seen + len(rows))
+            seen += len(rows)
+            yield rows[at % step == 0][columns]
+        state.update((seen,))
 
     return sharp.select(*columns).groupBy("video_id").applyInPandasWithState(
         sample, ", ".join(f"{c} {types[c]}" for c in columns), "seen bigint", "append", GroupStateTimeout.NoTimeout
@@ -65,12 +121,15 @@ def first_arrivals(rows: DataFrame, key: str, time: str, delay: str = "10 minute
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, and give the table it filled (for tests and bounded replays)."""
-    place = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there now, and give the table it wrote: Parquet in a fresh folder under the shared one."""
+    spark = stream.sparkSession
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # A stream that nothing comes to makes no folder.
+    spark.createDataFrame([], stream.schema).write.parquet(f"{place}/rows")
     query = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode)
-        .option("checkpointLocation", place).trigger(availableNow=True).start()
+        stream.writeStream.format("parquet").queryName(name).outputMode("append").option("path", f"{place}/rows")
+        .option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
