@@ -59,6 +59,7 @@ RANKED = """ranked AS (SELECT user_id, event_id, value, row_number() OVER (PARTI
 kept AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM ranked WHERE i % 4 = 0)"""
 SEQ = """f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq
   FROM events WHERE event_type = 'purchase')"""
+SEQ_ALL = "f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events)"
 SAMPLED_SQL = f"""WITH {RANKED} SELECT user_id AS video_id, printf('frame_%07d.jpg', event_id) AS src_path, event_id AS src_frame_no,
   CAST(event_id - 1 AS DOUBLE) AS t_sec, value AS sharpness, CAST(seq AS BIGINT) AS seq_no,
   printf('frame_%07d.jpg', seq) AS out_name FROM kept"""
@@ -229,6 +230,18 @@ def exhaustive_pairs(spark, d):
     return matching.exhaustive_pairs(numbered(spark, d))
 
 
+@query(f"WITH {SEQ_ALL} SELECT a.user_id AS video_id, a.seq AS seq_a, b.seq AS seq_b FROM f a JOIN f b ON a.user_id = b.user_id AND b.seq > a.seq AND b.seq <= a.seq + 3")
+def sequential_pairs_all(spark, d):
+    """As sequential_pairs, with every event as a frame."""
+    return matching.sequential_pairs(filtering.renumber(scores(spark, d)), OVERLAP)
+
+
+@query(f"WITH {SEQ_ALL} SELECT a.user_id AS video_id, a.seq AS seq_a, b.seq AS seq_b FROM f a JOIN f b ON a.user_id = b.user_id AND b.seq > a.seq")
+def exhaustive_pairs_all(spark, d):
+    """As exhaustive_pairs, with every event as a frame."""
+    return matching.exhaustive_pairs(filtering.renumber(scores(spark, d)))
+
+
 @query("""WITH d AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 m AS (SELECT DISTINCT label FROM d), p AS (SELECT a.label AS a, min(b.label) AS b FROM m a JOIN m b ON b.label > a.label GROUP BY 1),
 x AS (SELECT p.a, p.b, q.vec_id AS va, r.vec_id AS vb, list_distance(q.e, r.e) AS dist FROM p JOIN d q ON q.label = p.a JOIN d r ON r.label = p.b),
