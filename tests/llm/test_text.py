@@ -43,15 +43,37 @@ def test_chunked_bpe(spark, docs, texts, library):
         )
         for e in library.encode_batch([t or "" for t in [*texts, "no id", texts[5]]], add_special_tokens=False)
     )
-    for options in ({}, {"mean": 64}, {"together": True}):
-        out = chunks.digests(chunks.decode(chunks.encode(docs, **options)))
+    for options in ({}, {"mean": 64}, {"mean": 64, "chunk_bytes": 20_000, "group_bytes": 100_000}):
+        out = chunks.digests(chunks.encode(docs, decoded=True, **options))
         assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()) == want
+    out = chunks.digests(chunks.decode(chunks.encode(docs)))
+    assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()) == want
+    assert chunks.encode(docs.limit(0), decoded=True).collect() == []
+    assert chunks.decode(docs.limit(1).selectExpr("doc_id", "CAST(null AS array<int>) AS ids")).first().text is None
 
 
-def test_chunks_are_shared(texts):
-    enc = chunks.ChunkEncoder(tokens.encoder(), 256)
-    enc.encode_many([texts[5]] * 3 + [texts[6]])
-    assert enc.reused > 2 * enc.encoded
+def test_chunks_are_shared(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*[texts[5]] * 3, texts[6]])], "doc_id bigint, text string")
+    found = chunks.reuse(docs, 256).first()
+    assert found.chunks > 3 * found.distinct_chunks and found.bytes > 3 * found.distinct_bytes
+
+
+def test_joins_are_repeated_until_they_agree(texts, library):
+    """Chunk ids that do not hold near the joins: encoding goes on outwards until they do."""
+    enc = tokens.encoder()
+    rng = random.Random(1)
+    for _ in range(300):
+        raw = " ".join(rng.choice(["alpha", "beta", "don't", "x1y2", "Été", "日本"]) for _ in range(rng.randint(1, 60))).encode()
+        ends = sorted({len(raw), *(k for k in (rng.randrange(1, len(raw)) for _ in range(3)) if raw[k] & 0xC0 != 0x80)})
+        parts = [raw[a:b].decode() for a, b in zip([0, *ends], ends)]  # noqa: B905
+        ids = [np.frombuffer(x, "<u4") for x in enc.encode_many(parts)]
+        assert chunks.Joiner(enc).join([list(range(len(parts)))], ids)[0].tolist() == library.encode(raw.decode(), add_special_tokens=False).ids
+    text = "one two three four five six seven eight"
+    left, right = enc.encode_many([text[:20]])[0], enc.encode_many([text[20:]])[0]
+    spoilt = np.concatenate([np.frombuffer(left, "<u4")[:1], *(np.frombuffer(enc.whole(c), "<u4") for c in text[3:20])])  # letter by letter
+    joiner = chunks.Joiner(enc)
+    assert joiner.join([[0, 1]], [spoilt, np.frombuffer(right, "<u4")])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert joiner.repeated > 0
 
 
 def test_packing(spark, docs, texts, library):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,165 +47,237 @@ def cut_points(raw: bytes, mean: int = 1024) -> list[int]:
     return out
 
 
-class ChunkEncoder:
-    """Encodes texts from chunks, each distinct chunk once while it stays in a cache of `room` bytes."""
-
-    def __init__(self, enc: tokens.Encoder, mean: int = 1024, room: int = 48_000_000):
-        self.enc, self.mean, self.room, self.held = enc, mean, room, 0
-        self.known: dict[bytes, np.ndarray] = {}
-        self.reused = self.encoded = 0
-
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        parts: list[list[bytes]] = []
-        fresh: dict[bytes, None] = {}
-        for text in texts:
-            raw = text.encode()
-            ends = cut_points(raw, self.mean)
-            mine = [raw[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
-            parts.append(mine)
-            for c in mine:
-                if c not in self.known:
-                    fresh[c] = None
-        for c, ids in zip(fresh, self.enc.encode_many([c.decode() for c in fresh]), strict=True):
-            self.known[c] = np.frombuffer(ids, "<u4")
-            self.held += len(c) + len(ids) + 200
-        self.encoded += len(fresh)
-        self.reused += sum(map(len, parts)) - len(fresh)
-        out = self._join(parts)
-        if self.held > self.room:
-            self.known, self.held = {}, 0
-        return out
+class Joiner:
+    """Ids of whole texts from those of their chunks.
+
+    A space or newline after a byte that is printable and no space is a break between pre-tokens whatever stands around it, so
+    ids between two such breaks inside a chunk hold in the whole text too. What lies between the last break before a join of
+    chunks and the first one after it is encoded anew, together with a flank on either side, out to the next break. If the
+    flanks' new ids are those of the chunks, the join is done; if not, it is encoded again from farther out, until they agree.
+    """
 
-    def _join(self, parts: list[list[bytes]]) -> list[np.ndarray]:
-        """Concatenate chunk ids and mend each join: the stretch between the nearest breaks that hold in the chunk as in
-        the whole text is encoded anew. Where a chunk has no such break the stretch takes in the next chunk."""
-        plans, windows = [], []
-        for chunks in parts:
-            if any(s.encode() in b"".join(chunks) for s in self.enc.special):
-                plans.append([len(windows)])
-                windows.append(b"".join(chunks))
+    def __init__(self, enc: tokens.Encoder):
+        self.enc = enc
+        self.special = [s.encode() for s in enc.special]
+        self.mended = self.repeated = 0
+
+    def join(self, docs: list[list[int]], chunks: list[np.ndarray]) -> list[np.ndarray]:
+        """docs: numbers of each text's chunks in order; chunks: ids by number."""
+        out: list[np.ndarray] = []
+        raws = [self.enc.raw(c) for c in chunks]
+        todo: list[tuple] = []  # text, joins' places and its breaks
+        for k, parts in enumerate(docs):
+            ids = np.concatenate([np.empty(0, "<u4"), *(chunks[c] for c in parts)])
+            out.append(ids)
+            if len(parts) < 2:
                 continue
-            plan: list = []
-            pending = b""  # bytes whose ids have to come from a new encoding
-            for k, c in enumerate(chunks):
-                first, last = (0, len(c)) if len(chunks) == 1 else self._breaks(c, k == 0, k == len(chunks) - 1)
-                if first is None:
-                    pending += c
-                    continue
-                if pending or first:
-                    plan.append(len(windows))
-                    windows.append(pending + c[:first])
-                    pending = b""
-                if last > first:
-                    plan.append((c, first, last))
-                pending = c[last:]
-            if pending:
-                plan.append(len(windows))
-                windows.append(pending)
-            plans.append(plan)
-        mended = [np.frombuffer(x, "<u4") for x in self.enc.encode_many([w.decode() for w in windows])]
-        return [
-            np.concatenate([np.empty(0, "<u4"), *(mended[p] if isinstance(p, int) else self._inside(*p) for p in plan)]) for plan in plans
-        ]
+            raw = b"".join(raws[c] for c in parts)
+            if any(s in raw for s in self.special):
+                out[k] = np.frombuffer(self.enc.whole(raw.decode()), "<u4")
+                continue
+            ends = np.cumsum(self.enc.lengths[ids])
+            sure = self._breaks(raw)
+            sure = np.concatenate([[0], sure[np.isin(sure, ends, assume_unique=True)], [len(raw)]])
+            at = np.cumsum([len(raws[c]) for c in parts])[:-1]
+            left, right = np.searchsorted(sure, at, "left") - 1, np.searchsorted(sure, at, "right")
+            inside = right - left == 1  # else a break lies just there, and nothing can have changed
+            if inside.any():
+                todo.append((k, raw, ends, sure, [(a, a, b, b) for a, b in zip(left[inside].tolist(), right[inside].tolist(), strict=True)]))
+        reach = 1
+        while todo:
+            todo = self._round(out, todo, reach)
+            reach *= 2
+        return out
 
     @staticmethod
-    def _breaks(c: bytes, opens: bool, closes: bool) -> tuple[int | None, int]:
-        """First and last break of the chunk: a space or newline after a byte that is no white space. The break must lie
-        inside, so that what stands on either side is known."""
-
-        def seek(step: int) -> int | None:
-            at = 1 if step > 0 else len(c) - 1
-            while 0 < at < len(c):
-                if c[at] in b" \n" and 0x20 < c[at - 1] < 0x7F:
-                    return at
-                at += step
-            return None
-
-        first = 0 if opens else seek(1)
-        last = len(c) if closes else seek(-1)
-        if first is None or last is None or last < first:
-            return None, 0
-        return first, last
-
-    def _inside(self, c: bytes, first: int, last: int) -> np.ndarray:
-        """The chunk's ids between two of its breaks; both fall between ids."""
-        ids = self.known[c]
-        if first == 0 and last == len(c):
-            return ids
-        ends = np.cumsum(self.enc.lengths[ids])
-        i = int(np.searchsorted(ends, first, "right")) if first else 0
-        j = int(np.searchsorted(ends, last, "left")) + 1
-        if (first and (not i or ends[i - 1] != first)) or ends[j - 1] != last:  # no agreement: encode the stretch itself
-            return np.frombuffer(self.enc.encode_many([c[first:last].decode()])[0], "<u4")
-        return ids[i:j]
-
-
-def _kept(model: str, ranks: str, mean: int, store: dict = {}) -> ChunkEncoder:  # noqa: B006
-    """The worker's own, so that chunks are shared between its tasks."""
-    key = (model, ranks, mean)
-    if key not in store:
-        store[key] = ChunkEncoder(tokens.encoder(model, ranks), mean)
-    return store[key]
-
-
-def gather(docs: DataFrame, text_col: str = "text", sample: int = 4096) -> DataFrame:
-    """docs, dealt so that texts with the same opening stand together and so reach one cache. Large groups are split."""
-    return docs.withColumn("_k", F.xxhash64(F.substring(text_col, 1, sample))).hint("rebalance", "_k").drop("_k")
+    def _breaks(raw: bytes) -> np.ndarray:
+        buf = np.frombuffer(raw, np.uint8)
+        before = buf[:-1]
+        return np.flatnonzero(((buf[1:] == 32) | (buf[1:] == 10)) & (before > 32) & (before < 127)) + 1
+
+    def _round(self, out: list[np.ndarray], todo: list[tuple], reach: int) -> list[tuple]:
+        """Encode every window with flanks of `reach` breaks; texts with a window whose flanks differ come back, wider."""
+        windows: list[str] = []
+        for t, (k, raw, ends, sure, spans) in enumerate(todo):
+            wide: list[tuple] = []  # breaks by number: flank, window, window's end, flank's end
+            for _, a, b, _ in spans:
+                lo, hi = max(a - reach, 0), min(b + reach, len(sure) - 1)
+                if wide and lo <= wide[-1][3]:
+                    lo, a = wide[-1][:2]
+                    wide.pop()
+                wide.append((lo, a, b, hi))
+            todo[t] = (k, raw, ends, sure, wide)
+            windows += [raw[sure[lo] : sure[hi]].decode() for lo, _, _, hi in wide]
+        fresh = iter(self.enc.encode_many(windows))
+        again = []
+        for k, raw, ends, sure, wide in todo:
+            old = out[k]
+            parts, done, differ = [], 0, False
+            for lo, a, b, hi in wide:
+                new = np.frombuffer(next(fresh), "<u4")
+                i, j, m, n = (0 if x == 0 else int(np.searchsorted(ends, x)) + 1 for x in sure[[lo, a, b, hi]].tolist())
+                if len(new) < (j - i) + (n - m) or (new[: j - i] != old[i:j]).any() or (new[len(new) - (n - m) :] != old[m:n]).any():
+                    differ = not (lo == 0 and hi == len(sure) - 1)  # a window over the whole text needs no agreement
+                    i, n = (0, len(old)) if not differ else (i, n)
+                parts += [old[done:i], new]
+                done = n
+                self.mended += 1
+            if differ:
+                self.repeated += 1
+                again.append((k, raw, ends, sure, [(lo, lo, hi, hi) for lo, _, _, hi in wide]))
+            else:
+                out[k] = np.concatenate([*parts, old[done:]])
+        return again
+
+
+def _packed(values: list[np.ndarray]) -> bytes:
+    return pa.compress(np.concatenate([np.empty(0, "<u4"), *values]).astype("<u4").tobytes(), "zstd", asbytes=True)
+
+
+def _assembled(docs: DataFrame, model: str, ranks: str, mean: int, chunk_bytes: int, group_bytes: int, finish, schema: str) -> DataFrame:
+    """Encode each distinct chunk once, send its ids back to the texts that have it, and give those to `finish`.
+
+    Texts go in slices of about 4 MB. A slice sends each of its chunks once, compressed, to the bucket of the chunk's hash, where
+    equal chunks of all slices meet and are encoded once; ids go back by slice. However many texts hold a chunk, a bucket gets
+    it once a slice. So that this is bounded too, more than `group_bytes` of texts fall into groups with buckets of their own.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = 1 + total // group_bytes
+    each = max(8, total // groups // chunk_bytes)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part_no, count = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for part in arrow.slices(batch, "text", 4_000_000):
+                where = part_no << 32 | count
+                count += 1
+                known: dict[bytes, int] = {}
+                order = []
+                for text in arrow.texts(part, "text"):
+                    raw = text.encode()
+                    ends = cut_points(raw, mean)
+                    order.append([known.setdefault(raw[a:b], len(known)) for a, b in zip([0, *ends], ends)])  # noqa: B905
+                chunks = list(known)
+                bucket = np.array([zlib.crc32(c) for c in chunks], np.int64) * each >> 32
+                by = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[by], np.arange(each + 1)).tolist()
+                rows = []
+                for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if j > i:
+                        mine = [chunks[c] for c in by[i:j].tolist()]
+                        sizes = np.array([len(c) for c in mine], "<i4").tobytes()
+                        rows.append((where % groups * each + b, where, i, sizes, pa.compress(b"".join(mine), "zstd", asbytes=True)))
+                place = np.empty(len(chunks), np.int64)
+                place[by] = np.arange(len(chunks))
+                head = pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([place[x].tolist() for x in order], pa.list_(pa.int32()))], ["doc_id", "chunks"]
+                )
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, head.schema) as out:
+                    out.write_batch(head)
+                rows.append((where % groups * each + count % each, where, -1, None, sink.getvalue().to_pybytes()))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "slice", "first", "sizes", "data"])
+
+    def encode_bucket(table: pa.Table) -> pa.Table:
+        enc = tokens.encoder(model, ranks)
+        asked = []
+        known: dict[bytes, int] = {}
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("slice", "first", "sizes", "data")), strict=True))
+        for where, first, sizes, data in rows:
+            if first >= 0:
+                ends = np.cumsum(np.frombuffer(sizes, "<i4")).tolist()
+                raw = pa.decompress(data, ends[-1], "zstd", asbytes=True)
+                asked.append((where, first, [known.setdefault(raw[a:b], len(known)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]))
+        ids = [np.frombuffer(x, "<u4") for x in enc.encode_many([c.decode() for c in known])]
+        out = [(where, first, None, data) for where, first, _, data in rows if first < 0]
+        out += [(where, first, np.array([len(ids[c]) for c in mine], "<i4").tobytes(), _packed([ids[c] for c in mine])) for where, first, mine in asked]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["slice", "first", "sizes", "data"])
+
+    def assemble(table: pa.Table) -> pa.Table:
+        enc = tokens.encoder(model, ranks)
+        chunks: list[np.ndarray] = []
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("first", "sizes", "data")), strict=True), key=lambda r: r[0])
+        for _, sizes, data in rows[1:]:
+            ends = np.cumsum(np.frombuffer(sizes, "<i4"))
+            ids = np.frombuffer(pa.decompress(data, 4 * int(ends[-1]), "zstd"), "<u4")
+            chunks += np.split(ids, ends[:-1])
+        head = pa.ipc.open_stream(rows[0][2]).read_all()
+        return finish(enc, head.column("doc_id"), Joiner(enc).join(head.column("chunks").to_pylist(), chunks))
+
+    packed = docs.mapInArrow(pack, "bucket bigint, slice bigint, first int, sizes binary, data binary")
+    told = packed.groupBy("bucket").applyInArrow(encode_bucket, "slice bigint, first int, sizes binary, data binary")
+    return told.groupBy("slice").applyInArrow(assemble, schema)
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)])
+    values = np.concatenate([np.empty(0, "<u4"), *ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
 def encode(
-    docs: DataFrame, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", mean: int = 1024, together: bool = False,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", mean: int = 1024, decoded: bool = False,
+    chunk_bytes: int = 8_000_000, group_bytes: int = 32_000_000_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """doc_id and ids (little-endian uint32) of every text, as the tokenizers library gives them without special tokens.
+    """doc_id and ids (array<int>) of every text, as the tokenizers library gives them without special tokens; with `decoded`
+    also text, decoded from them as decode() does, in the same step.
 
-    A chunk is encoded once in each worker; with `together`, texts of equal openings are first brought to the same one, for a
-    shuffle of the texts. A null text counts as empty and has no ids. Other columns are not read.
+    Texts are cut where a rolling hash says so, each distinct chunk is encoded once, wherever its texts lie (in each group of
+    `group_bytes` of texts), and joins are encoded anew until they agree with the chunks. A null text counts as empty and has no
+    ids. Repeated and null ids are texts like others, texts may be of any length, other columns are not read, and no rows give none.
     """
     kind = dict(docs.dtypes)[id_col]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _kept(model, ranks, mean)
-        for batch in batches:
-            for part in arrow.slices(batch, "text"):
-                ids = [x.astype("<u4").tobytes() for x in enc.encode_many(arrow.texts(part, "text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+    def finish(enc: tokens.Encoder, doc_id: pa.ChunkedArray, ids: list[np.ndarray]) -> pa.Table:
+        columns = {"doc_id": doc_id, "ids": _lists(ids)}
+        if decoded:
+            columns["text"] = pa.array(map(enc.decode, ids), pa.string())
+        return pa.table(columns)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return (gather(rows) if together else rows).mapInArrow(run, f"doc_id {kind}, ids binary")
+    schema = f"doc_id {kind}, ids array<int>" + ", text string" * decoded
+    return _assembled(rows, model, ranks, mean, chunk_bytes, group_bytes, finish, schema)
 
 
 def decode(encoded: DataFrame, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """doc_id, ids and text, special tokens kept; bytes that are no UTF-8 become U+FFFD. Null ids give a null text."""
+    """doc_id, ids and text, special tokens kept; bytes that are no UTF-8 become U+FFFD. Null ids give a null text, no ids an empty one."""
     kind = dict(encoded.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(model, ranks)
         for batch in batches:
-            for part in arrow.slices(batch, "ids"):
-                text = [None if x is None else enc.decode(np.frombuffer(x, "<u4")) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(text, pa.string())], ["doc_id", "ids", "text"])
+            text = [None if x is None else enc.decode(np.array(x, np.int64)) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(text, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
 
 
-def digests(decoded: DataFrame, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256."""
-    kind = dict(decoded.dtypes)["doc_id"]
+def digests(decoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256. Null ids and texts count as empty."""
+    ids = F.coalesce(F.col("ids"), F.array().cast("array<int>"))
+    return decoded.select(
+        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("decoded_sha256"),
+    )
+
+
+def reuse(docs: DataFrame, mean: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row: how many chunks the texts have, how many distinct ones, and their bytes. For reports; a hash stands for a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = list(map(str, range(len(tokens.encoder(model, ranks).bytes))))
         for batch in batches:
-            for part in arrow.slices(batch, "ids"):
-                count, ids_hash, text_hash = [], [], []
-                for raw, text in zip(part.column("ids").to_pylist(), arrow.texts(part, "text"), strict=True):
-                    ids = np.frombuffer(raw or b"", "<u4").tolist()
-                    count.append(len(ids))
-                    ids_hash.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(text.encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_hash), pa.array(text_hash)],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return decoded.select("doc_id", "ids", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            for part in arrow.slices(batch, "text"):
+                keys, sizes = [], []
+                for text in arrow.texts(part, "text"):
+                    raw = text.encode()
+                    ends = cut_points(raw, mean)
+                    keys += [hashlib.blake2b(raw[a:b], digest_size=16).hexdigest() for a, b in zip([0, *ends], ends)]  # noqa: B905
+                    sizes += np.diff([0, *ends]).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(sizes, pa.int64())], ["key", "size"])
+
+    each = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key string, size bigint").groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    return each.agg(
+        F.sum("n").alias("chunks"), F.count("*").alias("distinct_chunks"), F.sum(F.col("n") * F.col("size")).alias("bytes"), F.sum("size").alias("distinct_bytes"),
+    )

@@ -117,8 +117,11 @@ class Encoder:
                 self.units.pop(w, None)
         return out
 
+    def raw(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return self.raw(ids).decode("utf-8", "replace")
 
 
 @functools.lru_cache(2)
