@@ -67,12 +67,12 @@ def test_joins_are_repeated_until_they_agree(texts, library):
         ends = sorted({len(raw), *(k for k in (rng.randrange(1, len(raw)) for _ in range(3)) if raw[k] & 0xC0 != 0x80)})
         parts = [raw[a:b].decode() for a, b in zip([0, *ends], ends)]  # noqa: B905
         ids = [np.frombuffer(x, "<u4") for x in enc.encode_many(parts)]
-        assert chunks.Joiner(enc).join([list(range(len(parts)))], ids)[0].tolist() == library.encode(raw.decode(), add_special_tokens=False).ids
+        assert chunks.Joiner(enc).join([list(range(len(parts)))], ids, [p.encode() for p in parts])[0].tolist() == library.encode(raw.decode(), add_special_tokens=False).ids
     text = "one two three four five six seven eight"
     left, right = enc.encode_many([text[:20]])[0], enc.encode_many([text[20:]])[0]
     spoilt = np.concatenate([np.frombuffer(left, "<u4")[:1], *(np.frombuffer(enc.whole(c), "<u4") for c in text[3:20])])  # letter by letter
     joiner = chunks.Joiner(enc)
-    assert joiner.join([[0, 1]], [spoilt, np.frombuffer(right, "<u4")])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert joiner.join([[0, 1]], [spoilt, np.frombuffer(right, "<u4")], [text[:20].encode(), text[20:].encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
     assert joiner.repeated > 0
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from waymark.llm import arrow, tokens
 
@@ -61,10 +61,9 @@ class Joiner:
         self.special = [s.encode() for s in enc.special]
         self.mended = self.repeated = 0
 
-    def join(self, docs: list[list[int]], chunks: list[np.ndarray]) -> list[np.ndarray]:
-        """docs: numbers of each text's chunks in order; chunks: ids by number."""
+    def join(self, docs: list[list[int]], chunks: list[np.ndarray], raws: list[bytes]) -> list[np.ndarray]:
+        """docs: numbers of each text's chunks in order; chunks and raws: ids and bytes by number."""
         out: list[np.ndarray] = []
-        raws = [self.enc.raw(c) for c in chunks]
         todo: list[tuple] = []  # text, joins' places and its breaks
         for k, parts in enumerate(docs):
             ids = np.concatenate([np.empty(0, "<u4"), *(chunks[c] for c in parts)])
@@ -130,85 +129,149 @@ class Joiner:
         return again
 
 
-def _packed(values: list[np.ndarray]) -> bytes:
-    return pa.compress(np.concatenate([np.empty(0, "<u4"), *values]).astype("<u4").tobytes(), "zstd", asbytes=True)
+def _rows(rows: list[tuple], names: str, kinds: list) -> pa.Table:
+    return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names.split())
+
+
+class Slice:
+    """Some texts with their ids, sent as one compressed row, and their distinct chunks by number."""
+
+    def __init__(self, data: bytes, mean: int):
+        table = pa.ipc.open_stream(data).read_all()
+        self.doc_id, known = table.column("doc_id"), {}
+        self.order = []
+        for text in table.column("text").to_pylist():
+            raw = (text or "").encode()
+            ends = cut_points(raw, mean)
+            self.order.append([known.setdefault(raw[a:b], len(known)) for a, b in zip([0, *ends], ends)])  # noqa: B905
+        self.chunks: list[bytes] = list(known)
+
+    @staticmethod
+    def data(part: pa.RecordBatch) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(part)
+        return sink.getvalue().to_pybytes()
+
+    def keys(self) -> np.ndarray:
+        """Two numbers a chunk, by which it is known elsewhere."""
+        raw = b"".join(hashlib.blake2b(c, digest_size=16).digest() for c in self.chunks)
+        return np.frombuffer(raw, "<u8").reshape(-1, 2)
+
+
+def _number(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of two numbers each: the first place of each different one, and which of them every row is."""
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    ordered = rows[order]
+    fresh = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)])[: len(rows)]
+    of = np.empty(len(rows), np.int64)
+    of[order] = np.cumsum(fresh) - 1
+    return order[fresh], of
 
 
 def _assembled(docs: DataFrame, model: str, ranks: str, mean: int, chunk_bytes: int, group_bytes: int, finish, schema: str) -> DataFrame:
-    """Encode each distinct chunk once, send its ids back to the texts that have it, and give those to `finish`.
+    """Ids of all texts (doc_id, text) to `finish`, each chunk that several slices of texts have encoded in one of them only.
 
-    Texts go in slices of about 4 MB. A slice sends each of its chunks once, compressed, to the bucket of the chunk's hash, where
-    equal chunks of all slices meet and are encoded once; ids go back by slice. However many texts hold a chunk, a bucket gets
-    it once a slice. So that this is bounded too, more than `group_bytes` of texts fall into groups with buckets of their own.
+    Texts are shuffled once, in compressed slices of about 4 MB. A slice sends 16 bytes for each of its chunks to the bucket of
+    that hash; where slices meet, the first one is to encode the chunk, and its ids go by way of the bucket to the others. What no
+    other slice has is encoded in its place. However many texts hold a chunk, a bucket hears of it once a slice, and so that this
+    is bounded too, slices of more than `group_bytes` of texts fall into groups with buckets of their own.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = 1 + total // group_bytes
     each = max(8, total // groups // chunk_bytes)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_no, count = TaskContext.get().partitionId(), 0
+        place, count = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for part in arrow.slices(batch, "text", 4_000_000):
-                where = part_no << 32 | count
+                yield pa.RecordBatch.from_arrays([pa.array([place + count], pa.int64()), pa.array([Slice.data(part)], pa.binary())], ["slice", "data"])
                 count += 1
-                known: dict[bytes, int] = {}
-                order = []
-                for text in arrow.texts(part, "text"):
-                    raw = text.encode()
-                    ends = cut_points(raw, mean)
-                    order.append([known.setdefault(raw[a:b], len(known)) for a, b in zip([0, *ends], ends)])  # noqa: B905
-                chunks = list(known)
-                bucket = np.array([zlib.crc32(c) for c in chunks], np.int64) * each >> 32
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for where, data in zip(batch.column("slice").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                keys = Slice(data, mean).keys()
+                bucket = ((keys[:, 0] >> np.uint64(32)) * np.uint64(each) >> np.uint64(32)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(each + 1)).tolist()
-                rows = []
-                for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if j > i:
-                        mine = [chunks[c] for c in by[i:j].tolist()]
-                        sizes = np.array([len(c) for c in mine], "<i4").tobytes()
-                        rows.append((where % groups * each + b, where, i, sizes, pa.compress(b"".join(mine), "zstd", asbytes=True)))
-                place = np.empty(len(chunks), np.int64)
-                place[by] = np.arange(len(chunks))
-                head = pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([place[x].tolist() for x in order], pa.list_(pa.int32()))], ["doc_id", "chunks"]
-                )
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, head.schema) as out:
-                    out.write_batch(head)
-                rows.append((where % groups * each + count % each, where, -1, None, sink.getvalue().to_pybytes()))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "slice", "first", "sizes", "data"])
-
-    def encode_bucket(table: pa.Table) -> pa.Table:
-        enc = tokens.encoder(model, ranks)
-        asked = []
-        known: dict[bytes, int] = {}
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("slice", "first", "sizes", "data")), strict=True))
-        for where, first, sizes, data in rows:
-            if first >= 0:
-                ends = np.cumsum(np.frombuffer(sizes, "<i4")).tolist()
-                raw = pa.decompress(data, ends[-1], "zstd", asbytes=True)
-                asked.append((where, first, [known.setdefault(raw[a:b], len(known)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]))
-        ids = [np.frombuffer(x, "<u4") for x in enc.encode_many([c.decode() for c in known])]
-        out = [(where, first, None, data) for where, first, _, data in rows if first < 0]
-        out += [(where, first, np.array([len(ids[c]) for c in mine], "<i4").tobytes(), _packed([ids[c] for c in mine])) for where, first, mine in asked]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["slice", "first", "sizes", "data"])
-
-    def assemble(table: pa.Table) -> pa.Table:
-        enc = tokens.encoder(model, ranks)
-        chunks: list[np.ndarray] = []
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("first", "sizes", "data")), strict=True), key=lambda r: r[0])
-        for _, sizes, data in rows[1:]:
-            ends = np.cumsum(np.frombuffer(sizes, "<i4"))
-            ids = np.frombuffer(pa.decompress(data, 4 * int(ends[-1]), "zstd"), "<u4")
-            chunks += np.split(ids, ends[:-1])
-        head = pa.ipc.open_stream(rows[0][2]).read_all()
-        return finish(enc, head.column("doc_id"), Joiner(enc).join(head.column("chunks").to_pylist(), chunks))
-
-    packed = docs.mapInArrow(pack, "bucket bigint, slice bigint, first int, sizes binary, data binary")
-    told = packed.groupBy("bucket").applyInArrow(encode_bucket, "slice bigint, first int, sizes binary, data binary")
-    return told.groupBy("slice").applyInArrow(assemble, schema)
+                rows = [
+                    (where % groups * each + b, where, by[i:j].astype("<i4").tobytes(), keys[by[i:j]].tobytes())
+                    for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i
+                ]
+                if rows:
+                    yield from _rows(rows, "bucket slice at keys", [pa.int64(), pa.int64(), pa.binary(), pa.binary()]).to_batches()
+
+    def settle(table: pa.Table) -> pa.Table:
+        """Which of its chunks each slice shares with another, and which of them it is to encode."""
+        asked = sorted(zip(*(table.column(c).to_pylist() for c in ("slice", "at", "keys")), strict=True))
+        keys = np.frombuffer(b"".join(r[2] for r in asked), "<u8").reshape(-1, 2)
+        head, of = _number(keys)
+        shared = np.bincount(of)[of] > 1
+        first = np.zeros(len(keys), bool)
+        first[head] = True
+        rows, done = [], 0
+        for where, at, raw in asked:
+            mine = slice(done, done + len(at) // 4)
+            done = mine.stop
+            keep = shared[mine]
+            if keep.any():
+                own = first[mine][keep]
+                rows.append((table.column("bucket")[0].as_py(), where, np.frombuffer(at, "<i4")[keep].tobytes(), keys[mine][keep].tobytes(), own.tobytes()))
+        return _rows(rows, "bucket slice at keys own", [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])
+
+    def encode_own(texts: pa.Table, told: pa.Table) -> pa.Table:
+        enc, rows = tokens.encoder(model, ranks), []
+        if texts.num_rows and told.num_rows:
+            known = Slice(texts.column("data")[0].as_py(), mean).chunks
+            for bucket, at, keys, own in zip(*(told.column(c).to_pylist() for c in ("bucket", "at", "keys", "own")), strict=True):
+                own = np.frombuffer(own, bool)
+                if own.any():
+                    ids = enc.encode_many([known[c].decode() for c in np.frombuffer(at, "<i4")[own].tolist()])
+                    sizes = np.array([len(x) // 4 for x in ids], "<i4").tobytes()
+                    rows.append((bucket, np.frombuffer(keys, "<u8").reshape(-1, 2)[own].tobytes(), sizes, b"".join(ids)))
+        return _rows(rows, "bucket keys sizes ids", [pa.int64(), pa.binary(), pa.binary(), pa.binary()])
+
+    def deliver(table: pa.Table) -> pa.Table:
+        """Ids of a bucket's shared chunks to all slices that have them."""
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("slice", "at", "keys", "sizes", "ids")), strict=True))
+        done, wanted = [r for r in rows if r[4] is not None], [r for r in rows if r[4] is None]
+        keys = np.frombuffer(b"".join(r[2] for r in [*done, *wanted]), "<u8").reshape(-1, 2)
+        sizes = np.frombuffer(b"".join(r[3] for r in done), "<i4")
+        ids = np.split(np.frombuffer(b"".join(r[4] for r in done), "<u4"), np.cumsum(sizes)[:-1]) if len(sizes) else []
+        _, of = _number(keys)
+        source = np.empty(len(keys), np.int64)
+        source[of[: len(sizes)]] = np.arange(len(sizes))
+        out, at = [], len(sizes)
+        for where, place, raw, _, _ in wanted:
+            mine = [ids[k] for k in source[of[at : at + len(place) // 4]].tolist()]
+            at += len(place) // 4
+            out.append((where, place, np.array([len(x) for x in mine], "<i4").tobytes(), np.concatenate(mine).tobytes()))
+        return _rows(out, "slice at sizes ids", [pa.int64(), pa.binary(), pa.binary(), pa.binary()])
+
+    def assemble(texts: pa.Table, told: pa.Table) -> pa.Table:
+        enc, out = tokens.encoder(model, ranks), []
+        for data in texts.column("data").to_pylist():
+            own = Slice(data, mean)
+            ids: list = [None] * len(own.chunks)
+            for at, sizes, raw in zip(*(told.column(c).to_pylist() for c in ("at", "sizes", "ids")), strict=True):
+                parts = np.split(np.frombuffer(raw, "<u4"), np.cumsum(np.frombuffer(sizes, "<i4"))[:-1])
+                for k, x in zip(np.frombuffer(at, "<i4").tolist(), parts, strict=True):
+                    ids[k] = x
+            left = [k for k, x in enumerate(ids) if x is None]
+            for k, x in zip(left, enc.encode_many([own.chunks[k].decode() for k in left]), strict=True):
+                ids[k] = np.frombuffer(x, "<u4")
+            out.append(finish(enc, own.doc_id, Joiner(enc).join(own.order, ids, own.chunks)))
+        return pa.concat_tables(out) if out else finish(enc, pa.array([], id_type), [])
+
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    slices = docs.mapInArrow(pack, "slice bigint, data binary").repartition("slice")
+    asked = slices.mapInArrow(ask, "bucket bigint, slice bigint, at binary, keys binary")
+    told = asked.groupBy("bucket").applyInArrow(settle, "bucket bigint, slice bigint, at binary, keys binary, own binary")
+    own = slices.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(encode_own, "bucket bigint, keys binary, sizes binary, ids binary")
+    met = told.drop("own").unionByName(own, allowMissingColumns=True)
+    sent = met.groupBy("bucket").applyInArrow(deliver, "slice bigint, at binary, sizes binary, ids binary")
+    return slices.groupBy("slice").cogroup(sent.groupBy("slice")).applyInArrow(assemble, schema)
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:
@@ -219,13 +282,13 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
 
 def encode(
     docs: DataFrame, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", mean: int = 1024, decoded: bool = False,
-    chunk_bytes: int = 8_000_000, group_bytes: int = 32_000_000_000, id_col: str = "doc_id", text_col: str = "text",
+    chunk_bytes: int = 16_000_000, group_bytes: int = 32_000_000_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id and ids (array<int>) of every text, as the tokenizers library gives them without special tokens; with `decoded`
     also text, decoded from them as decode() does, in the same step.
 
-    Texts are cut where a rolling hash says so, each distinct chunk is encoded once, wherever its texts lie (in each group of
-    `group_bytes` of texts), and joins are encoded anew until they agree with the chunks. A null text counts as empty and has no
+    Texts are cut where a rolling hash says so, a chunk is encoded once, wherever its texts lie (once in each `group_bytes` of
+    texts), and joins are encoded anew until they agree with the chunks. A null text counts as empty and has no
     ids. Repeated and null ids are texts like others, texts may be of any length, other columns are not read, and no rows give none.
     """
     kind = dict(docs.dtypes)[id_col]
