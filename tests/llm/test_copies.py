@@ -125,13 +125,13 @@ def test_components(spark):
 def test_topk(spark):
     rng = random.Random(8)
     vectors = [[rng.choice([0.0, 0.5, -0.25, 1.0, 0.001, -3.7]) for _ in range(6)] for _ in range(700)]
-    rows = [(i, v) for i, v in enumerate(vectors)] + [(700, None), (750, [float("nan")] * 6), (800, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (850, [float("inf")] + [0.0] * 5), (900, [1e30] * 6), (None, vectors[0]), (950, [2.0, 1.0]), (1000, [])]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(700, None), (750, [float("nan")] * 6), (800, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (850, [float("inf")] + [0.0] * 5), (900, [1e12] + [0.0] * 5), (901, [-1e12] + [0.0] * 5), (None, vectors[0]), (950, [2.0, 1.0]), (1000, [])]
     table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<float>, score int").repartition(5)
     import math
 
     good = {}
     for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(x) < 1e10 for x in v):
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             good[i] = [math.floor(256 * float(np.float32(x))) for x in v]
     want = set()
     for q, v in good.items():
@@ -146,6 +146,15 @@ def test_topk(spark):
     assert len(few) == 1
     big = spark.createDataFrame([(0, [1e8, 1.0]), (1, [1e6, 0.0])], "vec_id bigint, embedding array<double>")
     assert topk.search(big).first().score == 25600000000 * 256000000
+    huge = [(0, [1e12, 1.0]), (1, [-1e12, 3.0]), (2, [3.0, 0.0]), (3, [2.0, 5.0])]
+    low = topk.search(spark.createDataFrame(huge, "vec_id bigint, embedding array<double>"), k=2)  # the lowest does not fit, but is no result
+    assert [(r.vec_id, r.score) for r in low.orderBy("rank").collect()] == [(2, int(256e12) * 768), (3, int(256e12) * 512 + 256 * 1280)]
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(spark.createDataFrame([(0, [4e9 * 256]), (1, [4e9 * 256])], "vec_id bigint, embedding array<double>")).collect()
+    same = spark.createDataFrame([(50, [1.0]), (50, [1.0]), (50, [2.0]), (2, [3.0]), (2, [3.0])], "vec_id bigint, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score // 65536) for r in topk.search(same, k=3, shard_rows=2).collect())
+    one, two = [(50, 1, 2, 3), (50, 2, 2, 3), (50, 3, 50, 2)], [(50, 1, 2, 6), (50, 2, 2, 6), (50, 3, 50, 2)]
+    assert got == sorted(one + one + two)
 
 
 def test_suffix_array():

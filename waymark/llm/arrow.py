@@ -24,6 +24,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
         yield batch.slice(start)
 
 
+def unused(name: str, *columns: list[str]) -> str:
+    """name, or name with underscores before it so that none of the columns is called that, in any case."""
+    taken = {c.lower() for names in columns for c in names}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     """Values of a string column, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

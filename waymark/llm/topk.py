@@ -12,51 +12,80 @@ from pyspark.sql import functions as F
 
 from waymark.llm import arrow
 
-_LARGEST = float(2**62)
-
-
 def quantise(vector: Column) -> Column:
-    """floor(256 x) of every component; null where the vector is null, holds null or non-finite components, or values beyond 2^62."""
-    bad = F.exists(
-        vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * 256) >= F.lit(_LARGEST))
-    )
-    return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("bigint")))
+    """floor(256 x) of every component, as double; null where the vector is null or holds null or non-finite components."""
+    infinite = F.lit(float("inf"))
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == infinite))
+    # floor() of a double is a bigint in Spark; whole numbers from 2^53 on have no fraction, and multiplying by 256 is exact.
+    whole = lambda x: F.when(F.abs(x) < F.lit(2.0**53), F.floor(x).cast("double")).otherwise(x)
+    return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: whole(x.cast("double") * 256)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Lists of integers as rows, shorter ones filled with zeros."""
+    """Lists of whole doubles as rows, shorter ones filled with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
     values = column.flatten().to_numpy(zero_copy_only=False)
     width = int(sizes.max()) if len(sizes) else 0
     if (sizes == width).all():
         return values.reshape(len(sizes), width)
-    out = np.zeros((len(sizes), width), np.int64)
+    out = np.zeros((len(sizes), width))
     out[np.arange(width) < sizes[:, None]] = values
     return out
 
 
+#: Scores beyond 64 bits stand at these bounds until it is known whether they belong to a result.
+_LOW, _HIGH = -(2**63) + 1, 2**63 - 1
+
+
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact products of rows; doubles are used where they are exact, and 64-bit integers beyond."""
+    """Exact products of rows: in doubles where they are exact, in 64-bit integers where no sum can pass them, else, only for rows
+    and columns with such values, in whole numbers of any size."""
     width = min(a.shape[1], b.shape[1])
     a, b = a[:, :width], b[:, :width]
     if not width:
         return np.zeros((len(a), len(b)), np.int64)
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * width
-    if bound < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    most_a, most_b = np.abs(a).max(axis=1, initial=0), np.abs(b).max(axis=1, initial=0)
+    if most_a.max(initial=0) * most_b.max(initial=0) * width < 2**53:
+        return (a @ b.T).astype(np.int64)
+    large = most_b * most_a.max(initial=0) * width >= 2**62
+    far = most_a * most_b[~large].max(initial=0) * width >= 2**62
+    out = np.zeros((len(a), len(b)), np.int64)
+    out[np.ix_(~far, ~large)] = a[~far].astype(np.int64) @ b[~large].astype(np.int64).T
+    to_int = np.frompyfunc(int, 1, 1)
+    for rows, columns in ((far, ~large), (np.ones(len(a), bool), large)):
+        if rows.any() and columns.any():
+            exact = to_int(a[rows]) @ to_int(b[columns]).T
+            out[np.ix_(rows, columns)] = np.clip(exact, _LOW, _HIGH).astype(np.int64)
+    return out
+
+
+def _own(query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The place of each query's own row among the candidates, or -1: the first with its id and vector. ids must rise."""
+    out = np.full(len(query), -1)
+    for i, at in enumerate(np.searchsorted(ids, query).tolist()):
+        while at < len(ids) and ids[at] == query[i]:
+            if _padded(matrix[at], matrix.shape[1] + vectors.shape[1]) == _padded(vectors[i], matrix.shape[1] + vectors.shape[1]):
+                out[i] = at
+                break
+            at += 1
+    return out
+
+
+def _padded(row: np.ndarray, width: int) -> bytes:
+    return (np.pad(row, (0, width - len(row))) + 0.0).tobytes()
 
 
-def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each row of a tile, the query's own id left out, ties to the smaller id. ids must rise."""
-    least = np.iinfo(np.int64).min
-    own = query[:, None] == ids[None, :]
+def _best(query: np.ndarray, own: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row of a tile, the candidate at `own` left out, ties to the smaller id. ids must rise."""
+    mine = np.zeros(scores.shape, bool)
+    at = np.flatnonzero(own >= 0)
+    mine[at, own[at]] = True
     if k < scores.shape[1]:
-        edge = np.partition(np.where(own, least, scores), scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        keep = (scores >= edge[:, None]) & ~own  # all ties at the edge, so that the smallest ids can be told
+        edge = np.partition(np.where(mine, np.iinfo(np.int64).min, scores), scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        keep = (scores >= edge[:, None]) & ~mine  # all ties at the edge, so that the smallest ids can be told
     else:
-        keep = ~own
+        keep = ~mine
     row, col = np.nonzero(keep)
     value = scores[row, col]
     order = np.lexsort((col, -value, row))
@@ -74,15 +103,16 @@ def search(
 
     Each vector goes to the shard of its id and each query to a tile of queries, and a tile meets each shard once, in one
     task; a tile's part of the result is k rows a query. Lists are merged `fan_in` shards at a time. Rows with null ids or
-    with vectors that quantise to null take no part; of rows that share an id one counts, the smallest vector; vectors of
-    different lengths are compared over what both have. Scores beyond 64 bits wrap around. No rows give no rows.
+    with vectors that are null or hold null or non-finite components take no part. Of rows that share an id each is a
+    candidate, and each a query with a list of its own, in which only its own row has no place; vectors of different lengths are
+    compared over what both have. A result with a score that does not fit into 64 bits is an error. No rows give no rows.
     """
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), quantise(F.col(vector_col)).alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
     count = vectors.count()
     shards, tiles = max(1, -(-count // shard_rows)), max(1, -(-count // (every * tile_rows)))
     spread = F.xxhash64("vec_id")
-    base = rows.withColumn("shard", F.pmod(spread, F.lit(shards))).withColumn("tile", F.lit(None).cast("bigint"))
-    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("tile", F.pmod(spread, F.lit(tiles)))
+    base = rows.withColumn("shard", F.pmod(spread, F.lit(shards))).withColumn("tile", F.lit(None).cast("bigint")).withColumn("number", F.lit(None).cast("bigint"))
+    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("tile", F.pmod(spread, F.lit(tiles))).withColumn("number", F.monotonically_increasing_id())
     wanted = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,26 +121,28 @@ def search(
         for (shard, tile), table in arrow.groups(batches, ["shard", "tile"]):
             own = table.column("vec_id").to_numpy()
             vectors = _matrix(table.column("v"))
-            _, first = np.unique(own, return_index=True)  # sorted by id and vector: the first of an id is its smallest
-            own, vectors = own[first], vectors[first]
             if tile is None:
                 held, ids, matrix = shard, own, vectors
                 continue
             if held != shard:
                 continue
+            number = table.column("number").to_numpy()
             for at in range(0, len(own), 512):
-                q, v, s = _best(own[at : at + 512], ids, _scores(vectors[at : at + 512], matrix), k)
+                part, there = vectors[at : at + 512], _own(own[at : at + 512], vectors[at : at + 512], ids, matrix)
+                i, v, s = _best(np.arange(at, at + len(part)), there, ids, _scores(part, matrix), k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q), pa.array(v), pa.array(s), pa.array(np.full(len(q), shard))], ["query_id", "vec_id", "score", "shard"]
+                    [pa.array(number[i]), pa.array(own[i]), pa.array(v), pa.array(s), pa.array(np.full(len(i), shard))],
+                    ["number", "query_id", "vec_id", "score", "shard"],
                 )
 
-    both = base.unionByName(wanted.select(base.columns)).repartition(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("tile"), "vec_id", "v")
-    lists = both.mapInArrow(multiply, "query_id bigint, vec_id bigint, score bigint, shard bigint")
+    both = base.unionByName(wanted.select(base.columns)).repartition(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("tile"), "vec_id", "v", "number")
+    lists = both.mapInArrow(multiply, "number bigint, query_id bigint, vec_id bigint, score bigint, shard bigint")
     order = [F.desc("score"), F.asc("vec_id")]
     while shards > 1:
         shards = -(-shards // fan_in)
         lists = lists.withColumn("shard", F.floor(F.col("shard") / fan_in))
-        top = F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(*order))
+        top = F.row_number().over(Window.partitionBy("number", "shard").orderBy(*order))
         lists = lists.withColumn("_r", top).filter(F.col("_r") <= k).drop("_r")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank")
-    return lists.select("query_id", rank, "vec_id", "score").filter(F.col("rank") <= k)
+    rank = F.row_number().over(Window.partitionBy("number").orderBy(*order)).alias("rank")
+    fits = F.when((F.col("score") > _LOW) & (F.col("score") < _HIGH), F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit into 64 bits")))
+    return lists.select("query_id", rank, "vec_id", "score").filter(F.col("rank") <= k).withColumn("score", fits.cast("bigint"))
