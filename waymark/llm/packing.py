@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm import arrow, tokens
-from waymark.session import cut
+from waymark.llm.arrow import unused
+from waymark.session import cut, small
 
 PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids binary"
 
@@ -108,38 +109,45 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def best_fit(items: DataFrame, order: list[str], capacity: int = 2048, length_col: str = "length", slots: int = 64) -> DataFrame:
+def best_fit(items: DataFrame, order: list[str], capacity: int = 2048, length_col: str = "length", slot_rows: int = 50_000) -> DataFrame:
     """items with sequence_id and offset: every row whole in one sequence of at most `capacity`, gapless from 0.
 
-    Every length must lie in 1..capacity. Only the histogram, `capacity` rows at most, comes to the driver, and only the
-    plan made of it goes back, its size bounded by the capacity too. A row's rank among those of its length is its rank in
-    a slot of that length plus the rows of the slots before, so a length that most rows share is dealt over `slots` tasks
-    or more. `order` names columns that tell rows apart; rows equal in all of them may change places. No rows give no rows.
+    Every length must lie in 1..capacity. Rows as long as the capacity are sequences by themselves, with numbers below 0, and
+    need no plan. Of the others only the histogram, `capacity` rows at most, comes to the driver, and only the plan made of it
+    goes back, its size bounded by the capacity too. A row's rank among those of its length is its rank in a slot of that length
+    plus the rows of the slots before; a length has a slot for each `slot_rows` of its rows, so that a length that most rows
+    share is dealt over as many tasks as it fills. `order` names columns that tell rows apart; rows equal in all of them may
+    change places. Columns of items may have any names but the two new ones. No rows give no rows.
     """
-    spark = items.sparkSession
-    slot = F.pmod(F.xxhash64(*order), F.lit(slots))
-    items = items.withColumn("_slot", slot)
-    sizes = cut(items.groupBy(length_col, "_slot").agg(F.count("*").alias("_n")))
-    counts = {r[0]: r[1] for r in sizes.groupBy(length_col).agg(F.sum("_n")).collect()}
-    if any(not 0 < x <= capacity for x in counts):
+    spark, names = items.sparkSession, items.columns
+    counts = {r[0]: r[1] for r in items.groupBy(length_col).count().collect()}
+    if any(x is None or not 0 < x <= capacity for x in counts):
         raise ValueError("a length lies outside 1..capacity")
-    before = F.sum("_n").over(Window.partitionBy(length_col).orderBy("_slot")) - F.col("_n")
-    starts = sizes.select(length_col, "_slot", before.alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(length_col, "_slot").orderBy(*order)) - 1
-    ranked = items.withColumn("_r", rank).join(F.broadcast(starts), [length_col, "_slot"])  # capacity * slots rows at most
-    ranked = ranked.withColumn("_rank", F.col("_r") + F.col("_before"))
-
+    whole = items.filter(F.col(length_col) == capacity).withColumns(
+        {"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")}
+    )
+    counts.pop(capacity, None)
+    if not counts:
+        return whole
     by_length: dict[int, list[tuple]] = {}
     for length, first, copies, sequence, offset in plan(counts, capacity):
         by_length.setdefault(length, []).append((first, copies, sequence, offset))
     shared = spark.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in by_length.items()})
-    names = [c for c in items.columns if c != "_slot"]
+    slot, number, rank, before = (unused(x, items.columns) for x in ("_slot", "_number", "_rank", "_before"))
+    kind = dict(items.dtypes)[length_col]
+    many = spark.createDataFrame([(x, 1 + n // slot_rows) for x, n in counts.items()], f"`{length_col}` {kind}, `{number}` bigint")
+    dealt = items.filter(F.col(length_col) < capacity).join(F.broadcast(many), length_col)  # a row for each length
+    dealt = dealt.withColumn(slot, F.pmod(F.xxhash64(*order), number)).select(*items.columns, slot)
+    sizes = dealt.groupBy(length_col, slot).count()
+    sizes = cut(sizes.select(length_col, slot, (F.sum("count").over(Window.partitionBy(length_col).orderBy(slot)) - F.col("count")).alias(before)))
+    inside = F.row_number().over(Window.partitionBy(length_col, slot).orderBy(*order)) - 1
+    ranked = dealt.withColumn(rank, inside).join(small(sizes, 24), [length_col, slot]).withColumn(rank, F.col(rank) + F.col(before))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             length = batch.column(length_col).to_numpy(zero_copy_only=False)
-            at = batch.column("_rank").to_numpy(zero_copy_only=False)
+            at = batch.column(rank).to_numpy(zero_copy_only=False)
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for value in np.unique(length):
                 mine = np.flatnonzero(length == value)
@@ -153,11 +161,15 @@ def best_fit(items: DataFrame, order: list[str], capacity: int = 2048, length_co
 
     kinds = dict(items.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sequence_id bigint, offset bigint"
-    return ranked.select(*names, "_rank").mapInArrow(place, schema)
+    return ranked.select(*names, rank).mapInArrow(place, schema).unionByName(whole)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, **options) -> DataFrame:
-    """Token pieces with crc32 instead of ids, each with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Token pieces with crc32 instead of ids, each with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are a piece with the end id alone; repeated and null ids are documents like others; of docs only id and
+    text are read. No rows give no rows.
+    """
     pieces = token_pieces(docs, capacity, **options)
     light = cut(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return best_fit(light, ["doc_id", "piece", "ids_crc32"], capacity)
