@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -188,26 +189,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most `rows` labelled documents that are not held out, the first by a hash of their ids, of at most `longest` bytes each.
+def _stretch(features: np.ndarray, lines: int) -> np.ndarray:
+    """At most `lines` neighbouring lines of a document; where they begin depends on the document alone."""
+    if len(features) <= lines:
+        return features
+    start = zlib.crc32(features.astype("<f4").tobytes()) % (len(features) - lines + 1)
+    return features[start : start + lines]
 
-    Only features come to the driver, never texts. Labels that are null do not count; without labelled rows every score is 0.5.
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = 3000, lines: int = 200, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on at most `rows` labelled documents that are not held out, the first by a hash of their ids, and of each on at most
+    `lines` neighbouring lines, whose features are those of the whole text.
+
+    Only features come to the driver, never texts: rows * lines * 176 bytes at most. Of rows that share an id the first by their
+    features count, so that a task that runs again gives the same. Labels that are null do not count; without labelled rows
+    every score is 0.5. Null texts count as empty.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sample = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).filter(F.octet_length("text") <= longest)
-    sample = sample.join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    sample = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    sample = sample.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), "quality", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in arrow.slices(batch, "text"):
+            for part in arrow.slices(batch, "text", 500_000):
                 features, bounds = line_features(arrow.texts(part, "text"))
-                raw = [features[a:b].astype("<f4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("quality").cast(pa.int32()), pa.array(raw, pa.binary())], ["quality", "features"])
+                raw = [_stretch(features[a:b], lines).astype("<f4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("quality").cast(pa.int32()), pa.array(raw, pa.binary())], ["h", "quality", "features"])
 
     # In a fixed order, for sums of floats depend on it; repeated ids may give more rows than were chosen.
-    found = sample.mapInArrow(extract, "quality int, features binary").limit(2 * rows).toArrow()
+    found = sample.mapInArrow(extract, "h bigint, quality int, features binary").orderBy("h", "quality", "features").limit(rows).toArrow()
     pairs = sorted(zip(found.column("quality").to_pylist(), found.column("features").to_pylist(), strict=True))
     x = [np.frombuffer(f, "<f4").reshape(-1, 3 * OWN + 2).astype(np.float64) for _, f in pairs]
     return fit(x, np.array([int(q) for q, _ in pairs]))
@@ -217,19 +229,28 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     """doc_id, held_out, score, predicted for every row. A null text counts as empty: one empty line. Texts of any length are
     scored whole, repeated rows alike; only id and text are read, and of them only the text enters the score."""
     return with_score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
-        F.when(F.col("_score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"),
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"),
     )
 
 
-def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
-    """docs, all columns kept, with the score beside them."""
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows with a score of at least `threshold`, with the columns of docs, whatever their names."""
+    name = arrow.unused("_score", docs.columns)
+    return with_score(docs, model, text_col, name).filter(F.col(name) >= threshold).select(*docs.columns)
+
+
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs, all columns kept, with the score beside them; no column may have that name yet. Null texts count as empty, repeated
+    and null ids do not matter, and texts of any length are scored whole. No rows give no rows."""
+    if name.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"there is a column {name} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in arrow.slices(batch, text_col):
+            for part in arrow.slices(batch, text_col, 500_000):
                 scores = pa.array(shared.value.scores(arrow.texts(part, text_col)), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], [*columns, name])
 
