@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.llm import exact, jaccard, repeats, suffix, topk
 from waymark.llm.components import components
@@ -32,6 +33,12 @@ def test_exact(spark):
     got = [tuple(r) for r in exact.groups(docs, all_hashes=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert [r[:4] for r in sorted((tuple(r) for r in exact.groups(docs, prefix=2).drop("text_sha256").select("doc_id", "keep_id", "group_size", "kept").collect()), key=str)] == sorted((w[:4] for w in want), key=str)
+    odd = docs.withColumnsRenamed({"keep_id": "_sha"}).withColumn("text_sha256", F.lit("x")).withColumn("kept", F.lit(3))
+    out = exact.drop_copies(odd)
+    assert out.columns == odd.columns and sorted(lower(r.text) for r in out.collect()) == sorted(groups)
+    ones = odd.filter("doc_id IS NOT NULL AND doc_id NOT IN (5, 30)")  # no id twice: no text is hashed again
+    assert sorted(r.doc_id for r in exact.drop_copies(ones).collect()) == sorted({max(i for i in ids if i not in (None, 5, 30)) for ids in groups.values() if set(ids) - {None, 5, 30}})
+    assert exact.drop_copies(odd.limit(0)).collect() == []
     out = exact.drop_copies(docs)
     assert out.columns == docs.columns and sorted(lower(r.text) for r in out.collect()) == sorted(groups)
     assert exact.groups(docs.limit(0)).collect() == []

@@ -109,6 +109,16 @@ def test_packing(spark, docs, texts, library):
 
 def test_packing_nothing_and_bad_lengths(spark, docs):
     assert packing.pack_documents(docs.limit(0)).collect() == []
+    rows = [(i, 100 if i % 3 else 256 if i % 2 else 57, i % 5) for i in range(3000)]
+    hot = packing.best_fit(spark.createDataFrame(rows, "doc_id bigint, length bigint, _slot int"), ["doc_id"], 256, slot_rows=70).collect()
+    assert sorted(tuple(r)[:3] for r in hot) == rows
+    used = {}
+    for r in sorted(hot, key=lambda r: r.offset):
+        assert used.get(r.sequence_id, 0) == r.offset
+        used[r.sequence_id] = r.offset + r.length
+    assert max(used.values()) <= 256 and len(used) == 500 + 1000 + 125
+    whole = packing.best_fit(spark.createDataFrame([(1, 256), (2, 256)], "doc_id bigint, length bigint"), ["doc_id"], 256).collect()
+    assert len({r.sequence_id for r in whole}) == 2 and {r.offset for r in whole} == {0}
     bad = spark.createDataFrame([(1, 300)], "doc_id bigint, length bigint")
     with pytest.raises(ValueError):
         packing.best_fit(bad, ["doc_id"], 256)
@@ -273,4 +283,12 @@ def test_quality(spark):
     assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows) and not [r for r in rows if r.doc_id is None][0].held_out
     blank = quality.train(docs, labels.filter("false"))
     assert {r.score for r in quality.score(docs.limit(20), blank).collect()} == {0.5}
-    assert quality.with_score(docs.limit(3).withColumn("x", F.lit(1)), model).columns[-2:] == ["x", "_score"]
+    assert quality.with_score(docs.limit(3).withColumn("x", F.lit(1)), model).columns[-2:] == ["x", "score"]
+    clash = docs.limit(3).withColumn("_score", F.lit(1)).withColumn("__score", F.lit(2))
+    assert quality.keep(clash, model, 0.0).columns == clash.columns and quality.keep(clash, model, 0.0).count() == 3
+    # Long documents give a stretch of lines, and rows that share an id count up to the bound.
+    breaks = spark.createDataFrame([(1, "\n" * 200_000)] * 40 + [(i, "some words here.\n" * 9) for i in range(2, 60)], "doc_id bigint, text string")
+    every = spark.createDataFrame([(i, int(i > 1)) for i in range(1, 60)], "doc_id bigint, quality int")
+    small = quality.train(breaks, every, rows=50, lines=30)
+    assert np.array_equal(small.weights, quality.train(breaks.repartition(5), every, rows=50, lines=30).weights)
+    assert np.isfinite(quality.train(breaks.limit(0), every).weights).all()

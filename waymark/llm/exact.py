@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.session import cut
+from waymark.llm.arrow import unused
+from waymark.session import cut, small
 
-#: Above so many rows a set of surviving groups is joined by a shuffle instead of sent to every executor (24 bytes a row).
-BROADCAST_ROWS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,8 +19,7 @@ def normalise(text: Column) -> Column:
 def _mark(rows: DataFrame, groups: DataFrame, keys: list[str], name: str) -> DataFrame:
     """rows with a flag for those whose keys are in groups; groups must be materialised."""
     flagged = groups.select(*keys, F.lit(True).alias(name))
-    small = flagged.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(flagged) if small else flagged, keys, "left")
+    return rows.join(small(flagged, 24), keys, "left")
 
 
 def groups(docs: DataFrame, prefix: int = 128, all_hashes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,8 +47,7 @@ def groups(docs: DataFrame, prefix: int = 128, all_hashes: bool = False, id_col:
     # Equal rows are counted, not carried: a group of copies is one row for each id before it is shuffled.
     each = light.filter("_b").groupBy("_len", "text_sha256", "doc_id").agg(F.count("*").alias("_n"))
     whole = cut(each.groupBy("_len", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("_n").alias("group_size")))
-    small = whole.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = each.join(F.broadcast(whole) if small else whole, ["_len", "text_sha256"])
+    joined = each.join(small(whole, 120), ["_len", "text_sha256"])
     order = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))
     found = joined.select("doc_id", "keep_id", "group_size", "text_sha256", order.alias("_i")).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"), "text_sha256"
@@ -62,18 +59,34 @@ def groups(docs: DataFrame, prefix: int = 128, all_hashes: bool = False, id_col:
 
 
 def drop_copies(docs: DataFrame, prefix: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without copies, all columns kept. Rows that share an id and a text leave one, whatever their other columns hold."""
-    decided = groups(docs, prefix, id_col=id_col, text_col=text_col)
-    dropped = cut(decided.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256"))
-    repeated = cut(decided.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).select("doc_id", "text_sha256").distinct())
-    hashed = docs.withColumn("_sha", F.sha2(normalise(F.col(text_col)), 256))
-
-    def same(other: DataFrame):
-        return hashed[id_col].eqNullSafe(other["doc_id"]) & (hashed["_sha"] == other["text_sha256"])
-
-    small = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    out = hashed.join(F.broadcast(dropped) if small else dropped, same(dropped), "left_anti")
-    if repeated.isEmpty():
-        return out.drop("_sha")
-    once = out.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "_sha"])
-    return out.join(repeated, same(repeated), "left_anti").unionByName(once).drop("_sha")
+    """docs without copies, all columns kept. Rows that share an id and a text leave one, whatever their other columns hold.
+
+    An id that stands in one row is enough to tell a copy. Only texts of rows with a repeated or null id are hashed again.
+    Columns of docs may have any names. No rows give no rows.
+    """
+    decided = cut(groups(docs, prefix, id_col=id_col, text_col=text_col))
+    each = decided.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("k"))
+    odd = cut(each.select("doc_id", (F.col("doc_id").isNull() | (F.col("n") > 1)).alias("many"), "k").filter("many OR k = 0").select("doc_id", "many"))
+
+    def same_id(other: DataFrame) -> Column:
+        return docs[id_col].eqNullSafe(other["doc_id"])
+
+    plain = docs[id_col].isNotNull() & (docs[id_col] == odd["doc_id"])
+    if odd.filter("many").isEmpty():
+        return docs.join(small(odd, 24), plain, "left_anti")
+    many = cut(odd.filter("many").select("doc_id"))
+    sha = unused("_sha", docs.columns)
+    told = decided.join(small(many, 24).withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # Texts that nothing else equals have no hash, and nothing to be told.
+    gone = cut(told.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct())
+    again = cut(told.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).select("doc_id", "text_sha256").distinct())
+    rest = docs.join(small(many, 24), same_id(many), "left_semi").withColumn(sha, F.sha2(normalise(F.col(text_col)), 256))
+
+    def same(other: DataFrame) -> Column:
+        return rest[id_col].eqNullSafe(other["doc_id"]) & (rest[sha] == other["text_sha256"])
+
+    left = rest.join(small(gone, 120), same(gone), "left_anti")
+    once = left.join(small(again, 120), same(again), "left_semi").dropDuplicates([id_col, sha])
+    return docs.join(small(odd, 24), same_id(odd), "left_anti").unionByName(
+        left.join(small(again, 120), same(again), "left_anti").unionByName(once).drop(sha)
+    )

@@ -20,12 +20,10 @@ from pyspark.sql import functions as F
 
 from waymark.llm import arrow, words
 from waymark.llm.components import components
-from waymark.session import cut
+from waymark.session import cut, small
 
 AXES = 64  # coordinates of a point
 LEAF = 16  # points or boxes in a box
-#: Above so many rows a table is joined by a shuffle instead of sent to every executor (24 bytes a row).
-BROADCAST_ROWS = 1_000_000
 _K = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -383,8 +381,8 @@ def _blocks(rows: DataFrame, keys: list[str], alike: Similarity, reps: bool = Fa
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if a count shows that it is small; it must be materialised."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, all of whose columns are numbers, marked for broadcast if a count shows that it is small."""
+    return small(df, 8 * len(df.columns) + 8)
 
 
 def classes(
