@@ -8,36 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import exact, jaccard, packing, pii, quality
-from waymark.session import shared_dir
+from waymark.session import remove, shared_dir
 
 #: Documents with a lower quality score go.
 KEEP_FROM = 0.3
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field does not reject."""
+    """Documents that the line field does not reject; null and empty texts are judged like others, every row by itself."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.with_score(docs, model).filter(F.col("_score") >= KEEP_FROM).select(*docs.columns)
+    return quality.keep(docs, model, KEEP_FROM)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased) the one with the largest doc_id."""
+    """Of equal texts (A-Z lower-cased, null as empty) the one with the largest doc_id; of rows equal in both, one."""
     return exact.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard of 0.8 over five-word shingles the one with the smallest doc_id."""
+    """Of documents linked by a Jaccard of 0.8 over five-word shingles the one with the smallest doc_id. Texts without words and rows
+    without an id stay; rows of one id are one document with several texts."""
     return jaccard.one_of_each(docs, percent=80, width=5)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with their personal data replaced; n_chars, where there is one, is that of the new text."""
+    """Texts with their personal data replaced; n_chars, where there is one, is that of the new text. Null texts stay null."""
     clean = pii.redact(docs, pii.train(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 2048."""
+    """Token pieces with their places in sequences of 2048; a null or empty text is one piece with the end id."""
     return packing.pack_documents(docs)
 
 
@@ -54,10 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and read again, so that none is computed twice."""
+    """All stages over documents; each is written to the shared folder and read again, so that none is computed twice, and what it
+    was made from is then removed. No rows, extra columns and null or repeated ids go through every stage."""
     place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            remove(spark, f"{place}/{k - 1}")
     return docs
