@@ -109,7 +109,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def best_fit(items: DataFrame, order: list[str], capacity: int = 2048, length_col: str = "length", slot_rows: int = 50_000) -> DataFrame:
+def best_fit(items: DataFrame, order: list[str], capacity: int = 2048, length_col: str = "length", slot_rows: int = 1_000) -> DataFrame:
     """items with sequence_id and offset: every row whole in one sequence of at most `capacity`, gapless from 0.
 
     Every length must lie in 1..capacity. Rows as long as the capacity are sequences by themselves, with numbers below 0, and
