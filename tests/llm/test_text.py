@@ -149,9 +149,17 @@ def test_licenses(spark):
             if best and best[0] >= 0.8:
                 want.append((doc or 0, unit, best[2], round(best[0], 6)))
     assert got == sorted(want) and any(u == "paragraph" for _, u, _, _ in got)
-    every = licenses.per_document(docs, hits)
-    assert every.count() >= len(rows) and every.filter("doc_id = 4").first().n_matches == 0
-    assert licenses.scan(docs.limit(0)).collect() == []
+    every = sorted(((r.doc_id or 0, r.n_matches, r.best_template) for r in licenses.per_document(docs).collect()), key=str)
+    want = [(1, 1, "mit/notice"), (2, 1, "apache-2.0/header"), (3, 0, None), (4, 0, None), (5, 0, None), (6, 1, "mit/notice"), (0, 1, "mit/notice"), (7, 1, "mit/notice"), (8, 1, "mit/notice"), (8, 1, "mit/notice")]
+    assert every == sorted(want, key=str)
+    same = spark.createDataFrame([(8, notice), (8, "plain"), (None, notice), (None, "plain")], "doc_id bigint, text string")
+    for anywhere in (False, True):
+        assert sorted((r.n_matches, r.licenses) for r in licenses.per_document(same, anywhere).collect()) == [(0, ""), (0, ""), (1, "mit"), (1, "mit")]
+    full = "\n".join(licenses.TEMPLATES["mit/text"].replace(". ", ".\n").split("\n"))
+    inside = spark.createDataFrame([(1, full), (2, "It was a long day. " + full + " And then we went home."), (3, licenses.TEMPLATES["bsd-3-clause/text"])], "doc_id bigint, text string")
+    assert {r.doc_id: (r.best_template, r.dice) for r in licenses.per_document(inside).collect() if r.doc_id != 2} == {1: ("mit/text", 1.0), 3: ("bsd-3-clause/text", 1.0)}
+    assert [r.best_template for r in licenses.per_document(inside, True).orderBy("doc_id").collect()] == ["mit/text", "mit/text", "bsd-3-clause/text"]
+    assert licenses.scan(docs.limit(0)).collect() == [] and licenses.per_document(docs.limit(0)).collect() == []
 
 
 def matches(glob, text):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm import arrow
 
-#: Notices by which texts state their licence, and the openings of the short licences themselves.
+#: Notices by which texts state their licence, the openings of the short licences, and those licences in full.
 TEMPLATES = {
     "apache-2.0/notice": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0/header": (
@@ -49,6 +49,90 @@ TEMPLATES = {
     ),
     "unlicense/notice": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved/notice": "All rights reserved.",
+    "mit/text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING "
+        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "bsd-2-clause/text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT "
+        "HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+        "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+        "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "bsd-3-clause/text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder "
+        "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written "
+        "permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO "
+        "EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+        "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+        "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "isc/text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS "
+        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE "
+        "AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA "
+        "OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "apache-2.0/boilerplate": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+        "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
+        "either express or implied. See the License for the specific language governing permissions and limitations under the License."
+    ),
+    "gpl-2.0/header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "gpl-2.0/notice": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-3.0/header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "lgpl-2.1/header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "agpl-3.0/header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "epl-2.0/notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0"
+    ),
+    "zlib/text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must "
+        "not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an "
+        "acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked "
+        "as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source "
+        "distribution."
+    ),
+    "unlicense/text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means."
+    ),
 }
 #: For windows only, as the SQL of the scan holds TEMPLATES: usual variants of the notices.
 VARIANTS = TEMPLATES | {
@@ -253,16 +337,36 @@ def units(raw: bytes, match: Matcher) -> Iterator[tuple]:
             yield ("text", 0, len(lines) - 1, *hit)
 
 
-def per_document(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Every document with its number of matching units, the best one's licence and dice, and all its licences in order."""
-    family = F.substring_index("license", "/", 1)
-    best = F.min_by(F.struct("license", "dice"), F.struct(-F.col("dice"), "license"))
-    found = hits.groupBy("doc_id").agg(
-        F.count("*").alias("n_matches"), best.alias("_b"), F.array_join(F.sort_array(F.collect_set(family)), ",").alias("licenses")
-    )
-    rows = docs.select("doc_id").join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left").drop(found["doc_id"])
-    return rows.select(
-        "doc_id", F.coalesce("n_matches", F.lit(0).cast("bigint")).alias("n_matches"), F.col("_b.license").alias("best_template"),
-        F.round(F.coalesce("_b.dice", F.lit(0.0)), 6).alias("dice"), F.coalesce("licenses", F.lit("")).alias("licenses"),
-    )
+def per_document(
+    docs: DataFrame, anywhere: bool = False, templates: dict[str, str] | None = None, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """doc_id, n_matches, best_template, dice, licenses of every row: how many of its units match (with `anywhere`: stretches of
+    words), which template best, how well, and all its licences in order.
+
+    A row is summed up where it is scanned, so rows with equal or null ids have each their own matches. Null and empty texts have
+    none; other columns are not read. No rows give no rows.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    table = (VARIANTS if anywhere else TEMPLATES) if templates is None else templates
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = Windows(table, percent) if anywhere else Matcher(table, percent)
+        for batch in batches:
+            for part in arrow.slices(batch, "text"):
+                count, best, dice, every = [], [], [], []
+                for text in arrow.texts(part, "text"):
+                    raw = text.encode()
+                    found = [x[-3:] for x in (match.best(raw) if anywhere else units(raw, match))]
+                    first = min(((-2.0 * shared / total, name) for name, shared, total in found), default=(0.0, None))
+                    count.append(len(found))
+                    best.append(first[1])
+                    dice.append(-first[0])
+                    every.append(",".join(sorted({name.partition("/")[0] for name, _, _ in found})))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(best, pa.string()), pa.array(dice, pa.float64()), pa.array(every, pa.string())],
+                    ["doc_id", "n_matches", "best_template", "dice", "licenses"],
+                )
 
+    schema = f"doc_id {kind}, n_matches bigint, best_template string, dice double, licenses string"
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return out.withColumn("dice", F.round("dice", 6))
