@@ -14,46 +14,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from waymark.llm import arrow, words
 from waymark.llm.suffix import common_prefixes, suffix_array
-from waymark.session import cut
+from waymark.session import cut, small
 
 GRAM = 24
 #: An anchor with more different stretches than this is settled string by string in Spark, so that no task gathers them.
 #: So many fill one suffix array.
 CROWD = 25_000
-BROADCAST_ROWS = 1_000_000
 LAST = 2**63 - 1
 _K = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_SEGMENT = 1 << 22
+#: So many string starts of a text are looked at together; below 2^23.
+_PART = 1 << 20
 FULL, EDGE, PARTNER, CROWD_EDGE, CROWD_PARTNER = 1, 2, 3, 4, 5
 
 
-def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor in the text, the first and last string start that it stands for, and a hash of the stretch."""
+def anchors(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """Hash of each anchor in the text, the first and last string start that it stands for, a hash of the stretch, and how far
+    into it the anchor begins. Long texts are worked through in parts, at whose borders a stretch may end."""
     n = len(raw) - length + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none.astype(np.uint64)
-    span = length - GRAM + 1
+    none = np.zeros(0, np.int64)
+    found = [(none.astype(np.uint64), none, none, none.astype(np.uint64), none)]
+    for base in range(0, n, _PART):
+        anchor, first, last, stretch, inside = _anchors(raw[base : base + _PART + length - 1], length)
+        found.append((anchor, first + base, last + base, stretch, inside))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _anchors(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
+    n, span = len(raw) - length + 1, length - GRAM + 1
     view = lambda k: np.ndarray((len(raw) - GRAM + 1,), "<u8", raw, k, (1,))
     gram = words.mix(view(0) * _K[0] + words.mix(view(8) * _K[1] + view(16) * _K[2]))
-    place = []
-    for base in range(0, n, _SEGMENT):
-        count = min(_SEGMENT, n - base)
-        part = gram[base : base + count + span - 1]
-        low = (part & np.uint64(2**64 - 2**23)) | np.arange(len(part), dtype=np.uint64)  # ties to the first
-        width = 1
-        while 2 * width <= span:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        if width < span:
-            low = np.minimum(low[: width - span], low[span - width :])
-        place.append((low & np.uint64(2**23 - 1)).astype(np.int64) + base)
-    at = np.concatenate(place)
+    low = (gram & np.uint64(2**64 - 2**23)) | np.arange(len(gram), dtype=np.uint64)  # ties to the first
+    width = 1
+    while 2 * width <= span:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    if width < span:
+        low = np.minimum(low[: width - span], low[span - width :])
+    at = (low & np.uint64(2**23 - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:], [n]]) - 1
     # Grams laid end to end from the start and back from the end cover the stretch and so tell it.
@@ -61,7 +65,7 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     for k in range(-(-(span + length) // (2 * GRAM))):
         stretch = words.mix(stretch * _K[1] + gram[first + k * GRAM])
         stretch = words.mix(stretch * _K[2] + gram[last + length - (k + 1) * GRAM])
-    return gram[at[first]], first, last, stretch
+    return gram[at[first]], first, last, stretch, at[first] - first
 
 
 class Group:
@@ -79,10 +83,14 @@ class Group:
         self.first = np.concatenate([p[1] for p in parts] or none).astype(np.int64)
         self.last = np.concatenate([p[2] for p in parts] or none).astype(np.int64)
         self.stretch = np.concatenate([p[3] for p in parts] or none)
+        self.inside = np.concatenate([p[4] for p in parts] or none).astype(np.int64)
         self.bucket = (self.anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         # One of each pair, by bucket and then in order of documents; `of` leads from an occurrence to it.
-        pair = words.mix(self.anchor * _K[1] + self.stretch)
-        _, head, of = np.unique(pair, return_index=True, return_inverse=True)
+        by = np.lexsort((self.stretch, self.anchor))  # stable
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = (self.anchor[by][1:] != self.anchor[by][:-1]) | (self.stretch[by][1:] != self.stretch[by][:-1])
+        head, of = by[fresh], np.empty(len(by), np.int64)
+        of[by] = np.cumsum(fresh) - 1
         order = np.lexsort((head, self.bucket[head]))
         self.one = head[order]
         back = np.empty(len(order), np.int64)
@@ -149,6 +157,31 @@ def _settle(table: pa.Table, most: int) -> Iterator[tuple]:
             yield g, found.astype("<u4").tobytes(), mine[found].tobytes(), bool((mine >= CROWD_EDGE).any())
 
 
+def _may_share(table: pa.Table, length: int) -> pa.Table:
+    """The contexts that may share a string with another one of their anchor.
+
+    Equal strings have their anchor at the same place, with length - GRAM bytes beside it in all, so they agree in the first
+    half of that many bytes before the anchor or after it. Hashes stand for the bytes here: a chance agreement only keeps more.
+    """
+    half = (length - GRAM) // 2
+    contexts = table.column("context").to_pylist()
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    at = 32 + np.cumsum(sizes) - sizes + table.column("inside").to_numpy()
+    raw = bytes(32) + b"".join(contexts) + bytes(32)
+    view = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    anchor = table.column("anchor").to_numpy().astype(np.uint64)
+    inside = table.column("inside").to_numpy()
+    keep = np.zeros(len(contexts), bool)
+    for side, start, whole in ((1, at - half, inside >= half), (2, at + GRAM, inside + GRAM + half <= sizes)):
+        key = words.mix(anchor * _K[0] + np.uint64(side))
+        for k in (*range(0, half - 7, 8), half - 8):  # the last eight bytes overlap the ones before
+            key = words.mix(key * _K[1] + view[start + k])
+        mine = np.flatnonzero(whole)
+        _, of, count = np.unique(key[mine], return_inverse=True, return_counts=True)
+        keep[mine[count[of] > 1]] = True
+    return table.filter(pa.array(keep))
+
+
 def shared_strings(contexts: list[bytes], docs: np.ndarray, length: int) -> list[int]:
     """For each context a number whose bit k is set if the string at k also stands in a context of a smaller document."""
     raw = b"\0".join([*contexts, b""])
@@ -190,8 +223,7 @@ def remove(docs: DataFrame, length: int = 50, crowd: int = CROWD, id_col: str =
     rows = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text"), "n_bytes": F.octet_length("text").cast("bigint")})
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     copies = cut(rows.groupBy(*key).agg(F.min("d").alias("least"), F.count("*").alias("_n")).filter("_n > 1").select(*key, "least"))
-    small = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    marked = rows.join(F.broadcast(copies) if small else copies, key, "left")
+    marked = rows.join(small(copies, 40), key, "left")
     again = F.coalesce(F.col("d") > F.col("least"), F.lit(False))
     gone = F.col("n_bytes") >= length
     copied = marked.filter(again).select(
@@ -200,15 +232,30 @@ def remove(docs: DataFrame, length: int = 50, crowd: int = CROWD, id_col: str =
         F.when(~gone, F.col("text").cast("binary")).alias("kept"), F.sha2(F.when(gone, F.lit("")).otherwise(F.col("text")), 256).alias("kept_sha256"),
     )
 
-    parts, buckets = max(8, total // 1_500_000), max(8, total // 6_000_000)
-    own = marked.filter(~again).select(F.pmod(F.xxhash64("d"), F.lit(parts)).alias("g"), "d", "doc_id", "text")
+    buckets = max(8, total // 12_000_000)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, count = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part in arrow.slices(batch, "text", 3_000_000):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([place + count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["g", "data"])
+                count += 1
+
+    own = cut(marked.filter(~again).select("d", "doc_id", "text").mapInArrow(pack, "g bigint, data binary"))
+
+    def group(data: bytes) -> Group:
+        return Group(pa.ipc.open_stream(data).read_all(), length, buckets)
 
-    def ask(table: pa.Table) -> pa.Table:
-        g = table.column("g")[0].as_py()
-        found = list(Group(table, length, buckets).requests())
-        b, a, s, d = zip(*found, strict=True) if found else ((), (), (), ())
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(x, t) for x, t in zip(([g] * len(b), b, a, s, d), kinds, strict=True)], ["g", "bucket", "anchor", "stretch", "docs"])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, data in zip(batch.column("g").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if found := list(group(data).requests()):
+                    b, a, s, d = zip(*found, strict=True)
+                    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([g] * len(b), b, a, s, d), kinds, strict=True)], ["g", "bucket", "anchor", "stretch", "docs"])
 
     def settle(table: pa.Table) -> pa.Table:
         found = list(_settle(table, crowd))
@@ -217,35 +264,38 @@ def remove(docs: DataFrame, length: int = 50, crowd: int = CROWD, id_col: str =
         bucket = [table.column("bucket")[0].as_py()] * len(g)
         return pa.table([pa.array(x, t) for x, t in zip((g, bucket, at, code, many), kinds, strict=True)], ["g", "bucket", "at", "code", "crowd"])
 
-    asked = own.groupBy("g").applyInArrow(ask, "g bigint, bucket bigint, anchor binary, stretch binary, docs binary")
+    asked = own.mapInArrow(ask, "g bigint, bucket bigint, anchor binary, stretch binary, docs binary")
     codes = cut(asked.groupBy("bucket").applyInArrow(settle, "g bigint, bucket bigint, at binary, code binary, crowd boolean"))
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if left.num_rows and right.num_rows:
-            group = Group(left, length, buckets)
-            code = group.codes(right)
+            own = group(left.column("data")[0].as_py())
+            code = own.codes(right)
             g = left.column("g")[0].as_py()
             for k in np.flatnonzero(code >= EDGE).tolist():
-                i = int(group.one[k])
-                doc = int(group.doc[i])
+                i = int(own.one[k])
+                doc = int(own.doc[i])
                 rows.append((
-                    g, k, int(group.anchor[i].astype(np.int64)), int(group.d[doc]), bool(code[k] >= CROWD_EDGE),
-                    group.raw[doc][int(group.first[i]) : int(group.last[i]) + length],
+                    g, k, int(own.anchor[i].astype(np.int64)), int(own.d[doc]), bool(code[k] >= CROWD_EDGE), int(own.inside[i]),
+                    own.raw[doc][int(own.first[i]) : int(own.last[i]) + length],
                 ))
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["g", "k", "anchor", "d", "crowd", "context"])
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["g", "k", "anchor", "d", "crowd", "inside", "context"])
 
-    sent = own.groupBy("g").cogroup(codes.groupBy("g")).applyInArrow(contexts, "g bigint, k bigint, anchor bigint, d bigint, crowd boolean, context binary")
-    sent = cut(sent)
+    # Texts are shuffled once, for the two steps that need them beside what the buckets said.
+    dealt, crowded = own.repartition("g"), not codes.filter("crowd").isEmpty()
+    sent = dealt.groupBy("g").cogroup(codes.groupBy("g")).applyInArrow(contexts, "g bigint, k bigint, anchor bigint, d bigint, crowd boolean, inside int, context binary")
+    sent = cut(sent) if crowded else sent
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
+        kept: list[pa.Table] = []
 
         def done() -> pa.RecordBatch:
-            table = pa.concat_tables(held)
-            held.clear()
+            table = pa.concat_tables(kept)
+            kept.clear()
             bits = shared_strings(table.column("context").to_pylist(), table.column("d").to_numpy(), length)
             keep = [i for i, x in enumerate(bits) if x]
             pick = lambda c: pa.array(table.column(c).take(pa.array(keep, pa.int64())).to_pylist(), pa.int64())
@@ -256,55 +306,61 @@ def remove(docs: DataFrame, length: int = 50, crowd: int = CROWD, id_col: str =
             held.append(table)
             size += table.nbytes
             if size > 2_000_000:
-                yield done()
-                size = 0
+                kept.append(_may_share(pa.concat_tables(held), length))
+                held, size = [], 0
+                if sum(x.nbytes for x in kept) > 2_000_000:
+                    yield done()
         if held:
+            kept.append(_may_share(pa.concat_tables(held), length))
+        if kept:
             yield done()
 
     bits = sent.filter("NOT crowd").repartition("anchor").sortWithinPartitions("anchor", "d").mapInArrow(arrays, "g bigint, k bigint, bits bigint")
-    if not codes.filter("crowd").isEmpty():
+    if crowded:
         bits = bits.unionByName(_crowd(sent.filter("crowd"), length))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        group = Group(left, length, buckets)
-        code = group.codes(right)
-        mask: dict[int, int] = {}
-        for k, b in zip(right.column("k").to_pylist(), right.column("bits").to_pylist(), strict=True):
-            if k is not None:
-                mask[k] = mask.get(k, 0) | b
         out: list[tuple] = []
-        begin = np.searchsorted(group.doc, np.arange(len(group.raw) + 1))
-        stands = group.d[group.doc[group.one]]
-        for i, raw in enumerate(group.raw):
-            edge = np.zeros(len(raw) + 1, np.int64)
-            mine = np.arange(begin[i], begin[i + 1])
-            of = group.of[mine]
-            full = (code[of] == FULL) | (stands[of] < group.d[i])
-            np.add.at(edge, group.first[mine[full]], 1)
-            np.add.at(edge, group.last[mine[full]] + length, -1)
-            if mask:
-                for j, k in zip(mine[~full].tolist(), of[~full].tolist(), strict=True):
-                    b, at = mask.get(k, 0), int(group.first[j])
-                    while b:
-                        if b & 1:
-                            edge[at] += 1
-                            edge[at + length] -= 1
-                        b, at = b >> 1, at + 1
-            gone = np.cumsum(edge[:-1]) > 0
-            n = int(gone.sum())
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if n else raw
-            spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if n else 0
-            out.append((group.ids[i], len(raw), n, spans, kept, hashlib.sha256(kept).hexdigest()))
+        for data in left.column("data").to_pylist():
+            own = group(data)
+            code = own.codes(right)
+            mask: dict[int, int] = {}
+            for k, b in zip(right.column("k").to_pylist(), right.column("bits").to_pylist(), strict=True):
+                if k is not None:
+                    mask[k] = mask.get(k, 0) | b
+            begin = np.searchsorted(own.doc, np.arange(len(own.raw) + 1))
+            stands = own.d[own.doc[own.one]]
+            for i, raw in enumerate(own.raw):
+                edge = np.zeros(len(raw) + 1, np.int32)
+                mine = np.arange(begin[i], begin[i + 1])
+                of = own.of[mine]
+                full = (code[of] == FULL) | (stands[of] < own.d[i])
+                np.add.at(edge, own.first[mine[full]], 1)
+                np.add.at(edge, own.last[mine[full]] + length, -1)
+                if mask:
+                    for j, k in zip(mine[~full].tolist(), of[~full].tolist(), strict=True):
+                        b, at = mask.get(k, 0), int(own.first[j])
+                        while b:
+                            if b & 1:
+                                edge[at] += 1
+                                edge[at + length] -= 1
+                            b, at = b >> 1, at + 1
+                gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+                n = int(gone.sum())
+                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if n else raw
+                spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if n else 0
+                out.append((own.ids[i], len(raw), n, spans, kept, hashlib.sha256(kept).hexdigest()))
         columns = list(zip(*out, strict=True)) or [()] * 6
-        kinds = [left.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+        kinds = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     told = codes.select("g", "bucket", "at", "code", none("k", "bigint"), none("bits", "bigint")).unionByName(
         bits.select("g", none("bucket", "bigint"), none("at", "binary"), none("code", "binary"), "k", "bits")
     )
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
-    return own.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(finish, schema).unionByName(copied)
+    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(finish, schema).unionByName(copied)
 
 
 def _crowd(sent: DataFrame, length: int) -> DataFrame:

@@ -71,19 +71,30 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, letters: int) -
     return out
 
 
-def _double(s: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string over many letters, by doubling the length that ranks tell apart."""
-    n, k = len(s), 1
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1
-    while True:
-        key = rank * (n + 2)
-        key[: n - k] += rank[k:] if k < n else 0
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[1], 1 + np.cumsum(np.diff(key[order]) != 0)])
-        if rank[order[-1]] == n or k >= n:
-            return order
-        k *= 2
+def _induce_one_by_one(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, letters: int) -> np.ndarray:
+    """The same suffix by suffix, for strings over many letters, whose buckets hold next to nothing each."""
+    ends = np.cumsum(np.bincount(s, minlength=letters))
+    head, tail = np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()
+    # The letter before each suffix, where the one that begins there is larger or smaller than its next; -1 elsewhere.
+    before = np.concatenate([[-1], s[:-1]])
+    is_small = np.concatenate([[False], small[:-1]])
+    from_left, from_right = np.where(is_small, -1, before).tolist(), np.where(is_small, before, -1).tolist()
+    out = [0] * len(s)  # no suffix comes from 0, so places that are still empty lead nowhere
+    for j, c in zip(seeds[::-1].tolist(), s[seeds[::-1]].tolist(), strict=True):
+        tail[c] -= 1
+        out[tail[c]] = j
+    for j in out:  # both loops meet what they put farther on
+        c = from_left[j]
+        if c >= 0:
+            out[head[c]] = j - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for j in reversed(out):
+        c = from_right[j]
+        if c >= 0:
+            tail[c] -= 1
+            out[tail[c]] = j - 1
+    return np.array(out, np.int64)
 
 
 def _same(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -98,11 +109,11 @@ def _same(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np
     return out
 
 
-def suffix_array(text: np.ndarray, few: int = 1024) -> np.ndarray:
+def suffix_array(text: np.ndarray, dense: int = 256) -> np.ndarray:
     """Start positions of all suffixes in order. text: whole numbers from 0.
 
-    Leftmost-smaller substrings are sorted by inducing, named, and the string of names is sorted in the same way; over more
-    than `few` names, where buckets would hold next to nothing each, ranks are doubled instead.
+    Leftmost-smaller substrings are sorted by inducing, named, and the string of names is sorted in the same way, down to one
+    whose names all differ. Where a letter stands `dense` times on average a bucket's suffixes are moved together.
     """
     n = len(text)
     if n < 2:
@@ -113,7 +124,8 @@ def suffix_array(text: np.ndarray, few: int = 1024) -> np.ndarray:
     first = np.zeros(n + 1, bool)
     first[1:] = small[1:] & ~small[:-1]
     seeds = np.flatnonzero(first)
-    order = _induce(s, small, seeds, letters)
+    induce = _induce if letters * dense <= n else _induce_one_by_one
+    order = induce(s, small, seeds, letters)
     ranked = order[first[order]]
     end = np.concatenate([seeds[1:], [n]])  # each reaches to the next one, which it includes
     length = np.zeros(n + 1, np.int64)
@@ -126,10 +138,9 @@ def suffix_array(text: np.ndarray, few: int = 1024) -> np.ndarray:
     name = np.zeros(n + 1, np.int64)
     name[ranked] = np.concatenate([[0], np.cumsum(~equal)])
     if not equal.any():
-        return _induce(s, small, ranked, letters)[1:]
-    reduced = name[seeds]
-    inner = suffix_array(reduced, few) if reduced.max() < few else _double(reduced)
-    return _induce(s, small, seeds[inner], letters)[1:]
+        return induce(s, small, ranked, letters)[1:]
+    inner = suffix_array(name[seeds], dense)
+    return induce(s, small, seeds[inner], letters)[1:]
 
 
 def common_prefixes(raw: bytes, order: np.ndarray, most: int) -> np.ndarray:
