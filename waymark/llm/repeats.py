@@ -232,12 +232,12 @@ def remove(docs: DataFrame, length: int = 50, crowd: int = CROWD, id_col: str =
         F.when(~gone, F.col("text").cast("binary")).alias("kept"), F.sha2(F.when(gone, F.lit("")).otherwise(F.col("text")), 256).alias("kept_sha256"),
     )
 
-    buckets = max(8, total // 12_000_000)
+    buckets = max(8, total // 5_000_000)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, count = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for part in arrow.slices(batch, "text", 3_000_000):
+            for part in arrow.slices(batch, "text", 1_500_000):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(part)
