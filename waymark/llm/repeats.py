@@ -34,20 +34,23 @@ _PART = 1 << 20
 FULL, EDGE, PARTNER, CROWD_EDGE, CROWD_PARTNER = 1, 2, 3, 4, 5
 
 
-def anchors(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """Hash of each anchor in the text, the first and last string start that it stands for, a hash of the stretch, and how far
-    into it the anchor begins. Long texts are worked through in parts, at whose borders a stretch may end."""
-    n = len(raw) - length + 1
+def anchors(raw: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of texts that lie end to end: hash of each anchor, the first and last string start that it stands for, a hash of the
+    stretch, and how far into it the anchor begins. Long texts are worked through in parts, at whose borders a stretch may end."""
     none = np.zeros(0, np.int64)
     found = [(none.astype(np.uint64), none, none, none.astype(np.uint64), none)]
+    n = len(raw) - length + 1
+    inside = np.ones(max(n, 0), bool)  # strings that do not run over the end of their text
+    for e in ends.tolist():
+        inside[max(e - length + 1, 0) : e] = False
     for base in range(0, n, _PART):
-        anchor, first, last, stretch, inside = _anchors(raw[base : base + _PART + length - 1], length)
-        found.append((anchor, first + base, last + base, stretch, inside))
+        anchor, first, last, stretch, at = _anchors(raw[base : base + _PART + length - 1], inside[base : base + _PART], length)
+        found.append((anchor, first + base, last + base, stretch, at))
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def _anchors(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
-    n, span = len(raw) - length + 1, length - GRAM + 1
+def _anchors(raw: bytes, inside: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    span = length - GRAM + 1
     view = lambda k: np.ndarray((len(raw) - GRAM + 1,), "<u8", raw, k, (1,))
     gram = words.mix(view(0) * _K[0] + words.mix(view(8) * _K[1] + view(16) * _K[2]))
     low = (gram & np.uint64(2**64 - 2**23)) | np.arange(len(gram), dtype=np.uint64)  # ties to the first
@@ -57,15 +60,16 @@ def _anchors(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
         width *= 2
     if width < span:
         low = np.minimum(low[: width - span], low[span - width :])
-    at = (low & np.uint64(2**23 - 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.concatenate([first[1:], [n]]) - 1
+    turn = np.ones(len(low) + 1, bool)  # between strings that do not share an anchor
+    turn[1:-1] = (low[1:] != low[:-1]) | (inside[1:] != inside[:-1])
+    first, last = np.flatnonzero(turn[:-1] & inside), np.flatnonzero(turn[1:] & inside)
+    at = (low[first] & np.uint64(2**23 - 1)).astype(np.int64)
     # Grams laid end to end from the start and back from the end cover the stretch and so tell it.
     stretch = (last - first).astype(np.uint64)
     for k in range(-(-(span + length) // (2 * GRAM))):
         stretch = words.mix(stretch * _K[1] + gram[first + k * GRAM])
         stretch = words.mix(stretch * _K[2] + gram[last + length - (k + 1) * GRAM])
-    return gram[at[first]], first, last, stretch, at[first] - first
+    return gram[at], first, last, stretch, at - first
 
 
 class Group:
@@ -76,20 +80,20 @@ class Group:
         self.d = np.array([r[0] for r in rows], np.int64)
         self.ids = [r[1] for r in rows]
         self.raw = [r[2].encode() for r in rows]
-        parts = [anchors(r, length) for r in self.raw]
-        self.doc = np.repeat(np.arange(len(rows)), [len(p[0]) for p in parts])
-        none = [np.zeros(0, np.uint64)]
-        self.anchor = np.concatenate([p[0] for p in parts] or none)
-        self.first = np.concatenate([p[1] for p in parts] or none).astype(np.int64)
-        self.last = np.concatenate([p[2] for p in parts] or none).astype(np.int64)
-        self.stretch = np.concatenate([p[3] for p in parts] or none)
-        self.inside = np.concatenate([p[4] for p in parts] or none).astype(np.int64)
+        ends = np.cumsum([0, *map(len, self.raw)])
+        self.anchor, first, last, self.stretch, self.inside = anchors(b"".join(self.raw), ends[1:], length)
+        self.doc = np.searchsorted(ends, first, "right") - 1
+        self.first, self.last = first - ends[self.doc], last - ends[self.doc]
         self.bucket = (self.anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         # One of each pair, by bucket and then in order of documents; `of` leads from an occurrence to it.
-        by = np.lexsort((self.stretch, self.anchor))  # stable
-        fresh = np.ones(len(by), bool)
-        fresh[1:] = (self.anchor[by][1:] != self.anchor[by][:-1]) | (self.stretch[by][1:] != self.stretch[by][:-1])
-        head, of = by[fresh], np.empty(len(by), np.int64)
+        pair = words.mix(self.anchor * _K[1] + self.stretch)
+        by = np.argsort(pair)
+        differ = lambda x: np.concatenate([[True], x[by][1:] != x[by][:-1]])[: len(by)]
+        fresh = differ(self.anchor) | differ(self.stretch)
+        if (fresh != differ(pair)).any():  # two pairs with one hash
+            by = np.lexsort((self.stretch, self.anchor))
+            fresh = differ(self.anchor) | differ(self.stretch)
+        head, of = np.minimum.reduceat(by, np.flatnonzero(fresh)) if len(by) else by, np.empty(len(by), np.int64)
         of[by] = np.cumsum(fresh) - 1
         order = np.lexsort((head, self.bucket[head]))
         self.one = head[order]
@@ -160,25 +164,31 @@ def _settle(table: pa.Table, most: int) -> Iterator[tuple]:
 def _may_share(table: pa.Table, length: int) -> pa.Table:
     """The contexts that may share a string with another one of their anchor.
 
-    Equal strings have their anchor at the same place, with length - GRAM bytes beside it in all, so they agree in the first
-    half of that many bytes before the anchor or after it. Hashes stand for the bytes here: a chance agreement only keeps more.
+    Equal strings have their anchor at the same place, with length - GRAM bytes beside it in all. How many of them lie before it
+    falls into one of four ranges, and for each range some bytes before and after it must agree. Hashes stand for the bytes
+    here: a chance agreement only keeps more.
     """
-    half = (length - GRAM) // 2
+    rest = length - GRAM
+    step = rest // 4 + 1
     contexts = table.column("context").to_pylist()
     sizes = np.array([len(c) for c in contexts], np.int64)
-    at = 32 + np.cumsum(sizes) - sizes + table.column("inside").to_numpy()
-    raw = bytes(32) + b"".join(contexts) + bytes(32)
+    at = length + np.cumsum(sizes) - sizes + table.column("inside").to_numpy()
+    raw = bytes(length) + b"".join(contexts) + bytes(length)
     view = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
     anchor = table.column("anchor").to_numpy().astype(np.uint64)
     inside = table.column("inside").to_numpy()
     keep = np.zeros(len(contexts), bool)
-    for side, start, whole in ((1, at - half, inside >= half), (2, at + GRAM, inside + GRAM + half <= sizes)):
-        key = words.mix(anchor * _K[0] + np.uint64(side))
-        for k in (*range(0, half - 7, 8), half - 8):  # the last eight bytes overlap the ones before
-            key = words.mix(key * _K[1] + view[start + k])
-        mine = np.flatnonzero(whole)
-        _, of, count = np.unique(key[mine], return_inverse=True, return_counts=True)
-        keep[mine[count[of] > 1]] = True
+    for before in range(0, rest + 1, step):
+        after = rest - min(before + step - 1, rest)
+        key = words.mix(anchor * _K[0] + np.uint64(before + 1))
+        for start, many in ((at - before, before), (at + GRAM, after)):
+            for k in range(0, many, 8):
+                key = words.mix(key * _K[1] + (view[start + k] & words.KEEP[min(many - k, 8)]))
+        mine = np.flatnonzero((inside >= before) & (inside + GRAM + after <= sizes))
+        mine = mine[np.argsort(key[mine])]
+        equal = key[mine][1:] == key[mine][:-1]
+        keep[mine[1:][equal]] = True
+        keep[mine[:-1][equal]] = True
     return table.filter(pa.array(keep))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _A, _B, _C = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
@@ -33,7 +33,7 @@ def hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = mix(rest.astype(np.uint64) * _C + np.uint64(1))
     live, at = np.arange(len(starts)), starts
     while len(live):
-        out[live] = mix((out[live] ^ (view[at] & _KEEP[np.minimum(rest[live], 8)])) * _C)
+        out[live] = mix((out[live] ^ (view[at] & KEEP[np.minimum(rest[live], 8)])) * _C)
         rest[live] -= 8
         live = live[rest[live] > 0]
         at = starts[live] + (ends[live] - starts[live] - rest[live])
