@@ -13,7 +13,7 @@ def model():
     many = [f"note {i} mail user{i}@mail.example.com and call +1 (415) 555-{1000 + i} from 10.0.0.{i} ref {rng.randint(100, 99999)}" for i in range(60)]
     many += ["pay 4111111111111111 now. Later the holder wrote 11111111 again", "call +1 (415) 555-0199 or 4155550199 today"]  # as test_pii has it
     many += ["ask hsr.29@mail5.example.com, that is hsr.29 to us", "5927243074273351 and 5927243074273351", "x@y.zz"]
-    return pii.fit([pii.graph(t, pii.base_spans(t)) for t in many])
+    return pii.fit(pii.examples(many))
 
 
 @pytest.mark.parametrize(
@@ -43,3 +43,47 @@ def test_long_tokens(model):
     assert pii._shape(head + "12345678901234567890") == pii._shape("12345678901234567890," * 30 + "a" * 700)
     text = f'{head}"+1 415 555 0199",{head} {head}"4155550199",{head} {head}z'
     assert [text[a:b] for a, _, b in pii.added_spans(text, pii.base_spans(text), model)] == ["4155550199"]
+
+
+def planted(text, rng):
+    """text with one base span of it written once more, in a way that no fit has seen, and where that stands."""
+    spans = [(a, k, b) for a, k, b in pii.base_spans(text) if k != 1 and pii._base_keys(text[a:b], k)]
+    if not spans:
+        return None
+    a, k, b = rng.choice(spans)
+    if k == 0:
+        said = rng.choice(["{}@office", "{}"]).format(pii._name(text[a:b].partition("@")[0]).title())
+    else:
+        digits = pii._digits(text[a:b])[-10:]
+        said = rng.choice(["({}) {}-{}", "{}.{}.{}", "{} / {} / {}"]).format(digits[:-7], digits[-7:-4], digits[-4:]) if len(digits) > 7 else digits
+    head = text + rng.choice(["\nSee also: ", "\n\nP.S. reach me under ", " -- filed as "])
+    return head + said + rng.choice([" please.", ", as before", "\nThanks"]), len(head), len(head) + len(said), k
+
+
+def measured(spark, folder):
+    """Of texts that are not held out a model; on the others: share of planted mentions found, spans added to texts as they are."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("text IS NOT NULL")
+    trained = pii.train(docs.filter("crc32(cast(doc_id AS string)) % 5 <> 0"))
+    rng, found, tried, added, chance = random.Random(11), 0, 0, [], 0
+    others = [r.text for r in docs.filter("crc32(cast(doc_id AS string)) % 5 = 0").orderBy("doc_id").collect()]
+    for n, text in enumerate(others):
+        spans = pii.base_spans(text)
+        added += [(text[a:b], k) for a, k, b in pii.added_spans(text, spans, trained)]
+        if case := planted(text, rng):
+            whole, a, b, k = case
+            got = pii.added_spans(whole, pii.base_spans(whole), trained)
+            if pii._line(pii.base_spans(whole)) == pii._line(spans):  # not itself a match of the patterns
+                tried += 1
+                found += any(x < b and y > a and kind == k for x, kind, y in got)
+        # A number and a name that this text does not know: nothing of them may be added.
+        strange = text + f"\nref {rng.randrange(10**9, 10**10)} by {rng.choice(['newton', 'mira.k', 'x9'])}{n}"
+        got = pii.added_spans(strange, pii.base_spans(strange), trained)
+        chance += any(y > len(text) for _, _, y in got)
+    return found, tried, added, chance, len(others)
+
+
+def test_held_out(spark):
+    found, tried, added, chance, texts = measured(spark, "/root/testdata/sf0.1")
+    print(f"planted mentions found {found} of {tried}; added to {texts} texts as they are: {added}; strange numbers and names added: {chance}")
+    assert tried >= 50 and found >= 0.9 * tried and chance == 0
+    assert len(added) <= 0.002 * texts

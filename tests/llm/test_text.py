@@ -233,6 +233,12 @@ def test_pii(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [base.count(k + ":") for k in pii.KINDS]
     spans = {r.doc_id: r.spans for r in got}
     assert "phone:26:36" in spans[2] and spans[5] == "" and spans[7] == ""
+    assert spans[1] == "card:4:20,card:49:57" and spans[6] == "email:4:28,email:38:44"
+    again = spark.createDataFrame([(1, r[1]) for r in rows] * 3, "doc_id bigint, text string")  # one id in every row, more rows than the sample
+    first = pii.train(again, sample=40)
+    assert np.array_equal(first.weights, pii.train(again.repartition(5), sample=40).weights)
+    many_nodes = spark.createDataFrame([(1, "12 " * 50_000 + rows[0][1])], "doc_id bigint, text string")
+    assert pii.train(many_nodes).ready
     clean = {r.doc_id: r for r in pii.redact(docs, model).collect()}
     assert clean[2].text == "call [PHONE] or [PHONE] today" and clean[3].text is None and clean[2].spans == 1
     none = pii.train(docs.limit(0))

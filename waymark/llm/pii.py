@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -92,11 +93,10 @@ class Graph:
     label: list[int] = field(default_factory=list)  # 0: not covered by a base span
     chain: list[tuple[int, int]] = field(default_factory=list)
     skip: list[tuple[int, int]] = field(default_factory=list)
+    truth: list[int] = field(default_factory=list)  # for fits: the label, or -1 where it is not known
 
 
 WIDTH = 64
-#: Least log potential of two tied mentions having the same label: a tie by chance is taken for one in about three thousand.
-TIE = 8.0
 
 
 def _shape(token: str) -> list[int]:
@@ -314,45 +314,102 @@ def _design(features: list[list[int]]) -> np.ndarray:
     return x
 
 
-def _ratios(pairs: list[tuple[int, int]]) -> np.ndarray:
-    """How much more often two labels meet than by chance, as logarithms, both ways alike for ties."""
-    counts = np.full((len(LABELS), len(LABELS)), 0.5)
-    for a, b in pairs:
-        counts[a, b] += 1
-    p = counts / counts.sum()
-    return np.clip(np.log(p / (p.sum(axis=1)[:, None] * p.sum(axis=0)[None, :])), -4, 4)
-
-
-def fit(graphs: list[Graph], steps: int = 200) -> Model:
-    """Piecewise training, the base patterns' labels standing for the truth: a softmax over token features, and the
-    association of labels over each sort of edge. The patterns themselves are no features, so what is learned is what
-    their matches look like. A token that the patterns leave out but that a tie leads to from a match is what the field is
-    to decide, so it has no known label and takes no part."""
-    unknown = [{b for edge in g.skip for a, b in (edge, edge[::-1]) if g.label[a] and not g.label[b]} for g in graphs]
-    known = lambda kind: [(g.label[i], g.label[j]) for g, u in zip(graphs, unknown, strict=True) for i, j in getattr(g, kind) if i not in u and j not in u]
-    features = [f for g, u in zip(graphs, unknown, strict=True) for i, f in enumerate(g.features) if i not in u]
-    labels = np.array([y for g, u in zip(graphs, unknown, strict=True) for i, y in enumerate(g.label) if i not in u], int)
+def _forms(span: str, kind: int) -> list[str]:
+    """Other ways to write what a base span says, which the patterns miss."""
+    if kind == 0:
+        name = _name(span.partition("@")[0])
+        return [name, name.upper()] if len(name) > 3 else []
+    digits = _digits(span)
+    if kind == 1 or len(digits) < 7:
+        return []
+    groups = [digits[max(i - 4, 0) : i] for i in range(len(digits), 0, -4)][::-1]
+    return [digits[-7:], digits[-8:], digits, " ".join(groups[-3:]), "-".join(groups[-2:])]
+
+
+def example(text: str, foreign: str = "", nodes: int = 60) -> Graph:
+    """The graph of a text for a fit, with mentions of known labels planted behind it.
+
+    Each base span of the text is written once more, in a form that the patterns miss, so a tie with a known label leads to it. A
+    base span of another text (`foreign`) is put after them: what meets its keys in this text does so by chance, and is no entity.
+    A mention of the text itself that meets a key of its own spans has no known label. Of long texts a stretch of at most
+    `nodes` nodes is taken, the planted ones included.
+    """
+    spans, planted, whole = base_spans(text), {}, text
+    for i, (a, k, b) in enumerate(spans[:: max(1, len(spans) // 8)]):
+        if forms := _forms(text[a:b], k):
+            form = forms[(zlib.crc32(text.encode()) + i) % len(forms)]
+            whole += "\nnote: "
+            planted[len(whole), len(whole) + len(form)] = k + 1
+            whole += form + " again"
+    own = len(whole)
+    whole += "\n" + foreign
+    g = graph(whole, base_spans(whole))
+    near: dict[int, list[int]] = {}
+    for i, j in g.skip:
+        near.setdefault(i, []).append(j)
+        near.setdefault(j, []).append(i)
+    for i, label in enumerate(g.label):
+        if not label and (known := planted.get(g.spans[i])):
+            label = known
+        elif not label and any(g.label[j] and g.spans[j][0] < own for j in near.get(i, ())):
+            label = -1
+        g.truth.append(label)
+    first = max(0, len(g.label) - nodes)
+    inside = lambda edges: [(i - first, j - first) for i, j in edges if i >= first and j >= first]
+    return Graph(g.spans[first:], g.features[first:], g.label[first:], inside(g.chain), inside(g.skip), g.truth[first:])
+
+
+def examples(texts: list[str]) -> list[Graph]:
+    """An example of each text, the last base span before it as the foreign one."""
+    out, foreign = [], ""
+    for text in texts:
+        out.append(example(text, foreign))
+        for a, _, b in base_spans(text)[:1]:
+            foreign = text[a:b]
+    return out
+
+
+def fit(graphs: list[Graph], steps: int = 300, ridge: float = 1e-5) -> Model:
+    """Weights of features, neighbours and ties together, by the pseudo-likelihood of the known labels: each node's label given
+    its features and its neighbours' labels, as far as they are known. The patterns themselves are no features. What ties are
+    worth is told by planted mentions, which look like no entity, and by chance meetings with spans of other texts."""
+    truth = np.array([y for g in graphs for y in g.truth], int)
     n = len(LABELS)
-    if not len(labels) or not labels.any():
+    if not (truth > 0).any():
         return Model(np.zeros((WIDTH + 1, n)), np.zeros((n, n)), np.zeros((n, n)), False)
-    x, y = _design(features), np.eye(n)[labels]
-    w = np.zeros((WIDTH + 1, n))
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    x = _design([f for g in graphs for f in g.features])
+    left, right, tied = (np.zeros((len(truth), n)) for _ in range(3))  # how many neighbours of each label a node has
+    at = 0
+    for g in graphs:
+        for edges, forth, back in ((g.chain, left, right), (g.skip, tied, tied)):
+            for i, j in edges:
+                if truth[at + i] >= 0 and truth[at + j] >= 0:
+                    forth[at + j, truth[at + i]] += 1
+                    back[at + i, truth[at + j]] += 1
+        at += len(g.truth)
+    known = truth >= 0
+    x, left, right, tied, y = x[known], left[known], right[known], tied[known], np.eye(n)[truth[known]]
+    # What kinds have in common about ties, agreement of entities and an entity's tie to none, has weights of its own beside those
+    # of each pair of labels, so that a kind with few examples is helped by the others.
+    agree, differ = np.diag([0.0, *[1.0] * (n - 1)]), np.zeros((n, n))
+    differ[0, 1:] = differ[1:, 0] = 1
+    params = np.zeros((WIDTH + 1 + 2 * n + 1, n))
+    m, v = np.zeros_like(params), np.zeros_like(params)
+    weights, chain, skip = slice(0, WIDTH + 1), slice(WIDTH + 1, WIDTH + 1 + n), slice(WIDTH + 1 + n, -1)
+    ties = lambda: params[skip] + params[skip].T + params[-1, 0] * agree + params[-1, 1] * differ
     for step in range(1, steps + 1):
-        p = x @ w
+        c = params[chain]
+        p = x @ params[weights] + left @ c + right @ c.T + tied @ ties()
         p = np.exp(p - p.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        grad = x.T @ (y - p) / len(x) - 1e-4 * w
+        miss = y - p
+        tie = tied.T @ miss
+        common = np.zeros((1, n))
+        common[0, :2] = (tie * agree).sum(), (tie * differ).sum()
+        grad = np.concatenate([x.T @ miss, left.T @ miss + (right.T @ miss).T, tie + tie.T, common]) / len(x) - ridge * params
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        w = w + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    chain = _ratios(known("chain"))
-    ties = known("skip")
-    skip = _ratios(ties + [(b, a) for a, b in ties])
-    # Unrelated tokens of a text hardly ever have seven digits or a name in common, so agreement of tied mentions counts at
-    # least TIE, whatever a small sample has of them; the shape of a token can still speak against it.
-    skip = np.where(np.eye(n, dtype=bool), np.maximum(skip, TIE), np.minimum(skip, 0.0))
-    skip[0, 0] = min(skip[0, 0], 0.5)
-    return Model(w, chain, skip)
+        params = params + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return Model(params[weights], params[chain], ties())
 
 
 def propagate(g: Graph, model: Model, rounds: int = 30, damping: float = 0.3) -> np.ndarray:
@@ -412,27 +469,30 @@ def added_spans(text: str, spans: list[tuple[int, int, int]], model: Model, sure
     return sorted(out)
 
 
-def train(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", longest: int = 200_000) -> Model:
-    """Fit on the documents among `sample` ids, the first by a hash of the id, that hold candidate tokens and at most `longest`
-    bytes. Only features, labels and ties come to the driver. Without any the model adds no spans."""
+def train(docs: DataFrame, sample: int = 20_000, nodes: int = 60, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on the documents among `sample` ids, the first by a hash of the id, that hold a digit or an `@`; of rows that share an
+    id the first by their features, `sample` rows in all. Only features, labels and ties of at most `nodes` nodes of each come to
+    the driver. Null texts do not count; without any base span the model adds no spans."""
     ids = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = F.col(text_col)
-    rows = docs.filter(text.rlike("[0-9@]") & (F.octet_length(text) <= longest)).select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    rows = docs.filter(text.rlike("[0-9@]")).select(F.col(id_col).alias("doc_id"), text.alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = pa.list_(pa.list_(pa.int32()))
+        kinds = {"features": pairs, "label": pa.list_(pa.int32()), "chain": pairs, "skip": pairs, "truth": pa.list_(pa.int32())}
         for batch in batches:
-            found = [graph(t, base_spans(t)) for t in arrow.texts(batch, "text")]
-            pick = lambda f, t: pa.array([f(g) for g in found], t)
-            pairs = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [pick(lambda g: g.features, pairs), pick(lambda g: g.label, pa.list_(pa.int32())), pick(lambda g: g.chain, pairs), pick(lambda g: g.skip, pairs)],
-                ["features", "label", "chain", "skip"],
-            )
-
-    schema = "features array<array<int>>, label array<int>, chain array<array<int>>, skip array<array<int>>"
-    found = rows.join(F.broadcast(ids.distinct()), "doc_id").select("text").mapInArrow(extract, schema).limit(2 * sample).toArrow().to_pylist()
-    graphs = [Graph([], r["features"], r["label"], r["chain"], r["skip"]) for r in found]
-    return fit(sorted(graphs, key=lambda g: (g.label, g.features, g.chain, g.skip)))
+            found = [example(t, f, nodes) for t, f in zip(arrow.texts(batch, "text"), arrow.texts(batch, "foreign"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), *(pa.array([getattr(g, c) for g in found], t) for c, t in kinds.items())], ["h", *kinds])
+
+    # The foreign span is made up from the id, so that it does not depend on how rows lie: a number and a name.
+    h = F.xxhash64("doc_id")
+    number = F.lpad(F.pmod(h, F.lit(10**10)).cast("string"), 10, "7")
+    foreign = F.concat(F.lit("+1 "), number, F.lit(" or user"), F.substring(number, 1, 3), F.lit("@example.com"))
+    schema = "h bigint, features array<array<int>>, label array<int>, chain array<array<int>>, skip array<array<int>>, truth array<int>"
+    found = rows.join(F.broadcast(ids.distinct()), "doc_id").select(h.alias("h"), "text", foreign.alias("foreign")).mapInArrow(extract, schema)
+    # In a fixed order, for sums of floats depend on it.
+    kept = found.orderBy("h", "label", "features", "chain", "skip", "truth").limit(sample).toArrow().to_pylist()
+    return fit([Graph([], r["features"], r["label"], r["chain"], r["skip"], r["truth"]) for r in kept])
 
 
 def _line(spans: list[tuple[int, int, int]]) -> str:
