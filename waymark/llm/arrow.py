@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,24 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Give memory that is free by now back to the system: workers live on, and beside them stands the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches that releases memory at the end of its task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def unused(name: str, *columns: list[str]) -> str:
     """name, or name with underscores before it so that none of the columns is called that, in any case."""
     taken = {c.lower() for names in columns for c in names}

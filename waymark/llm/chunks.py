@@ -218,6 +218,7 @@ def _assembled(docs: DataFrame, model: str, ranks: str, mean: int, chunk_bytes:
             if keep.any():
                 own = first[mine][keep]
                 rows.append((table.column("bucket")[0].as_py(), where, np.frombuffer(at, "<i4")[keep].tobytes(), keys[mine][keep].tobytes(), own.tobytes()))
+        arrow.release()
         return _rows(rows, "bucket slice at keys own", [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
     def encode_own(texts: pa.Table, told: pa.Table) -> pa.Table:
@@ -230,6 +231,7 @@ def _assembled(docs: DataFrame, model: str, ranks: str, mean: int, chunk_bytes:
                     ids = enc.encode_many([known[c].decode() for c in np.frombuffer(at, "<i4")[own].tolist()])
                     sizes = np.array([len(x) // 4 for x in ids], "<i4").tobytes()
                     rows.append((bucket, np.frombuffer(keys, "<u8").reshape(-1, 2)[own].tobytes(), sizes, b"".join(ids)))
+        arrow.release()
         return _rows(rows, "bucket keys sizes ids", [pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
     def deliver(table: pa.Table) -> pa.Table:
@@ -247,6 +249,7 @@ def _assembled(docs: DataFrame, model: str, ranks: str, mean: int, chunk_bytes:
             mine = [ids[k] for k in source[of[at : at + len(place) // 4]].tolist()]
             at += len(place) // 4
             out.append((where, place, np.array([len(x) for x in mine], "<i4").tobytes(), np.concatenate(mine).tobytes()))
+        arrow.release()
         return _rows(out, "slice at sizes ids", [pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
     def assemble(texts: pa.Table, told: pa.Table) -> pa.Table:
@@ -262,11 +265,12 @@ def _assembled(docs: DataFrame, model: str, ranks: str, mean: int, chunk_bytes:
             for k, x in zip(left, enc.encode_many([own.chunks[k].decode() for k in left]), strict=True):
                 ids[k] = np.frombuffer(x, "<u4")
             out.append(finish(enc, own.doc_id, Joiner(enc).join(own.order, ids, own.chunks)))
+        arrow.release()
         return pa.concat_tables(out) if out else finish(enc, pa.array([], id_type), [])
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    slices = docs.mapInArrow(pack, "slice bigint, data binary").repartition("slice")
-    asked = slices.mapInArrow(ask, "bucket bigint, slice bigint, at binary, keys binary")
+    slices = docs.mapInArrow(arrow.tidy(pack), "slice bigint, data binary").repartition("slice")
+    asked = slices.mapInArrow(arrow.tidy(ask), "bucket bigint, slice bigint, at binary, keys binary")
     told = asked.groupBy("bucket").applyInArrow(settle, "bucket bigint, slice bigint, at binary, keys binary, own binary")
     own = slices.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(encode_own, "bucket bigint, keys binary, sizes binary, ids binary")
     met = told.drop("own").unionByName(own, allowMissingColumns=True)
@@ -314,7 +318,7 @@ def decode(encoded: DataFrame, model: str = "byte_bpe_50k.json", ranks: str = "b
             text = [None if x is None else enc.decode(np.array(x, np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(text, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(arrow.tidy(run), f"doc_id {kind}, ids array<int>, text string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
@@ -340,7 +344,7 @@ def reuse(docs: DataFrame, mean: int = 1024, id_col: str = "doc_id", text_col: s
                     sizes += np.diff([0, *ends]).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(sizes, pa.int64())], ["key", "size"])
 
-    each = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key string, size bigint").groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    each = docs.select(F.col(text_col).alias("text")).mapInArrow(arrow.tidy(run), "key string, size bigint").groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size"))
     return each.agg(
         F.sum("n").alias("chunks"), F.count("*").alias("distinct_chunks"), F.sum(F.col("n") * F.col("size")).alias("bytes"), F.sum("size").alias("distinct_bytes"),
     )

@@ -156,7 +156,7 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
                     ["doc_id", "n_shingles", "hi", "lo"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, hi bigint, lo bigint")
+    return docs.mapInArrow(arrow.tidy(run), f"doc_id {kind}, n_shingles bigint, hi bigint, lo bigint")
 
 
 def _deal(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -234,13 +234,15 @@ def _shared_counts(docs: DataFrame, alike: Similarity, width: int, buckets: int)
             if len(who):
                 rows.append((where, who.tobytes(), n.astype("<i8").tobytes()))
         kinds = [pa.int64(), pa.binary(), pa.binary()]
+        arrow.release()
         return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["slice", "nodes", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
         node, run = np.unique(_bytes(table, "nodes", "<i8"), return_inverse=True)
+        arrow.release()
         return pa.table({"node": node, "n": np.bincount(run, _bytes(table, "counts", "<i8"), len(node)).astype(np.int64)})
 
-    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(pack, "bucket bigint, slice bigint, keys binary, nodes binary, counts binary")
+    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(arrow.tidy(pack), "bucket bigint, slice bigint, keys binary, nodes binary, counts binary")
     met = packed.groupBy("bucket").applyInArrow(meet, "slice bigint, nodes binary, counts binary")
     return met.groupBy("slice").applyInArrow(total, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("shared"))
 
@@ -256,7 +258,7 @@ def _slices(docs: DataFrame, width: int) -> DataFrame:
                 nodes = part.column("node").to_numpy(zero_copy_only=False).astype(np.int64)
                 yield _batch([(nodes.tobytes(), sizes.tobytes(), np.concatenate(sets).tobytes())], ["nodes", "sizes", "shingles"], [pa.binary()] * 3)
 
-    return docs.mapInArrow(run, "nodes binary, sizes binary, shingles binary").withColumn("slice", F.monotonically_increasing_id())
+    return docs.mapInArrow(arrow.tidy(run), "nodes binary, sizes binary, shingles binary").withColumn("slice", F.monotonically_increasing_id())
 
 
 def _sets(slices: DataFrame) -> DataFrame:
@@ -271,7 +273,7 @@ def _sets(slices: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows, ["node", "shingles"], [pa.int64(), pa.binary()])
 
-    return slices.select("nodes", "sizes", "shingles").mapInArrow(run, "node bigint, shingles binary")
+    return slices.select("nodes", "sizes", "shingles").mapInArrow(arrow.tidy(run), "node bigint, shingles binary")
 
 
 def _frequencies(slices: DataFrame, buckets: int) -> DataFrame:
@@ -299,9 +301,10 @@ def _frequencies(slices: DataFrame, buckets: int) -> DataFrame:
                 rows.append((where, key[at : at + size][keep].tobytes(), total[at : at + size][keep].tobytes()))
             at += size
         kinds = [pa.int64(), pa.binary(), pa.binary()]
+        arrow.release()
         return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["slice", "keys", "held"])
 
-    packed = slices.select("slice", "shingles").mapInArrow(pack, "bucket bigint, slice bigint, keys binary, held binary")
+    packed = slices.select("slice", "shingles").mapInArrow(arrow.tidy(pack), "bucket bigint, slice bigint, keys binary, held binary")
     return packed.groupBy("bucket").applyInArrow(count, "slice bigint, keys binary, held binary")
 
 
@@ -343,12 +346,14 @@ def _rare_edges(slices: DataFrame, held: DataFrame, alike: Similarity, buckets:
             rows = [(k, key[i:j].tobytes(), node[i:j].tobytes(), None) for k, i, j in parts]
             if len(a):
                 rows.append((int(a[0]) % buckets, None, a.tobytes(), b.tobytes()))
+        arrow.release()
         return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names)
 
     def tie(table: pa.Table) -> pa.Table:
         own = pc.is_valid(table.column("keys"))
         sent, told = table.filter(own), table.filter(pc.invert(own))
         _, a, b = _stars(_bytes(sent, "keys", "<u8"), _bytes(sent, "nodes", "<i8"))
+        arrow.release()
         return pa.table({"a": np.concatenate([a, _bytes(told, "nodes", "<i8")]), "b": np.concatenate([b, _bytes(told, "hubs", "<i8")])})
 
     chosen = slices.groupBy("slice").cogroup(held.groupBy("slice")).applyInArrow(pick, "bucket bigint, keys binary, nodes binary, hubs binary")
@@ -377,7 +382,7 @@ def _blocks(rows: DataFrame, keys: list[str], alike: Similarity, reps: bool = Fa
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.binary()), pa.array(f, pa.int64())], ["a", "b", "shingles", "family"])
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "node")
-    return dealt.mapInArrow(run, "a bigint, b bigint, shingles binary, family bigint")
+    return dealt.mapInArrow(arrow.tidy(run), "a bigint, b bigint, shingles binary, family bigint")
 
 
 def _small(df: DataFrame) -> DataFrame:

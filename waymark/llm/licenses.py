@@ -215,7 +215,7 @@ def scan(
                 )
 
     schema = f"doc_id {kind}, unit string, first_line int, last_line int, license string, shared int, total int"
-    hits = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    hits = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(arrow.tidy(run), schema)
     return hits.withColumn("dice", 2.0 * F.col("shared") / F.col("total"))
 
 
@@ -306,7 +306,7 @@ def windows(
                 )
 
     schema = f"doc_id {kind}, first_word bigint, last_word bigint, license string, shared int, total int"
-    hits = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    hits = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(arrow.tidy(run), schema)
     return hits.withColumn("dice", 2.0 * F.col("shared") / F.col("total"))
 
 
@@ -368,5 +368,5 @@ def per_document(
                 )
 
     schema = f"doc_id {kind}, n_matches bigint, best_template string, dice double, licenses string"
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(arrow.tidy(run), schema)
     return out.withColumn("dice", F.round("dice", 6))

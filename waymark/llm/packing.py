@@ -45,8 +45,9 @@ def token_pieces(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids"]
                 )
+        enc.forget()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut_up, PIECES.format(id=kind))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(arrow.tidy(cut_up), PIECES.format(id=kind))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -161,7 +162,7 @@ def best_fit(items: DataFrame, order: list[str], capacity: int = 2048, length_co
 
     kinds = dict(items.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sequence_id bigint, offset bigint"
-    return ranked.select(*names, rank).mapInArrow(place, schema).unionByName(whole)
+    return ranked.select(*names, rank).mapInArrow(arrow.tidy(place), schema).unionByName(whole)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, **options) -> DataFrame:

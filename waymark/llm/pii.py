@@ -489,7 +489,7 @@ def train(docs: DataFrame, sample: int = 20_000, nodes: int = 60, id_col: str =
     number = F.lpad(F.pmod(h, F.lit(10**10)).cast("string"), 10, "7")
     foreign = F.concat(F.lit("+1 "), number, F.lit(" or user"), F.substring(number, 1, 3), F.lit("@example.com"))
     schema = "h bigint, features array<array<int>>, label array<int>, chain array<array<int>>, skip array<array<int>>, truth array<int>"
-    found = rows.join(F.broadcast(ids.distinct()), "doc_id").select(h.alias("h"), "text", foreign.alias("foreign")).mapInArrow(extract, schema)
+    found = rows.join(F.broadcast(ids.distinct()), "doc_id").select(h.alias("h"), "text", foreign.alias("foreign")).mapInArrow(arrow.tidy(extract), schema)
     # In a fixed order, for sums of floats depend on it.
     kept = found.orderBy("h", "label", "features", "chain", "skip", "truth").limit(sample).toArrow().to_pylist()
     return fit([Graph([], r["features"], r["label"], r["chain"], r["skip"], r["truth"]) for r in kept])
@@ -524,7 +524,7 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 )
 
     schema = f"doc_id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base string, spans string"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(arrow.tidy(run), schema)
 
 
 def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -549,4 +549,4 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 text = pa.array([clean(t) for t in part.column(text_col).to_pylist()], pa.string())
                 yield part.set_column(part.schema.get_field_index(text_col), text_col, text)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(arrow.tidy(run), docs.schema)

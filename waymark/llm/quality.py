@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 3000, lines: int = 200
                 yield pa.RecordBatch.from_arrays([part.column("h"), part.column("quality").cast(pa.int32()), pa.array(raw, pa.binary())], ["h", "quality", "features"])
 
     # In a fixed order, for sums of floats depend on it; repeated ids may give more rows than were chosen.
-    found = sample.mapInArrow(extract, "h bigint, quality int, features binary").orderBy("h", "quality", "features").limit(rows).toArrow()
+    found = sample.mapInArrow(arrow.tidy(extract), "h bigint, quality int, features binary").orderBy("h", "quality", "features").limit(rows).toArrow()
     pairs = sorted(zip(found.column("quality").to_pylist(), found.column("features").to_pylist(), strict=True))
     x = [np.frombuffer(f, "<f4").reshape(-1, 3 * OWN + 2).astype(np.float64) for _, f in pairs]
     return fit(x, np.array([int(q) for q, _ in pairs]))
@@ -255,4 +255,4 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], [*columns, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` double"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(arrow.tidy(run), schema)

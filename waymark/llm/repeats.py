@@ -254,7 +254,7 @@ def remove(docs: DataFrame, length: int = 50, crowd: int = CROWD, id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array([place + count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["g", "data"])
                 count += 1
 
-    own = cut(marked.filter(~again).select("d", "doc_id", "text").mapInArrow(pack, "g bigint, data binary"))
+    own = cut(marked.filter(~again).select("d", "doc_id", "text").mapInArrow(arrow.tidy(pack), "g bigint, data binary"))
 
     def group(data: bytes) -> Group:
         return Group(pa.ipc.open_stream(data).read_all(), length, buckets)
@@ -272,9 +272,10 @@ def remove(docs: DataFrame, length: int = 50, crowd: int = CROWD, id_col: str =
         g, at, code, many = zip(*found, strict=True) if found else ((), (), (), ())
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
         bucket = [table.column("bucket")[0].as_py()] * len(g)
+        arrow.release()
         return pa.table([pa.array(x, t) for x, t in zip((g, bucket, at, code, many), kinds, strict=True)], ["g", "bucket", "at", "code", "crowd"])
 
-    asked = own.mapInArrow(ask, "g bigint, bucket bigint, anchor binary, stretch binary, docs binary")
+    asked = own.mapInArrow(arrow.tidy(ask), "g bigint, bucket bigint, anchor binary, stretch binary, docs binary")
     codes = cut(asked.groupBy("bucket").applyInArrow(settle, "g bigint, bucket bigint, at binary, code binary, crowd boolean"))
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -292,6 +293,7 @@ def remove(docs: DataFrame, length: int = 50, crowd: int = CROWD, id_col: str =
                 ))
         columns = list(zip(*rows, strict=True)) or [()] * 7
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+        arrow.release()
         return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["g", "k", "anchor", "d", "crowd", "inside", "context"])
 
     # Texts are shuffled once, for the two steps that need them beside what the buckets said.
@@ -325,7 +327,7 @@ def remove(docs: DataFrame, length: int = 50, crowd: int = CROWD, id_col: str =
         if kept:
             yield done()
 
-    bits = sent.filter("NOT crowd").repartition("anchor").sortWithinPartitions("anchor", "d").mapInArrow(arrays, "g bigint, k bigint, bits bigint")
+    bits = sent.filter("NOT crowd").repartition("anchor").sortWithinPartitions("anchor", "d").mapInArrow(arrow.tidy(arrays), "g bigint, k bigint, bits bigint")
     if crowded:
         bits = bits.unionByName(_crowd(sent.filter("crowd"), length))
 
@@ -362,6 +364,7 @@ def remove(docs: DataFrame, length: int = 50, crowd: int = CROWD, id_col: str =
                 out.append((own.ids[i], len(raw), n, spans, kept, hashlib.sha256(kept).hexdigest()))
         columns = list(zip(*out, strict=True)) or [()] * 6
         kinds = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+        arrow.release()
         return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)

@@ -117,6 +117,10 @@ class Encoder:
                 self.units.pop(w, None)
         return out
 
+    def forget(self) -> None:
+        """Empty the cache of units, at the end of a task."""
+        self.units = {}
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
