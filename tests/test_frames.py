@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from waymark.functions import scalars
 from waymark.functions.sharpness import _variance, array_sharpness, image_sharpness
 from waymark.operators import filtering, geo, logs, matching, models, points, summary
+from waymark import schemas
 from waymark.plans import stages
 from waymark.schemas import Params
 from waymark.sources import catalogue, sinks
@@ -145,6 +146,19 @@ def test_models(spark, tmp_path):
     scores = frames(spark, [150.0, 90.0]).unionByName(frames(spark, [150.0], "x"))
     out = stages.run_all(scores, found, fixes, Params()).collect()
     assert [r.video_id for r in out] == ["v"] and out[0].result.stages.filter.final_count == 1 and out[0].result.stages.demux.gps_csv == "v/gps.csv"
+    assert out[0].result.source_video is None and out[0].result.final_outputs.model_path == "v/sparse/1"
+    videos = spark.createDataFrame([("v", "in/v.mp4")], "video_id string, path string")
+    got = stages.run_all(scores, found, fixes, Params(), videos).first().result
+    assert got.source_video == got.stages.demux.source_video == "in/v.mp4" and got.stages.demux.frame_dir == "v/frames"
+    assert (got.stages.filter.input_dir, got.stages.filter.output_dir) == ("v/frames", "v/frames_filtered")
+    sfm = got.stages.sfm
+    assert (sfm.workspace, sfm.ply_path, sfm.frames_path, sfm.gps_csv_path) == ("v/sparse", "v/model.ply", "v/frames_filtered", "v/gps.csv")
+    assert sfm.files_exist.images and sfm.files_exist.ply and not sfm.files_exist.cameras and sfm.ply_size_mb == 1.0
+    _, funnel = stages.filter_stage(scores)
+    sinks.write_metadata(funnel, str(tmp_path / "filter"))
+    sinks.write_metadata(stages.sfm_stage(found), str(tmp_path / "sfm"))
+    keys = {f.name for f in schemas.FILTER_METADATA}
+    assert keys <= set(spark.read.json(str(tmp_path / "filter")).columns) and spark.read.json(str(tmp_path / "sfm")).count() == 2
     with pytest.raises(ValueError):
         stages.run_stage("other")
 
@@ -183,6 +197,15 @@ def test_ply_and_points(spark, tmp_path):
     cloud = catalogue.ply_points(spark, str(tmp_path))
     out = sorted(map(tuple, points.normalise_colours(cloud).select("point_id", "x", "r", "b").collect()))
     assert out == [(0, 1.0, 1.0, 0.2), (1, 4.0, 0.0, 0.0)]
+    (tmp_path / "odd").mkdir()
+    big = np.array([(7, 8, 9, 1, 2, 3)], [(n, k.replace("<", ">")) for n, k in kind]).tobytes()
+    (tmp_path / "odd" / "b.ply").write_bytes(head.replace("little", "big").replace("vertex 2", "vertex 1").encode() + big)
+    (tmp_path / "odd" / "none.ply").write_bytes(b"ply\nformat binary_little_endian 1.0\nend_header\n")
+    assert [tuple(r) for r in catalogue.ply_points(spark, str(tmp_path / "odd")).select("cloud_id", "x", "z").collect()] == [("b", 7.0, 9.0)]
+    (tmp_path / "text").mkdir()
+    (tmp_path / "text" / "a.ply").write_bytes(head.replace("binary_little_endian", "ascii").encode())
+    with pytest.raises(Exception, match="ascii"):
+        catalogue.ply_points(spark, str(tmp_path / "text")).collect()
     small = spark.createDataFrame([("c", 0.5, 0.2, 1.0, 9.0)], "cloud_id string, r double, g double, b double, a double")
     assert tuple(points.normalise_colours(small).first()) == ("c", 0.5, 0.2, 1.0)
     sinks.write_points(cloud, str(tmp_path / "out"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import scalars
@@ -250,10 +250,8 @@ SELECT a AS image_a, b AS image_b, va AS desc_a, vb AS desc_b, round(dist, 6) AS
 FROM k WHERE rn = 1 AND dist < 0.95 * second""")
 def ratio_match(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("label").alias("image"), F.col("vec_id").alias("desc_id"), F.col("embedding").alias("vec"))
-    images = vectors.select("image").distinct()
-    pairs = images.alias("a").join(images.alias("b"), F.col("b.image") > F.col("a.image")).groupBy(F.col("a.image").alias("image_a")).agg(
-        F.min("b.image").alias("image_b")
-    )
+    images = vectors.filter("image IS NOT NULL").select(F.col("image").alias("image_a")).distinct()
+    pairs = images.withColumn("image_b", F.lead("image_a").over(Window.orderBy("image_a"))).filter("image_b IS NOT NULL")
     out = matching.ratio_match(pairs, vectors, RATIO)
     return out.select("image_a", "image_b", "desc_a", "desc_b", F.round("dist", 6).alias("dist"), F.round("second", 6).alias("second"))
 

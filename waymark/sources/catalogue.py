@@ -100,9 +100,13 @@ def artifacts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ply_points(spark: SparkSession, root: str) -> DataFrame:
-    """Binary little-endian PLY files with float or double x, y, z and optional colours; one task a file."""
+    """Binary PLY files of either byte order with float or double x, y, z and optional colours; one task a file.
+
+    A file without vertices gives no rows; one in another format, or with lists among its vertices, is an error.
+    """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").option("recursiveFileLookup", "true").load(root)
-    kinds = {"float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8", "uchar": "u1", "uint8": "u1", "int": "<i4", "uint": "<u4"}
+    kinds = {"float": "f4", "float32": "f4", "double": "f8", "float64": "f8", "uchar": "u1", "uint8": "u1", "char": "i1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4"}
+    orders = {"binary_little_endian": "<", "binary_big_endian": ">"}
     names = {"red": "r", "green": "g", "blue": "b"}
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,13 +114,18 @@ def ply_points(spark: SparkSession, root: str) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 head, _, body = content.partition(b"end_header\n")
                 lines = [x.split() for x in head.decode("ascii", "replace").splitlines()]
-                count = next(int(x[2]) for x in lines if x[:2] == ["element", "vertex"])
+                form = next((x[1] for x in lines if x[:1] == ["format"] and len(x) > 1), "none")
+                if form not in orders:
+                    raise ValueError(f"{path}: PLY format {form} is not read")
+                count = next((int(x[2]) for x in lines if x[:2] == ["element", "vertex"]), 0)
+                if not count:
+                    continue
                 fields, inside = [], False
                 for x in lines:
                     if x[:1] == ["element"]:
                         inside = x[1] == "vertex"
                     elif inside and x[:1] == ["property"]:
-                        fields.append((names.get(x[2], x[2]), kinds[x[1]]))
+                        fields.append((names.get(x[2], x[2]), orders[form] + kinds[x[1]]))
                 points = np.frombuffer(body, np.dtype(fields), count)
                 out = pd.DataFrame({"cloud_id": [path.rsplit("/", 1)[-1].rsplit(".", 1)[0]] * count, "point_id": np.arange(count)})
                 for name in "xyzrgb":
