@@ -220,6 +220,27 @@ def videos_without_frames(spark, d):
     return filtering.without(videos, scores(spark, d))
 
 
+@query("""SELECT c_custkey AS video_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')""")
+def videos_without_model(spark, d):
+    """What require_models names: videos whose artifacts hold no model. Only purchases count as files of a model."""
+    videos = table(spark, d, "customer").select(F.col("c_custkey").alias("video_id"))
+    model = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    found = table(spark, d, "events").select(F.col("user_id").alias("video_id"), model.alias("model_id"))
+    return filtering.without(videos, found.filter(F.col("model_id").isNotNull()))
+
+
+@query("""SELECT user_id AS video_id, event_id AS frame_no, printf('frame_%07d.jpg', event_id) AS path FROM events ORDER BY 1, 2, 3""")
+def frames_in_order(spark, d):
+    return filtering.in_order(scores(spark, d)).select("video_id", "frame_no", "path")
+
+
+@query("""WITH n AS (SELECT event_id, printf('frame_%07d.jpg', event_id) AS path FROM events)
+SELECT event_id, CAST(split_part(replace(path, '.jpg', ''), '_', 2) AS BIGINT) AS frame_no FROM n""")
+def frame_numbers_strict(spark, d):
+    names = table(spark, d, "events").select("event_id", scalars.out_name(F.col("event_id")).alias("path"))
+    return names.select("event_id", scalars.frame_no_strict(F.col("path")).alias("frame_no"))
+
+
 @query(f"WITH {SEQ} SELECT a.user_id AS video_id, a.seq AS seq_a, b.seq AS seq_b FROM f a JOIN f b ON a.user_id = b.user_id AND b.seq > a.seq AND b.seq <= a.seq + 3")
 def sequential_pairs(spark, d):
     return matching.sequential_pairs(numbered(spark, d), OVERLAP)
