@@ -51,3 +51,23 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(30), SF).columns == docs.columns
     assert exact.drop_copies(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0), pii.train(docs.limit(0))).count() == 0
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Null and empty texts, repeated and null ids, a long text and columns with the names of our own go through all stages; so does no row."""
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1"), "doc_id").limit(12).collect()]
+    rows = [(i, t, "en", "s", 0, 1, "x", 2.5) for i, t in enumerate(good)]
+    rows += [(3, good[3], "en", "s", 0, 2, "y", 1.5), (4, good[5], "en", "s", 0, 1, "x", 0.5), (None, good[6], None, None, None, None, None, None), (20, None, "en", "s", 0, 1, "x", 1.0)]
+    rows += [(21, "", "en", "s", 0, 1, "x", 1.0), (22, good[7] * 200, "en", "s", 0, 1, "x", 1.0), (23, good[8].swapcase().lower(), "en", "s", 0, 1, "x", 1.0)]
+    kind = "doc_id bigint, text string, lang string, source string, n_chars int, _score int, _sha string, _slot double"
+    docs = spark.createDataFrame(rows, kind)
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "a/labels.parquet"))
+    docs.write.parquet(str(tmp_path / "a/documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path / "a"))
+        assert out.columns == docs.columns and out.count() > 0
+    whole = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    assert whole and max(r.offset + r.length for r in whole) <= 2048
+    docs.limit(0).write.parquet(str(tmp_path / "b/documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "b/labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).collect() == []
