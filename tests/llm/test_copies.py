@@ -89,6 +89,33 @@ def test_jaccard(spark, near, percent, width, block):
     assert got == brute_links(near, percent, width)
 
 
+@pytest.mark.parametrize("passages, rounds", [(True, 2), (False, 1)])
+def test_jaccard_unlinked_family(spark, monkeypatch, passages, rounds):
+    """Texts hang together by rare shingles, but few are linked: texts of common passages, whose keys are crowded and so split,
+    or windows of a long text, which hang together as a chain."""
+    rng = random.Random(1)
+    pool = [" ".join(f"p{k}w{i}" for i in range(20)) for k in range(60)]
+    rows = []
+    for i in range(300):
+        text = " ".join(rng.sample(pool, 6)) if passages else " ".join(f"w{k}" for k in range(12 * i, 12 * i + 110))
+        rows.append((2 * i + 10, text))
+        if i % 10 == 0 if passages else i > 290:
+            rows.append((2 * i + 11, text.replace(" ", f" odd{i} ", 1)))
+    calls, keyed = [], jaccard._link_keyed
+
+    def watch(*args, last, **options):
+        out = keyed(*args, last=last, **options)
+        calls.append(last)
+        return out
+
+    monkeypatch.setattr(jaccard, "_link_keyed", watch)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs, 90, 3, 1500).collect()}
+    assert got == brute_links(rows, 90, 3)
+    assert len(calls) == rounds
+    assert len({c for _, c in got.values()}) >= 290
+
+
 def test_jaccard_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(100))
     rows = [(3, text), (3, text), (5, text + " more"), (None, text), (None, None), (None, "alone words here"), (9, "q")]

@@ -317,6 +317,24 @@ def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order[start], pairs[:, 0], pairs[:, 1]
 
 
+def _rarest(left: pa.Table, right: pa.Table, alike: Similarity, more: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice and its frequencies: the number of the set, the rank in it by rarity, and the shingle, for those among the
+    first `alike.first` + more of a set that another document has; in order of set and rank."""
+    sizes, shingle = _bytes(left, "sizes", "<i8"), _bytes(left, "shingles", "<u8")
+    known, held = _bytes(right, "keys", "<u8"), _bytes(right, "held", "<i8")
+    if not len(known) or not len(shingle):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    order = np.argsort(known)
+    known, held = known[order], held[order]
+    at = np.minimum(np.searchsorted(known, shingle), len(known) - 1)
+    n = np.where(known[at] == shingle, held[at], 1)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((shingle, n, doc))
+    rank = np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc]
+    keep = (rank < alike.first(sizes)[doc] + more) & (n[order] > 1)
+    return doc[keep], rank[keep], shingle[order[keep]]
+
+
 def _rare_edges(slices: DataFrame, held: DataFrame, alike: Similarity, buckets: int) -> DataFrame:
     """Edges (a, b) by which documents that share one of their rarest shingles hang together.
 
@@ -326,19 +344,10 @@ def _rare_edges(slices: DataFrame, held: DataFrame, alike: Similarity, buckets:
 
     def pick(left: pa.Table, right: pa.Table) -> pa.Table:
         names, kinds = ["bucket", "keys", "nodes", "hubs"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        sizes, shingle = _bytes(left, "sizes", "<i8"), _bytes(left, "shingles", "<u8")
-        known, held = _bytes(right, "keys", "<u8"), _bytes(right, "held", "<i8")
+        doc, _, key = _rarest(left, right, alike)
         rows = []
-        if len(known) and len(shingle):
-            order = np.argsort(known)
-            known, held = known[order], held[order]
-            at = np.minimum(np.searchsorted(known, shingle), len(known) - 1)
-            n = np.where(known[at] == shingle, held[at], 1)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((shingle, n, doc))
-            rank = np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc]
-            keep = order[(rank < alike.first(sizes)[doc]) & (n[order] > 1)]
-            key, node = shingle[keep], _bytes(left, "nodes", "<i8")[doc[keep]]
+        if len(key):
+            node = _bytes(left, "nodes", "<i8")[doc]
             head, a, b = _stars(key, node)
             key, node = key[head], node[head]
             order, parts = _deal(_bucket(key, buckets), buckets)
@@ -397,8 +406,8 @@ def classes(
 
     Rows with equal sets form a class, in which the smallest id stands for all; copies are never compared. A family of more
     than `block` shingles is split into blocks of about that many: first each block by itself, then one document of each
-    group that is left against those of the other blocks, and what is still apart against everything, block by block. So no
-    task holds more than two blocks, and a family of near copies costs what its size does.
+    group that is left against some of the other blocks, and what is still apart where it shares rare shingles with another
+    group (_link_apart). So no task holds more than a few blocks, and a family costs what its size does.
 
     Null and empty texts have no shingles and link with nothing. Rows of one doc_id are one document with several texts,
     linked by any. A row without doc_id counts in its class but stands for none: if no row of the class has an id it links
@@ -453,21 +462,113 @@ def _link_large(hold: DataFrame, alike: Similarity, block: int) -> DataFrame:
     dealt = reps.join(_small(cut(room)), "family").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(1)), "k2")).drop("k2")
     edges = cut(edges.unionByName(_blocks(dealt, ["family", "tile"], alike).select("a", "b")))
     found = components(edges)
-    # What is still apart: all but the largest group of each family, against the whole family.
-    state = hold.filter("k > 1").drop("label").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    state = cut(state)
-    groups = state.groupBy("family", "label").agg(F.sum(F.octet_length("shingles")).alias("n"))
-    most = groups.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("top"))
-    apart = most.filter("parts > 1").select("family", "most", F.ceil((F.col("all") - F.col("top")) / (8 * block)).cast("bigint").alias("km"))
-    left = state.join(_small(cut(apart)), "family")
-    minor = left.filter("label <> most").withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), "km"))
-    asking = minor.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
-    others = left.withColumn("asks", F.lit(False)).withColumn("j", F.col("tile")).withColumn(
-        "i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("km") - 1))
+    # What is still apart: by the rarest shingles that members of different groups share.
+    state = cut(hold.filter("k > 1").drop("label").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
+    parts = state.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    left = cut(state.join(_small(cut(parts.filter("lo <> hi").select("family"))), "family").select("node", "label", "shingles"))
+    return edges if left.isEmpty() else edges.unionByName(_link_apart(left, alike, block))
+
+
+def _prefixes(left: DataFrame, alike: Similarity) -> DataFrame:
+    """node, label, n, own, keys: of each set its size, its rarest shingles that others have (packed, rarest first; one more than
+    alike sets are sure to share one of), and how many of them are without that one more."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in arrow.slices(batch, "shingles", 4_000_000):
+                sets = part.column("shingles").to_pylist()
+                sizes = np.array([len(x) // 8 for x in sets], "<i8")
+                nodes, labels = (part.column(c).to_numpy(zero_copy_only=False).astype("<i8") for c in ("node", "label"))
+                row = (nodes.tobytes(), labels.tobytes(), sizes.tobytes(), b"".join(sets))
+                yield _batch([row], ["nodes", "labels", "sizes", "shingles"], [pa.binary()] * 4)
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        doc, rank, key = _rarest(left, right, alike, 1)
+        node, label, size = (_bytes(left, c, "<i8") for c in ("nodes", "labels", "sizes"))
+        own = np.bincount(doc[rank < alike.first(size)[doc]], minlength=len(size)).astype(np.int64)
+        ends = np.searchsorted(doc, np.arange(len(size) + 1)).tolist()
+        keys = [key[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        arrow.release()
+        return pa.table({"node": node, "label": label, "n": size, "own": own, "keys": pa.array(keys, pa.binary())})
+
+    packed = left.mapInArrow(arrow.tidy(pack), "nodes binary, labels binary, sizes binary, shingles binary")
+    slices = cut(packed.withColumn("slice", F.monotonically_increasing_id()))
+    volume = slices.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    held = _frequencies(slices, max(8, volume // 8_000_000))
+    return slices.groupBy("slice").cogroup(held.groupBy("slice")).applyInArrow(pick, "node bigint, label bigint, n bigint, own bigint, keys binary")
+
+
+def _keyed(prefixes: DataFrame, after: bool = False) -> DataFrame:
+    """key, node, label, n: a row for each own key of a set; with `after` (rows have such a key) for that key with each behind it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in arrow.slices(batch, "keys", 50_000 if after else 2_000_000):
+                rows = part.to_pylist()
+                found = [np.frombuffer(r["keys"], "<u8") for r in rows]
+                if after:
+                    own = [np.array(r["key"], "<i8").view("<u8") for r in rows]
+                    found = [words.mix(h * _K[0] + f[int(np.flatnonzero(f == h)[0]) + 1 :]) for h, f in zip(own, found, strict=True)]
+                else:
+                    found = [f[: r["own"]] for r, f in zip(rows, found, strict=True)]
+                many = [len(f) for f in found]
+                if sum(many):
+                    fixed = [np.repeat(np.array([r[c] for r in rows], np.int64), many) for c in ("node", "label", "n")]
+                    key = np.concatenate(found).view("<i8")
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, *fixed)], ["key", "node", "label", "n"])
+
+    columns = ["node", "label", "n", "own", "keys", *(["key"] if after else [])]
+    return prefixes.select(*columns).mapInArrow(arrow.tidy(run), "key bigint, node bigint, label bigint, n bigint")
+
+
+def _link_apart(left: DataFrame, alike: Similarity, block: int) -> DataFrame:
+    """Edges between sets (node, label, shingles) of different labels, looked for only where they share a key.
+
+    A key is one of a set's rarest shingles; keys that only one label has are done. Keys of up to `block` shingles in all are
+    dealt together into blocks of about that many. In a larger one, the sets outside its largest label meet all of it, tile by
+    tile, if they fit a block themselves. If not, it is split: two alike sets share a second one of their rarest shingles too,
+    so its sets meet by the key with each that comes behind it. Only sets that share two of their rarest shingles with more
+    than a block of others, in groups of unlinked ones, then still cost their square.
+    """
+    left = left.withColumn("family", F.lit(0).cast("bigint"))
+    prefixes = cut(_prefixes(left, alike))
+    found, wide = _link_keyed(_keyed(prefixes), left, alike, block, last=alike.percent <= 50)
+    if wide is None:
+        return found
+    again = wide.join(prefixes.drop("label", "n"), "node")
+    return found.unionByName(_link_keyed(_keyed(again, after=True), left, alike, block, last=True)[0])
+
+
+def _link_keyed(keyed: DataFrame, left: DataFrame, alike: Similarity, block: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Edges by keys, and the rows (key, node, label, n) of keys that are to be split; none of those if it is the last time."""
+    keyed = cut(keyed)
+    sums = keyed.groupBy("key", "label").agg(F.sum("n").alias("n")).groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("most")
     )
-    columns = ["family", "i", "j", "node", "label", "asks", "shingles"]
-    last = _blocks(asking.select(*columns).unionByName(others.select(*columns)), ["family", "i", "j"], alike).select("a", "b")
-    return edges.unionByName(last)
+    sums = cut(sums.filter("parts > 1"))
+    columns = ["family", "tile", "i", "node", "label", "asks", "shingles"]
+    sets = left.select("node", "family", "label", "shingles")
+
+    mass = sums.filter(F.col("all") <= block).agg(F.sum("all")).first()[0] or 0
+    crowded = cut(sums.filter(F.col("all") > block).withColumn("k", F.ceil(F.col("all") / block)).withColumn("km", F.ceil((F.col("all") - F.col("top")) / block)))
+    # Keys of any size but the crowded ones have few rows, so that this join has no hot key.
+    few = keyed.join(_small(crowded.select("key")), "key", "left_anti").join(sums.select("key"), "key")
+    few = few.select("node", F.pmod(F.xxhash64("key"), F.lit(mass // block + 1)).alias("tile")).distinct()
+    out = _blocks(few.join(sets, "node").select("*", F.lit(True).alias("asks"), F.lit(0).alias("i")).select(*columns), ["tile"], alike).select("a", "b")
+    if crowded.isEmpty():
+        return out, None
+
+    rows = keyed.join(_small(crowded), "key")
+    tiled = rows if last else rows.filter("km = 1")
+    minor = F.col("label") != F.col("most")
+    number = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    asking = tiled.filter(minor).select("key", "node", F.lit(True).alias("asks"), number(2, F.col("km")).alias("i"), upto("k").alias("tile"))
+    asked = tiled.select("key", "node", F.lit(False).alias("asks"), number(3, F.col("k")).alias("tile"), upto("km").alias("i"))
+    met = asking.unionByName(asked).join(sets, "node")
+    out = out.unionByName(_blocks(met.select("key", *columns), ["key", "i", "tile"], alike).select("a", "b"))
+    wide = None if last else cut(rows.filter("km > 1").select("key", "node", "label", "n"))
+    return out, wide if wide is not None and not wide.isEmpty() else None
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, **options) -> DataFrame:
