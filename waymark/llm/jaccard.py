@@ -24,6 +24,7 @@ from waymark.session import cut, small
 
 AXES = 64  # coordinates of a point
 LEAF = 16  # points or boxes in a box
+FEW = 8  # blocks of sets that are compared with all others of a large group, rather than splitting the group
 _K = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -462,11 +463,38 @@ def _link_large(hold: DataFrame, alike: Similarity, block: int) -> DataFrame:
     dealt = reps.join(_small(cut(room)), "family").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(1)), "k2")).drop("k2")
     edges = cut(edges.unionByName(_blocks(dealt, ["family", "tile"], alike).select("a", "b")))
     found = components(edges)
-    # What is still apart: by the rarest shingles that members of different groups share.
+    # What is still apart: few against all of the family, or else by the rarest shingles that members of different groups share.
     state = cut(hold.filter("k > 1").drop("label").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
-    parts = state.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    left = cut(state.join(_small(cut(parts.filter("lo <> hi").select("family"))), "family").select("node", "label", "shingles"))
-    return edges if left.isEmpty() else edges.unionByName(_link_apart(left, alike, block))
+    sums = cut(_sums(state.select(F.col("family").alias("key"), "label", (F.octet_length("shingles") / 8).cast("bigint").alias("n")), block))
+    few, many = (cut(sums.filter(c)) for c in (f"km <= {FEW}", f"km > {FEW}"))
+    if not few.isEmpty():
+        rows = state.select(F.col("family").alias("key"), "node", "label").join(_small(few), "key")
+        edges = edges.unionByName(_few_by_all(rows, state, alike))
+    if not many.isEmpty():
+        left = state.join(_small(many.select(F.col("key").alias("family"))), "family").select("node", "label", "shingles")
+        edges = edges.unionByName(_link_apart(cut(left), alike, block))
+    return edges
+
+
+def _sums(rows: DataFrame, block: int) -> DataFrame:
+    """Of rows key, label, n, for keys with several labels: the sum of n as `all`, the label that has most of it, and the numbers
+    of blocks of all (k) and of what has another label (km)."""
+    sums = rows.groupBy("key", "label").agg(F.sum("n").alias("n")).groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("most")
+    )
+    blocks = lambda n: F.ceil(n / block).cast("bigint")
+    return sums.filter("parts > 1").select("key", "all", "most", blocks(F.col("all")).alias("k"), blocks(F.col("all") - F.col("top")).alias("km"))
+
+
+def _few_by_all(rows: DataFrame, sets: DataFrame, alike: Similarity) -> DataFrame:
+    """Edges between the sets outside a key's largest label and all of the key's, tile by tile. rows: key, node, label, most, k, km."""
+    rows = rows.select("key", "node", "label", "most", "k", "km").distinct()  # a node may have several sets
+    number = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    asking = rows.filter("label <> most").select("key", "node", F.lit(True).alias("asks"), number(2, F.col("km")).alias("i"), upto("k").alias("j"))
+    asked = rows.select("key", "node", F.lit(False).alias("asks"), upto("km").alias("i"), number(3, F.col("k")).alias("j"))
+    met = asking.unionByName(asked).join(sets.select("node", "label", "shingles", F.lit(0).cast("bigint").alias("family")), "node")
+    return _blocks(met, ["key", "i", "j"], alike).select("a", "b")
 
 
 def _prefixes(left: DataFrame, alike: Similarity) -> DataFrame:
@@ -525,12 +553,11 @@ def _link_apart(left: DataFrame, alike: Similarity, block: int) -> DataFrame:
     """Edges between sets (node, label, shingles) of different labels, looked for only where they share a key.
 
     A key is one of a set's rarest shingles; keys that only one label has are done. Keys of up to `block` shingles in all are
-    dealt together into blocks of about that many. In a larger one, the sets outside its largest label meet all of it, tile by
-    tile, if they fit a block themselves. If not, it is split: two alike sets share a second one of their rarest shingles too,
-    so its sets meet by the key with each that comes behind it. Only sets that share two of their rarest shingles with more
-    than a block of others, in groups of unlinked ones, then still cost their square.
+    dealt together into blocks of about that many. In a larger one, the sets outside its largest label meet all of it, if they
+    are few blocks. If not, it is split: two alike sets share a second one of their rarest shingles too, so its sets meet by
+    the key with each that comes behind it. Only sets that share two of their rarest shingles with many blocks of unlinked
+    others then still cost their square.
     """
-    left = left.withColumn("family", F.lit(0).cast("bigint"))
     prefixes = cut(_prefixes(left, alike))
     found, wide = _link_keyed(_keyed(prefixes), left, alike, block, last=alike.percent <= 50)
     if wide is None:
@@ -542,32 +569,19 @@ def _link_apart(left: DataFrame, alike: Similarity, block: int) -> DataFrame:
 def _link_keyed(keyed: DataFrame, left: DataFrame, alike: Similarity, block: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Edges by keys, and the rows (key, node, label, n) of keys that are to be split; none of those if it is the last time."""
     keyed = cut(keyed)
-    sums = keyed.groupBy("key", "label").agg(F.sum("n").alias("n")).groupBy("key").agg(
-        F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("most")
-    )
-    sums = cut(sums.filter("parts > 1"))
-    columns = ["family", "tile", "i", "node", "label", "asks", "shingles"]
-    sets = left.select("node", "family", "label", "shingles")
-
-    mass = sums.filter(F.col("all") <= block).agg(F.sum("all")).first()[0] or 0
-    crowded = cut(sums.filter(F.col("all") > block).withColumn("k", F.ceil(F.col("all") / block)).withColumn("km", F.ceil((F.col("all") - F.col("top")) / block)))
+    sums = cut(_sums(keyed, block))
+    mass = sums.filter("k = 1").agg(F.sum("all")).first()[0] or 0
+    crowded = cut(sums.filter("k > 1"))
     # Keys of any size but the crowded ones have few rows, so that this join has no hot key.
-    few = keyed.join(_small(crowded.select("key")), "key", "left_anti").join(sums.select("key"), "key")
-    few = few.select("node", F.pmod(F.xxhash64("key"), F.lit(mass // block + 1)).alias("tile")).distinct()
-    out = _blocks(few.join(sets, "node").select("*", F.lit(True).alias("asks"), F.lit(0).alias("i")).select(*columns), ["tile"], alike).select("a", "b")
+    near = keyed.join(_small(crowded.select("key")), "key", "left_anti").join(sums.select("key"), "key")
+    near = near.select("node", F.pmod(F.xxhash64("key"), F.lit(mass // block + 1)).alias("tile")).distinct()
+    sets = left.select("node", "label", "shingles", F.lit(True).alias("asks"), F.lit(0).cast("bigint").alias("family"))
+    out = _blocks(near.join(sets, "node"), ["tile"], alike).select("a", "b")
     if crowded.isEmpty():
         return out, None
-
     rows = keyed.join(_small(crowded), "key")
-    tiled = rows if last else rows.filter("km = 1")
-    minor = F.col("label") != F.col("most")
-    number = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    asking = tiled.filter(minor).select("key", "node", F.lit(True).alias("asks"), number(2, F.col("km")).alias("i"), upto("k").alias("tile"))
-    asked = tiled.select("key", "node", F.lit(False).alias("asks"), number(3, F.col("k")).alias("tile"), upto("km").alias("i"))
-    met = asking.unionByName(asked).join(sets, "node")
-    out = out.unionByName(_blocks(met.select("key", *columns), ["key", "i", "tile"], alike).select("a", "b"))
-    wide = None if last else cut(rows.filter("km > 1").select("key", "node", "label", "n"))
+    out = out.unionByName(_few_by_all(rows if last else rows.filter(f"km <= {FEW}"), left, alike))
+    wide = None if last else cut(rows.filter(f"km > {FEW}").select("key", "node", "label", "n"))
     return out, wide if wide is not None and not wide.isEmpty() else None
 
 
