@@ -24,7 +24,6 @@ from waymark.session import cut, small
 
 AXES = 64  # coordinates of a point
 LEAF = 16  # points or boxes in a box
-FEW = 8  # blocks of sets that are compared with all others of a large group, rather than splitting the group
 _K = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -465,8 +464,8 @@ def _link_large(hold: DataFrame, alike: Similarity, block: int) -> DataFrame:
     found = components(edges)
     # What is still apart: few against all of the family, or else by the rarest shingles that members of different groups share.
     state = cut(hold.filter("k > 1").drop("label").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
-    sums = cut(_sums(state.select(F.col("family").alias("key"), "label", (F.octet_length("shingles") / 8).cast("bigint").alias("n")), block))
-    few, many = (cut(sums.filter(c)) for c in (f"km <= {FEW}", f"km > {FEW}"))
+    sums = cut(_sums(state.select(F.col("family").alias("key"), "label", (F.octet_length("shingles") / 8).cast("bigint").alias("n")), alike, block))
+    few, many = (cut(sums.filter(c)) for c in ("cheap", "NOT cheap"))
     if not few.isEmpty():
         rows = state.select(F.col("family").alias("key"), "node", "label").join(_small(few), "key")
         edges = edges.unionByName(_few_by_all(rows, state, alike))
@@ -476,14 +475,18 @@ def _link_large(hold: DataFrame, alike: Similarity, block: int) -> DataFrame:
     return edges
 
 
-def _sums(rows: DataFrame, block: int) -> DataFrame:
-    """Of rows key, label, n, for keys with several labels: the sum of n as `all`, the label that has most of it, and the numbers
-    of blocks of all (k) and of what has another label (km)."""
-    sums = rows.groupBy("key", "label").agg(F.sum("n").alias("n")).groupBy("key").agg(
-        F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("most")
+def _sums(rows: DataFrame, alike: Similarity, block: int, copies: float = 1.0) -> DataFrame:
+    """Of rows key, label, n, for keys with several labels: the sum of n as `all`, the label that has most of it, the numbers of
+    blocks of all (k) and of what has another label (km), and whether to meet tile by tile is cheaper, as it copies less, than to
+    split the key by the rarest shingles of its sets, of which each gives so many copies."""
+    keys = F.expr(f"n * (n - ({alike.percent} * n + 99) DIV 100 + 1)") * copies
+    sums = rows.groupBy("key", "label").agg(F.sum("n").alias("n"), F.sum(keys).alias("split")).groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("most"),
+        F.sum("split").alias("split"),
     )
     blocks = lambda n: F.ceil(n / block).cast("bigint")
-    return sums.filter("parts > 1").select("key", "all", "most", blocks(F.col("all")).alias("k"), blocks(F.col("all") - F.col("top")).alias("km"))
+    out = sums.filter("parts > 1").select("key", "all", "top", "most", "split", blocks(F.col("all")).alias("k"), blocks(F.col("all") - F.col("top")).alias("km"))
+    return out.select("key", "all", "most", "k", "km", F.expr("all * CAST(km AS DOUBLE) + (all - top) * CAST(k AS DOUBLE) <= split").alias("cheap"))
 
 
 def _few_by_all(rows: DataFrame, sets: DataFrame, alike: Similarity) -> DataFrame:
@@ -553,8 +556,8 @@ def _link_apart(left: DataFrame, alike: Similarity, block: int) -> DataFrame:
     """Edges between sets (node, label, shingles) of different labels, looked for only where they share a key.
 
     A key is one of a set's rarest shingles; keys that only one label has are done. Keys of up to `block` shingles in all are
-    dealt together into blocks of about that many. In a larger one, the sets outside its largest label meet all of it, if they
-    are few blocks. If not, it is split: two alike sets share a second one of their rarest shingles too, so its sets meet by
+    dealt together into blocks of about that many. In a larger one, the sets outside its largest label meet all of it, if that
+    copies less. If not, it is split: two alike sets share a second one of their rarest shingles too, so its sets meet by
     the key with each that comes behind it. Only sets that share two of their rarest shingles with many blocks of unlinked
     others then still cost their square.
     """
@@ -569,7 +572,7 @@ def _link_apart(left: DataFrame, alike: Similarity, block: int) -> DataFrame:
 def _link_keyed(keyed: DataFrame, left: DataFrame, alike: Similarity, block: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Edges by keys, and the rows (key, node, label, n) of keys that are to be split; none of those if it is the last time."""
     keyed = cut(keyed)
-    sums = cut(_sums(keyed, block))
+    sums = cut(_sums(keyed, alike, block, 0.5))  # a key meets half of a set's keys, as it meets those behind it only
     mass = sums.filter("k = 1").agg(F.sum("all")).first()[0] or 0
     crowded = cut(sums.filter("k > 1"))
     # Keys of any size but the crowded ones have few rows, so that this join has no hot key.
@@ -580,8 +583,8 @@ def _link_keyed(keyed: DataFrame, left: DataFrame, alike: Similarity, block: int
     if crowded.isEmpty():
         return out, None
     rows = keyed.join(_small(crowded), "key")
-    out = out.unionByName(_few_by_all(rows if last else rows.filter(f"km <= {FEW}"), left, alike))
-    wide = None if last else cut(rows.filter(f"km > {FEW}").select("key", "node", "label", "n"))
+    out = out.unionByName(_few_by_all(rows if last else rows.filter("cheap"), left, alike))
+    wide = None if last else cut(rows.filter("NOT cheap").select("key", "node", "label", "n"))
     return out, wide if wide is not None and not wide.isEmpty() else None
 
 
