@@ -467,8 +467,8 @@ def _link_large(hold: DataFrame, alike: Similarity, block: int) -> DataFrame:
     sums = cut(_sums(state.select(F.col("family").alias("key"), "label", (F.octet_length("shingles") / 8).cast("bigint").alias("n")), alike, block))
     few, many = (cut(sums.filter(c)) for c in ("cheap", "NOT cheap"))
     if not few.isEmpty():
-        rows = state.select(F.col("family").alias("key"), "node", "label").join(_small(few), "key")
-        edges = edges.unionByName(_few_by_all(rows, state, alike))
+        rows = state.select(F.col("family").alias("key"), "node", "label", "shingles").join(_small(few), "key")
+        edges = edges.unionByName(_few_by_all(rows, alike))
     if not many.isEmpty():
         left = state.join(_small(many.select(F.col("key").alias("family"))), "family").select("node", "label", "shingles")
         edges = edges.unionByName(_link_apart(cut(left), alike, block))
@@ -489,15 +489,15 @@ def _sums(rows: DataFrame, alike: Similarity, block: int, copies: float = 1.0) -
     return out.select("key", "all", "most", "k", "km", F.expr("all * CAST(km AS DOUBLE) + (all - top) * CAST(k AS DOUBLE) <= split").alias("cheap"))
 
 
-def _few_by_all(rows: DataFrame, sets: DataFrame, alike: Similarity) -> DataFrame:
-    """Edges between the sets outside a key's largest label and all of the key's, tile by tile. rows: key, node, label, most, k, km."""
-    rows = rows.select("key", "node", "label", "most", "k", "km").distinct()  # a node may have several sets
+def _few_by_all(rows: DataFrame, alike: Similarity) -> DataFrame:
+    """Edges between the sets outside a key's largest label and all of the key's, tile by tile. rows: key, node, label, shingles,
+    most, k, km. A row's copies are made right before they are dealt, one behind the other, so that they compress well."""
     number = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    asking = rows.filter("label <> most").select("key", "node", F.lit(True).alias("asks"), number(2, F.col("km")).alias("i"), upto("k").alias("j"))
-    asked = rows.select("key", "node", F.lit(False).alias("asks"), upto("km").alias("i"), number(3, F.col("k")).alias("j"))
-    met = asking.unionByName(asked).join(sets.select("node", "label", "shingles", F.lit(0).cast("bigint").alias("family")), "node")
-    return _blocks(met, ["key", "i", "j"], alike).select("a", "b")
+    own = ["key", F.lit(0).cast("bigint").alias("family"), "node", "label", "shingles"]
+    asking = rows.filter("label <> most").select(*own, F.lit(True).alias("asks"), number(2, F.col("km")).alias("i"), upto("k").alias("j"))
+    asked = rows.select(*own, F.lit(False).alias("asks"), upto("km").alias("i"), number(3, F.col("k")).alias("j"))
+    return _blocks(asking.unionByName(asked), ["key", "i", "j"], alike).select("a", "b")
 
 
 def _prefixes(left: DataFrame, alike: Similarity) -> DataFrame:
@@ -583,7 +583,8 @@ def _link_keyed(keyed: DataFrame, left: DataFrame, alike: Similarity, block: int
     if crowded.isEmpty():
         return out, None
     rows = keyed.join(_small(crowded), "key")
-    out = out.unionByName(_few_by_all(rows if last else rows.filter("cheap"), left, alike))
+    tiled = (rows if last else rows.filter("cheap")).select("key", "node", "most", "k", "km").distinct()  # a node may have several sets
+    out = out.unionByName(_few_by_all(tiled.join(left.select("node", "label", "shingles"), "node"), alike))
     wide = None if last else cut(rows.filter("NOT cheap").select("key", "node", "label", "n"))
     return out, wide if wide is not None and not wide.isEmpty() else None
 
