@@ -76,3 +76,23 @@ def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
                 start = i
     if key is not None:
         yield key, pa.Table.from_batches(held)
+
+
+def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of about so many rows from a stream that is sorted by integer keys; no run of equal keys is parted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held)
+            last = np.ones(table.num_rows, bool)
+            for k in keys:
+                column = table.column(k).to_numpy()
+                last &= column == column[-1]
+            start = table.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+            if start:
+                yield table.slice(0, start)
+                held = table.slice(start).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)

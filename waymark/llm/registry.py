@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chunks, exact, jaccard, licenses, packing, pii, quality, repeats, topk, urls
+from waymark.llm import chunks, exact, jaccard, licenses, merkle, packing, pii, quality, repeats, topk, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,31 @@ def op10_line_crf_quality(spark, d):
 def op9_suffix_dedup(spark, d):
     """No SQL: all strings of all texts. Tested against brute force."""
     return repeats.remove(table(spark, d, "documents")).drop("kept")
+
+
+# crc32 by its table of 256 values; a value v of n bytes as n:v; levels as lists, halved until each has one digest.
+_CRC = """k AS (SELECT [list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, (x & 1) * 3988292384)) FOR v IN range(256)] AS t)"""
+_FIELDS = " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "{n}", "text"))
+_UP = "[sha256(l[2 * i - 1] || coalesce(l[2 * i], '')) FOR i IN range(1, (len(l) + 1) // 2 + 1)]"
+
+
+@query(f"""WITH RECURSIVE {_CRC},
+d AS (SELECT doc_id, lang, sha256({_FIELDS.format(n="n_chars")}) AS leaf, sha256({_FIELDS.format(n="(n_chars + 1)")}) AS other,
+  xor(list_reduce(list_prepend(4294967295, [ascii(x) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 7 = 0 AS hit FROM documents, k),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+s(lang, level, l) AS (SELECT lang, 0, list(leaf ORDER BY pos) FROM o GROUP BY lang UNION ALL SELECT lang, level + 1, {_UP} FROM s WHERE len(l) > 1),
+r AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM s WHERE len(l) = 1),
+u(level, l) AS (SELECT 0, list(subroot ORDER BY place) FROM r UNION ALL SELECT level + 1, {_UP} FROM u WHERE len(l) > 1),
+v AS (SELECT 0 AS tree, lang, level, l FROM s UNION ALL SELECT 1, r.lang, level, l FROM u, r),
+g AS (SELECT o.doc_id, o.leaf, o.pos, o.lang, r.subroot, r.place, CASE WHEN hit AND n.other IS NOT NULL THEN n.other ELSE o.leaf END AS start
+  FROM o JOIN r ON o.lang IS NOT DISTINCT FROM r.lang JOIN (SELECT doc_id, leaf, other FROM d) n ON n.doc_id IS NOT DISTINCT FROM o.doc_id AND n.leaf = o.leaf),
+w AS (SELECT g.doc_id, g.leaf, row_number() OVER (PARTITION BY g.doc_id, g.leaf ORDER BY tree, level) AS step, p, v.l[xor(p, 1) + 1] AS sib
+  FROM (SELECT g.*, tree, level, v.l, CASE WHEN tree = 0 THEN pos ELSE place END >> level AS p FROM g JOIN v ON v.lang IS NOT DISTINCT FROM g.lang WHERE len(v.l) > 1) g, LATERAL (SELECT g.l) v),
+f(doc_id, leaf, step, x) AS (SELECT doc_id, leaf, 0, start FROM g UNION ALL
+  SELECT f.doc_id, f.leaf, w.step, sha256(CASE WHEN w.p % 2 = 0 THEN f.x || coalesce(w.sib, '') ELSE w.sib || f.x END) FROM f JOIN w ON w.doc_id = f.doc_id AND w.leaf = f.leaf AND w.step = f.step + 1),
+e AS (SELECT doc_id, leaf, arg_max(x, step) AS x FROM f GROUP BY 1, 2),
+q AS (SELECT doc_id, leaf, string_agg(sib, '' ORDER BY step) AS sibs FROM w GROUP BY 1, 2)
+SELECT g.doc_id, g.leaf, subroot, root, sha256(coalesce(sibs, '')) AS proof_sha256, e.x AS folded_root, e.x = root AS verified
+FROM g JOIN e ON e.doc_id = g.doc_id AND e.leaf = g.leaf LEFT JOIN q ON q.doc_id = g.doc_id AND q.leaf = g.leaf, (SELECT l[1] AS root FROM u WHERE len(l) = 1)""")
+def op13_merkle(spark, d):
+    return merkle.manifest(table(spark, d, "documents"), merkle.tampered())
