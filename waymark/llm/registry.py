@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chunks, exact, jaccard, licenses, merkle, packing, pii, quality, repeats, topk, urls
+from waymark.llm import chunks, exact, jaccard, licenses, merkle, packing, pii, quality, repeats, spelling, topk, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -163,3 +163,23 @@ SELECT g.doc_id, g.leaf, subroot, root, sha256(coalesce(sibs, '')) AS proof_sha2
 FROM g JOIN e ON e.doc_id = g.doc_id AND e.leaf = g.leaf LEFT JOIN q ON q.doc_id = g.doc_id AND q.leaf = g.leaf, (SELECT l[1] AS root FROM u WHERE len(l) = 1)""")
 def op13_merkle(spark, d):
     return merkle.manifest(table(spark, d, "documents"), merkle.tampered())
+
+
+_BYTES = "flatten([CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END FOR x IN string_split(doc_id || ':' || run, '')])"
+
+
+@query(rf"""WITH RECURSIVE {_CRC},
+t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n FROM t GROUP BY 1, 2),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, {_BYTES}), (lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))), 4294967295) AS h FROM c, k),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+p AS (SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM w, unnest(range(1, length(word) + 1)) AS r(i)),
+x AS (SELECT p.word AS u, w.word AS v FROM p JOIN w ON p.a || p.b = w.word),
+e AS (SELECT u, v FROM x UNION SELECT v, u FROM x UNION SELECT p.word, q.word FROM p JOIN p q ON p.i = q.i AND p.a || '*' || p.b = q.a || '*' || q.b AND p.word <> q.word),
+g AS (SELECT u, count(*) AS n_near, arg_min(v, (-w.n, v)) AS best, max(w.n) AS top FROM e JOIN w ON w.word = v GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * w.n THEN best END AS form, CASE WHEN top >= 2 * w.n THEN top END AS form_n FROM w LEFT JOIN g ON u = word),
+r(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.form)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.form IS NULL""")
+def op11_spelling(spark, d):
+    return spelling.variants(table(spark, d, "documents"))
