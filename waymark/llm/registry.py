@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chunks, exact, jaccard, licenses, merkle, packing, pii, quality, repeats, spelling, topk, urls
+from waymark.llm import chunks, exact, jaccard, language, licenses, merkle, packing, pii, quality, repeats, spelling, topk, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -183,3 +183,10 @@ r(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT r.word,
 SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.form IS NULL""")
 def op11_spelling(spark, d):
     return spelling.variants(table(spark, d, "documents"))
+
+
+@query()
+def op12_language(spark, d):
+    """No SQL: a trained network. Tested by held-out accuracy, and its gradients against differences."""
+    docs = table(spark, d, "documents")
+    return language.predict(docs, language.train(docs))
