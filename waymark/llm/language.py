@@ -51,13 +51,12 @@ class Layer:
         own[:HIDDEN, _PAD] = _SHUT
         return cls(own, rng.normal(0, 0.3, (3 * HIDDEN, HIDDEN)).astype(np.float32))
 
-    def run(self, steps: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States (steps, H, n) after each step over bytes (steps, n); keep gets what going back needs."""
+    def run(self, steps: np.ndarray, out: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Fill out (steps, H, n) with the states after each step over bytes (steps, n); keep gets what going back needs."""
         n, h = HIDDEN, np.zeros((HIDDEN, steps.shape[1]), np.float32)
-        out = np.empty((len(steps), *h.shape), np.float32)
         half = np.float32(0.5)
         for t, byte in enumerate(steps):
-            a = self.own.take(byte, axis=1)
+            a = self.own.take(byte, axis=1, mode="clip")
             u = self.back @ h
             gate = a[: 2 * n]
             gate += u[: 2 * n]
@@ -110,9 +109,11 @@ class Model:
 
     def labels(self, rows: np.ndarray, keep: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Chances (steps, languages, n) at every byte of windows (n, steps), and both states there (steps, 2H, n)."""
-        steps = np.ascontiguousarray(rows.T)
+        steps = np.ascontiguousarray(rows.T).astype(np.intp)
         ahead, behind = keep or (None, None)
-        states = np.concatenate([self.ahead.run(steps, ahead), self.behind.run(steps[::-1], behind)[::-1]], axis=1)
+        states = np.empty((len(steps), 2 * HIDDEN, len(rows)), np.float32)
+        self.ahead.run(steps, states[:, :HIDDEN], ahead)
+        self.behind.run(steps[::-1], states[::-1, HIDDEN:], behind)
         p = self.out @ states
         p += self.bias[:, None]
         p -= p.max(axis=1, keepdims=True)
