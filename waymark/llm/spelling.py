@@ -3,7 +3,8 @@
 A word is the vector of how many of its letters fall into each of 24 groups; the trie has a level for each group, a child for each
 count. One edit adds a letter to a group, takes one from a group, or does both, so a search goes depth first through the trie and
 may take at each level the child with the same count, with one more (once: the surplus) or with one less (once: the deficit).
-Words at the leaves it reaches are compared letter by letter.
+Words at the leaves it reaches are compared letter by letter. Of two words with different vectors the one that has less at the
+first level that tells them apart looks for the other: so a deficit comes only after a surplus, and each pair is met once.
 
 The trie is cut into shards: nodes with at most `most` words, each at the depth that it needs. Words go to their shard, and as
 questions to every shard within their budget; a shard is a stretch of a task's stream, its words first.
@@ -15,7 +16,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ _ORDER = b"etaoinshrdlcumwfgypbvkjxqz"
 _GROUP = np.arange(256) % GROUPS
 _GROUP[list(_ORDER)] = np.arange(26) % GROUPS
 #: Depths at which the trie may be cut into shards.
-DEPTHS = (0, 2, 5, 9, 14, GROUPS)
+DEPTHS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 17, GROUPS)
 _HELD = 400_000  # words counted in a task before they are passed on
+_WIDE = 32  # letters compared side by side; longer words are compared one by one
 _FRONT = 200_000  # places in the trie that a search follows side by side
 
 
@@ -98,22 +100,23 @@ def reach(vec: np.ndarray, node: np.ndarray, depth: int) -> Iterator[tuple[np.nd
     word, and the node."""
     begin = node.shape[1]
     moved = node.astype(np.int16) - vec[:, :begin]
-    surplus, deficit = (moved > 0).sum(axis=1) == 0, (moved < 0).sum(axis=1) == 0
+    surplus, deficit = (moved > 0).any(axis=1), (moved < 0).any(axis=1)
     straight = np.hstack([node, vec[:, begin:depth]])
     levels = range(begin, depth)
-    more, less = {j: surplus & (vec[:, j] < 255) for j in levels}, {j: deficit & (vec[:, j] > 0) for j in levels}
-    yield np.arange(len(vec)), straight
-    for j in levels:
-        for allowed, by in ((more[j], 1), (less[j], -1)):
-            which = np.flatnonzero(allowed)
-            to = straight[which]
-            to[:, j] += np.uint8(by % 256)
-            yield which, to
-    for j, k in permutations(levels, 2):
-        which = np.flatnonzero(more[j] & less[k])
+    more, less = {j: ~surplus & (vec[:, j] < 255) for j in levels}, {j: vec[:, j] > 0 for j in levels}
+    moves = [(), *((j, None) for j in levels), *((None, j) for j in levels), *combinations(levels, 2)]
+    for up, down in (m or (None, None) for m in moves):
+        allowed = np.ones(len(vec), bool)
+        if up is not None:
+            allowed &= more[up]
+        if down is not None:
+            allowed &= less[down] & ~deficit & (surplus | (up is not None))
+        which = np.flatnonzero(allowed)
         to = straight[which]
-        to[:, j] += np.uint8(1)
-        to[:, k] -= np.uint8(1)
+        if up is not None:
+            to[:, up] += np.uint8(1)
+        if down is not None:
+            to[:, down] -= np.uint8(1)
         yield which, to
 
 
@@ -132,8 +135,8 @@ class Trie:
             self.keys.append((parent[new] << 8) | rows[new, level])
         self.first = np.r_[np.flatnonzero(new), len(rows)]
 
-    def search(self, shard: np.ndarray, vec: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (question, word) whose vectors are apart by a surplus and a deficit of one at most."""
+    def search(self, shard: np.ndarray, vec: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs (question, word) whose vectors are apart by a surplus and then a deficit of one at most, and whether they are apart."""
         at = np.searchsorted(self.shards, shard)
         none = np.zeros(len(shard), bool)
         stack = [(0, np.arange(len(shard)), at, none, none)]
@@ -146,10 +149,10 @@ class Trie:
             if level == GROUPS:
                 size = self.first[node + 1] - self.first[node]
                 place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                yield np.repeat(of, size), self.order[np.repeat(self.first[node], size) + place]
+                yield np.repeat(of, size), self.order[np.repeat(self.first[node], size) + place], np.repeat(surplus, size)
                 continue
             keys, count, onward = self.keys[level], vec[of, level].astype(np.int64), []
-            for by, allowed in ((0, None), (1, ~surplus & (count < 255)), (-1, ~deficit & (count > 0))):
+            for by, allowed in ((0, None), (1, ~surplus & (count < 255)), (-1, surplus & ~deficit & (count > 0))):
                 mine = np.arange(len(of)) if allowed is None else np.flatnonzero(allowed)
                 key = (node[mine] << 8) | (count[mine] + by)
                 child = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
@@ -169,87 +172,135 @@ def near(a: bytes, b: bytes) -> bool:
     return a[same + 1 :] == b[same + (len(a) == len(b)) :] and a != b
 
 
-_ASK = "word string, vec binary, node binary"
+def grid(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The first _WIDE letters of each word, padded with zeros, and the words' lengths."""
+    out = np.array([w[:_WIDE] for w in words], f"S{_WIDE}").view(np.uint8).reshape(-1, _WIDE)
+    return out, np.array([len(w) for w in words])
+
+
+def near_rows(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """As near, for rows of words of at most _WIDE letters, side by side."""
+    out = np.zeros(len(a), bool)
+    even = np.flatnonzero(size_a == size_b)
+    out[even] = (a[even] != b[even]).sum(axis=1) == 1
+    for x, y, size in ((a, b, size_a - size_b), (b, a, size_b - size_a)):
+        rows = np.flatnonzero(size == 1)  # x has a letter more
+        long, short = x[rows], y[rows]
+        first = (long != short).argmax(axis=1)  # where the letter is, or later in a run of that letter
+        late = (long[:, 1:] != short[:, :-1]) & (np.arange(_WIDE - 1) >= first[:, None])
+        out[rows] = ~late.any(axis=1)
+    return out
 
 
 def _ask(asks: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, raw = batch.column("word"), batch.column("vec")
-            vec, node = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("vec", "node"))
+            word, n = batch.column("word"), batch.column("n")
+            vec = vectors([w.encode("latin-1") for w in word.to_pylist()])
+            node = np.frombuffer(b"".join(batch.column("node").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             for which, to in reach(vec, node, depth):
                 if len(which):
-                    take = pa.array(which)
                     nodes = to.tobytes()
                     cells = [nodes[i : i + depth] for i in range(0, len(nodes), depth)]
-                    yield pa.RecordBatch.from_arrays([word.take(take), raw.take(take), pa.array(cells, pa.binary())], ["word", "vec", "node"])
+                    take = pa.array(which)
+                    yield pa.RecordBatch.from_arrays([word.take(take), n.take(take), pa.array(cells, pa.binary())], ["word", "n", "node"])
 
-    return asks.mapInArrow(run, _ASK)
+    return asks.mapInArrow(run, "word string, n bigint, node binary")
 
 
 def shards(words: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Words (node, part, word, n, vec) and questions (node, part, word, vec), each at the nodes of the trie's cut.
+    """Words and questions (node, part, word, n), each at the nodes of the trie's cut.
 
     A node with more than `most` words is cut again further down. Words that are alike in all groups stand at one node; where
     they are more than `most`, they are dealt over parts, and questions go to each part.
     """
-    asks = words.select("word", "vec", F.lit(b"").alias("node"))
+    whole, first = F.lit(b"").alias("node"), F.lit(0).cast("bigint").alias("part")
+    asks = words.select("word", "n", whole)
+    if words.count() <= most:
+        return words.select(whole, first, "word", "n"), asks.select("node", first, "word", "n")
     placed, asked = [], []
     for depth in DEPTHS:
-        here = words.withColumn("node", F.substring("vec", 1, depth) if depth else F.lit(b""))
+        here = words.withColumn("node", F.substring("vec", 1, depth))
         counts = here.groupBy("node").agg(F.count("*").alias("words"))
         last = depth == GROUPS
         parts = F.ceil(F.col("words") / most) if last else F.lit(1).cast("bigint")
         counts = cut(counts.select("node", ((F.col("words") > most) & F.lit(not last)).alias("split"), parts.alias("parts")))
         table = small(counts, 64)
-        here = here.join(table, "node")
-        asks = cut((_ask(asks, depth) if depth else asks).join(table, "node"))
+        here, asks = here.join(table, "node"), _ask(asks, depth).join(table, "node")  # nodes without words drop out
         part = F.pmod(F.xxhash64("word"), F.col("parts")).alias("part")
-        placed.append(here.filter(~F.col("split")).select("node", part, "word", "n", "vec"))
+        placed.append(here.filter(~F.col("split")).select("node", part, "word", "n"))
         every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
-        asked.append(asks.filter(~F.col("split")).select("node", every, "word", "vec"))
+        asked.append(asks.filter(~F.col("split")).select("node", every, "word", "n"))
         if last or counts.filter("split").isEmpty():
             break
-        words = cut(here.filter("split").select("word", "n", "vec"))
-        asks = asks.filter("split").select("word", "vec", "node")
+        words, asks = cut(here.filter("split").select("word", "n", "vec")), cut(asks.filter("split").select("word", "n", "node"))
     for found in (placed, asked):
         while len(found) > 1:
             found.append(found.pop().unionByName(found.pop()))
     return placed[0], asked[0]
 
 
-def neighbours(words: DataFrame, most: int = 4000) -> DataFrame:
+class Found:
+    """What a task has found out about words: how many near ones, and the best of them."""
+
+    def __init__(self) -> None:
+        self.count: Counter = Counter()
+        self.best: dict[bytes, tuple[int, bytes]] = {}
+
+    def add(self, word: bytes, other: bytes, n: int) -> None:
+        self.count[word] += 1
+        if word not in self.best or (-n, other) < self.best[word]:
+            self.best[word] = (-n, other)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """word, n_near, best, in batches; then nothing is known any more."""
+        words = list(self.count)
+        kind = pa.struct([("n", pa.int64()), ("form", pa.string())])
+        for start in range(0, len(words), 10_000):
+            part = words[start : start + 10_000]
+            best = [{"n": self.best[w][0], "form": self.best[w][1].decode("latin-1")} for w in part]
+            columns = [pa.array([w.decode("latin-1") for w in part], pa.string()), pa.array([self.count[w] for w in part], pa.int64()), pa.array(best, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "n_near", "best"])
+        self.count.clear()
+        self.best.clear()
+
+
+def neighbours(words: DataFrame, most: int = 30_000) -> DataFrame:
     """word, n_near and best (struct of -n and form: the near word of largest n, of ties the smallest) for words with near words."""
     placed, asked = shards(words, most)
-    stream = placed.withColumn("ask", F.lit(False)).unionByName(asked.withColumn("ask", F.lit(True)), allowMissingColumns=True)
+    stream = placed.withColumn("ask", F.lit(False)).unionByName(asked.withColumn("ask", F.lit(True)))
     dealt = stream.repartition("node", "part").sortWithinPartitions("node", "part", "ask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # words of the shard in which the last batch ended
+        known: list[tuple] = []  # words of the shards that this batch asks
+        trie, found = None, Found()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = {k: batch.column(k).to_pylist() for k in ("node", "part", "word", "n", "vec", "ask")}
-            rows = list(zip(zip(c["node"], c["part"], strict=True), [w.encode("latin-1") for w in c["word"]], c["vec"], c["n"], strict=True))
-            known = held + [r for r, ask in zip(rows, c["ask"], strict=True) if not ask]
-            number = {k: i for i, k in enumerate(dict.fromkeys(r[0] for r in known))}
+            c = {k: batch.column(k).to_pylist() for k in ("node", "part", "word", "n", "ask")}
+            shard = list(zip(c["node"], c["part"], strict=True))
+            rows = list(zip(shard, [w.encode("latin-1") for w in c["word"]], c["n"], strict=True))
+            if not (trie and all(c["ask"]) and shard[0] == shard[-1] == known[0][0] == known[-1][0]):
+                known = [r for r in known if r[0] == shard[0]] + [r for r, ask in zip(rows, c["ask"], strict=True) if not ask]
+                number = {k: i for i, k in enumerate(dict.fromkeys(r[0] for r in known))}
+                trie = Trie(np.array([number[r[0]] for r in known]), vectors([r[1] for r in known])) if known else None
+                known_letters, known_size = grid([r[1] for r in known])
             asks = [r for r, ask in zip(rows, c["ask"], strict=True) if ask and r[0] in number]  # a part may have got no word
-            held = [r for r in known if r[0] == rows[-1][0]]
             if not asks:
                 continue
-            table = [(np.array([number[r[0]] for r in x]), np.frombuffer(b"".join(r[2] for r in x), np.uint8).reshape(-1, GROUPS)) for x in (known, asks)]
-            counts, best = Counter(), {}
-            for of, to in Trie(*table[0]).search(*table[1]):
-                for i, j in zip(of.tolist(), to.tolist(), strict=True):
-                    word, other = asks[i][1], known[j][1]
-                    if near(word, other):
-                        counts[word] += 1
-                        best[word] = min(best.get(word, (1, b"")), (-known[j][3], other))
-            found = [(w.decode("latin-1"), n, {"n": best[w][0], "form": best[w][1].decode("latin-1")}) for w, n in counts.items()]
-            if found:
-                columns = list(zip(*found, strict=True))
-                kinds = (pa.string(), pa.int64(), pa.struct([("n", pa.int64()), ("form", pa.string())]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["word", "n_near", "best"])
+            letters, size = grid([r[1] for r in asks])
+            for of, to, apart in trie.search(np.array([number[r[0]] for r in asks]), vectors([r[1] for r in asks])):
+                good = near_rows(letters[of], size[of], known_letters[to], known_size[to])
+                for k in np.flatnonzero((size[of] > _WIDE) | (known_size[to] > _WIDE)).tolist():
+                    good[k] = near(asks[of[k]][1], known[to[k]][1])
+                for i, j, both in zip(of[good].tolist(), to[good].tolist(), apart[good].tolist(), strict=True):
+                    word, other = asks[i], known[j]
+                    found.add(word[1], other[1], other[2])
+                    if both:
+                        found.add(other[1], word[1], word[2])
+            if len(found.count) > _HELD:
+                yield from found.rows()
+        yield from found.rows()
 
     found = dealt.mapInArrow(arrow.tidy(run), "word string, n_near bigint, best struct<n: bigint, form: string>")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
@@ -269,7 +320,7 @@ def roots(forms: DataFrame) -> DataFrame:
         way = cut(joined.select("word", F.coalesce("_next", "root").alias("root")))
 
 
-def variants(docs: DataFrame, most: int = 4000, **options) -> DataFrame:
+def variants(docs: DataFrame, most: int = 30_000, **options) -> DataFrame:
     """word, form, root, n, n_near, form_n for every word of the vocabulary.
 
     Near words differ by one inserted, deleted or replaced letter. A word's form is its near word of largest n, of ties the
