@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.session import cut, exists, remove
+
 #: Fixed values of WGS-84.
 SEMI_MAJOR = 6378137.0
 FLATTENING = 1 / 298.257223563
@@ -46,33 +48,61 @@ def ecef(lat: Column, lon: Column, alt: Column) -> tuple[Column, Column, Column]
     return flat * F.cos(lam), flat * F.sin(lam), (n * F.lit(1 - e2) + alt) * F.sin(phi)
 
 
+#: Squarings of the 4 by 4 matrix: its largest eigenvalue then stands alone, unless two are equal to within rounding.
+SQUARINGS = 50
+
+
 def similarity_fit(pairs: DataFrame) -> DataFrame:
-    """Scale, rotation and shift that best take camera centres (x, y, z) to places (u, v, w), per video.
+    """Scale, rotation (rows of a 3 by 3) and shift that best take camera centres (x, y, z) to places (u, v, w), per video.
 
-    Means and cross-covariance are sums in Spark; only one row a video meets the 3 by 3 decomposition.
+    Sums in Spark give means and cross-covariance. The rotation is that of the unit quaternion that belongs to the largest
+    eigenvalue of Horn's symmetric 4 by 4 matrix; the matrix, shifted to have no negative eigenvalue, is squared again and again
+    until it is that quaternion's outer product, of which the rotation is a sum of entries. So all is columns, a row a video.
+    Without any spread the rotation is none, and the scale 1. Rows with a null or non-finite coordinate take no part.
     """
     src, dst = ("x", "y", "z"), ("u", "v", "w")
-    means = [F.avg(c).alias("m" + c) for c in (*src, *dst)]
-    cross = [F.covar_pop(a, b).alias("c" + a + b) for a in src for b in dst]
+    names = (*src, *dst)
+    values = [F.col(c).cast("double") for c in names]
+    good = pairs.filter(reduce(lambda a, b: a & b, [v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) for v in values]))
+    means = [F.avg(c).alias("m" + c) for c in names]
+    cross = [F.covar_pop(b, a).alias("c" + b + a) for b in dst for a in src]
     spread = sum((F.var_pop(c) for c in src[1:]), F.var_pop(src[0])).alias("spread")
-    sums = pairs.groupBy("video_id").agg(F.count("*").alias("n"), *means, *cross, spread)
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in rows.to_dict("records"):
-            cov = np.array([[r["c" + a + b] for a in src] for b in dst])
-            u, d, vt = np.linalg.svd(cov)
-            s = np.diag([1.0, 1.0, np.sign(np.linalg.det(u) * np.linalg.det(vt)) or 1.0])
-            rot = u @ s @ vt
-            scale = float((d * np.diag(s)).sum() / r["spread"]) if r["spread"] else 1.0
-            shift = np.array([r["m" + c] for c in dst]) - scale * rot @ np.array([r["m" + c] for c in src])
-            out.append((r["video_id"], r["n"], scale, rot.ravel().tolist(), shift.tolist()))
-        return pd.DataFrame(out, columns=["video_id", "n", "scale", "rotation", "shift"])
-
-    kind = dict(pairs.dtypes)["video_id"]
-    return sums.mapInPandas(
-        lambda it: (solve(x) for x in it), f"video_id {kind}, n bigint, scale double, rotation array<double>, shift array<double>"
-    )
+    sums = good.groupBy("video_id").agg(F.count("*").alias("n"), *means, *cross, spread)
+    s = [[F.col("c" + b + a) for b in dst] for a in src]  # source by place
+    sxx, sxy, sxz, syx, syy, syz, szx, szy, szz = (x for row in s for x in row)
+    horn = [
+        sxx + syy + szz, syz - szy, szx - sxz, sxy - syx,
+        syz - szy, sxx - syy - szz, sxy + syx, szx + sxz,
+        szx - sxz, sxy + syx, syy - sxx - szz, syz + szy,
+        sxy - syx, szx + sxz, syz + szy, szz - sxx - syy,
+    ]
+    size = F.sqrt(F.aggregate("_h", F.lit(0.0), lambda acc, x: acc + x * x))
+    upright = F.array(*[F.lit(1.0 if i == 0 else 0.0) for i in range(16)])
+    shifted = F.transform("_h", lambda x, i: x / F.col("_size") + F.when(i % 5 == 0, 1.0).otherwise(0.0))
+    cell = lambda m, i, j: F.element_at(m, (4 * i + j + 1).cast("int"))
+    product = lambda m, i, j: reduce(lambda a, b: a + b, [cell(m, i, F.lit(k)) * cell(m, F.lit(k), j) for k in range(4)])
+
+    def square(m: Column) -> Column:
+        """m times m, divided by its trace, which for a symmetric matrix is the sum of all squares."""
+        trace = F.array(F.aggregate(m, F.lit(0.0), lambda acc, x: acc + x * x))
+        return F.transform(trace, lambda t: F.transform(m, lambda x, p: product(m, F.floor(p / 4), p % 4) / t))[0]
+
+    rows = sums.withColumn("_h", F.array(*horn)).withColumn("_size", size)
+    outer = F.aggregate(F.sequence(F.lit(1), F.lit(SQUARINGS)), shifted, lambda m, _: square(m))
+    rows = rows.withColumn("_q", F.when(F.col("_size") > 0, outer).otherwise(upright))
+    q = lambda i, j: F.col("_q")[4 * i + j]
+    rotation = [
+        q(0, 0) + q(1, 1) - q(2, 2) - q(3, 3), 2 * (q(1, 2) - q(0, 3)), 2 * (q(1, 3) + q(0, 2)),
+        2 * (q(1, 2) + q(0, 3)), q(0, 0) - q(1, 1) + q(2, 2) - q(3, 3), 2 * (q(2, 3) - q(0, 1)),
+        2 * (q(1, 3) - q(0, 2)), 2 * (q(2, 3) + q(0, 1)), q(0, 0) - q(1, 1) - q(2, 2) + q(3, 3),
+    ]
+    rows = rows.withColumn("rotation", F.array(*rotation))
+    r = lambda i, j: F.col("rotation")[3 * i + j]
+    total = lambda xs: reduce(lambda a, b: a + b, xs)
+    along = total([r(i, j) * F.col("c" + b + a) for i, b in enumerate(dst) for j, a in enumerate(src)])
+    rows = rows.withColumn("scale", F.when(F.col("spread") > 0, along / F.col("spread")).otherwise(1.0))
+    shift = [F.col("m" + b) - F.col("scale") * total([r(i, j) * F.col("m" + a) for j, a in enumerate(src)]) for i, b in enumerate(dst)]
+    return rows.select("video_id", "n", "scale", "rotation", F.array(*shift).alias("shift"))
 
 
 def apply_fit(pairs: DataFrame, fits: DataFrame) -> DataFrame:
@@ -98,18 +128,99 @@ def merge_points(store: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.dropDuplicates(key).join(store.select(*key).distinct(), key, "left_anti")
 
 
+def point_checksum(*columns: str, digits: int = 3) -> Column:
+    """60 bits of a point's content: md5 of its coordinates, rounded to so many decimals, as integers; null coordinates count too."""
+    whole = [F.coalesce(F.floor(F.col(c) * 10**digits + 0.5).cast("string"), F.lit("-")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws(",", *whole)), 1, 15), 16, 10).cast("bigint")
+
+
+def cloud_checksum(points: DataFrame, coordinates: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """n_points and a checksum of each cloud that does not depend on the order of its points: their sum modulo 2**60, so that
+    checksums of parts add up, and a point that stands twice counts twice."""
+    total = F.sum(point_checksum(*coordinates).cast("decimal(38,0)")) % F.lit(2**60).cast("decimal(38,0)")
+    return points.groupBy("cloud_id").agg(F.count("*").alias("n_points"), total.cast("bigint").alias("checksum"))
+
+
+STORE_PARTS = 256
+
+
+def append_points(incoming: DataFrame, path: str, coordinates: tuple[str, ...] = ("x", "y", "z"), parts: int = STORE_PARTS) -> int:
+    """Add the points that the master store at `path` lacks, each once, and tell how many: a repeated append adds none.
+
+    Points are the same if cloud and rounded coordinates are. The store is Parquet in at most `parts` folders, by a hash of the
+    cloud; only folders of clouds that come in are listed and read, and of these only the clouds themselves. One writer at a time.
+    """
+    spark = incoming.sparkSession
+    part = F.pmod(F.xxhash64("cloud_id"), F.lit(parts)).cast("int")
+    fresh = incoming.withColumns({"checksum": point_checksum(*coordinates), "part": part})
+    if exists(spark, path):
+        touched = [r[0] for r in fresh.select("part").distinct().collect()]  # `parts` numbers at most
+        store = spark.read.parquet(path).filter(F.col("part").isin(touched)).select("cloud_id", "checksum")
+        store = store.join(fresh.select("cloud_id").distinct(), "cloud_id", "left_semi")
+        fresh = merge_points(store, fresh)
+    else:
+        fresh = fresh.dropDuplicates(["cloud_id", "checksum"])
+    fresh = cut(fresh)  # what is written must not depend on the store while it grows
+    added = fresh.count()
+    if added:
+        fresh.repartition("part").write.mode("append").partitionBy("part").parquet(path)
+    return added
+
+
+_TILE = ("tile_x", "tile_y")
+
+
+def tile_keys(size: float, origin: tuple[float, float] = (0.0, 0.0)) -> dict[str, Column]:
+    return {"tile_" + c: F.floor((F.col(c) - F.lit(o)) / F.lit(float(size))).cast("bigint") for c, o in zip("xy", origin, strict=True)}
+
+
+def _bounds(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy(*_TILE).agg(F.count("*").alias("n_points"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))])
+
+
 def tiles(points: DataFrame, size: float, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Count and bounds of the points in each square tile."""
-    key = [F.floor((F.col(c) - F.lit(o)) / F.lit(float(size))).cast("bigint").alias("tile_" + c) for c, o in zip("xy", origin, strict=True)]
-    bounds = [f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))]
-    return points.groupBy(*key).agg(F.count("*").alias("n_points"), *bounds)
+    return _bounds(points.withColumns(tile_keys(size, origin)))
+
+
+def merge_tiles(old: DataFrame, added: DataFrame) -> DataFrame:
+    """Tiles of all points from tiles of disjoint parts of them: counts add up, bounds widen; no point is read again."""
+    bounds = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))]
+    return old.unionByName(added).groupBy(*_TILE).agg(F.sum("n_points").alias("n_points"), *bounds)
+
+
+def retile(old: DataFrame, points: DataFrame, touched: DataFrame, size: float, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Tiles after a change: the touched keys computed anew from their points alone, the others as they were. A touched tile
+    that has no points any more is gone."""
+    keys = touched.select(*_TILE).distinct()
+    fresh = _bounds(points.withColumns(tile_keys(size, origin)).join(keys, list(_TILE), "left_semi"))
+    return old.join(keys, list(_TILE), "left_anti").unionByName(fresh)
+
+
+def _blocks(side: int) -> dict[str, Column]:
+    return {"block_" + c: F.floor(F.col("tile_" + c) / side).cast("bigint") for c in "xy"}
+
+
+def write_tiles(tiled: DataFrame, path: str, side: int = 64) -> None:
+    """Tiles as Parquet in a folder for each block of `side` by `side` tiles; blocks that are written replace what was there,
+    others are left alone."""
+    blocks = tiled.withColumns(_blocks(side)).repartition("block_x", "block_y")
+    blocks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block_x", "block_y").parquet(path)
 
 
-def retile(old: DataFrame, points: DataFrame, touched: DataFrame, size: float) -> DataFrame:
-    """Tiles after a change: the touched keys computed anew from all points, the others as they were."""
-    key = ["tile_x", "tile_y"]
-    fresh = tiles(points, size).join(touched.select(*key).distinct(), key, "left_semi")
-    return old.join(touched.select(*key).distinct(), key, "left_anti").unionByName(fresh)
+def update_tiles(path: str, points: DataFrame, touched: DataFrame, size: float, side: int = 64, origin: tuple[float, float] = (0.0, 0.0)) -> None:
+    """Bring the tiles at `path` up to date after a change of the touched ones. Only blocks with a touched tile are read and
+    written; the folder of a block that has no tile any more is removed."""
+    spark = points.sparkSession
+    keys = cut(touched.select(*_TILE).distinct())
+    blocks = keys.select(*(c.alias(k) for k, c in _blocks(side).items())).distinct()
+    old = spark.read.parquet(path)
+    here = old.join(F.broadcast(blocks) if keys.count() < 100_000 else blocks, ["block_x", "block_y"], "left_semi")
+    fresh = cut(retile(here.drop("block_x", "block_y"), points, keys, size, origin))
+    write_tiles(fresh, path, side)
+    empty = blocks.join(fresh.withColumns(_blocks(side)), ["block_x", "block_y"], "left_anti")
+    for r in empty.collect():  # blocks that lost all their tiles: of those touched, so few
+        remove(spark, f"{path}/block_x={r[0]}/block_y={r[1]}")
 
 
 def polyline(fixes: DataFrame) -> DataFrame:

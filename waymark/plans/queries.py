@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from waymark.functions import scalars
 from waymark.functions.sharpness import array_sharpness
 from waymark.operators import filtering, geo, logs, matching, models, points, summary
+from waymark.session import shared_dir
 from waymark.streaming import streams
 
 THRESHOLD, FPS, OVERLAP, RATIO = 20.0, 0.25, 3, 0.95
@@ -387,10 +388,29 @@ def residual_gate(spark, d):
     return out.select("video_id", *[F.round(c, 6).alias(c) for c in ("max_residual", "rms_residual")], "within")
 
 
-@query()
+_HORN = ("c00 + c11 + c22", "c12 - c21", "c20 - c02", "c01 - c10", "c12 - c21", "c00 - c11 - c22", "c01 + c10", "c20 + c02",
+         "c20 - c02", "c01 + c10", "c11 - c00 - c22", "c12 + c21", "c01 - c10", "c20 + c02", "c12 + c21", "c22 - c00 - c11")
+_PLACE = ("-2 * e[2] + 10 + e[4] / 100", "2 * e[1] - 5 + e[4] / 100", "2 * e[3] + 1 + e[4] / 100")
+_COVAR = ", ".join(f"covar_pop({v}, e[{i + 1}]) AS c{i}{j}" for i in range(3) for j, v in enumerate(_PLACE))
+_MEANS = ", ".join(f"avg(e[{i + 1}]) AS x{i}, avg({v}) AS u{i}" for i, v in enumerate(_PLACE))
+_TURN = ("q[1] + q[6] - q[11] - q[16]", "2 * (q[7] - q[4])", "2 * (q[8] + q[3])", "2 * (q[7] + q[4])", "q[1] - q[6] + q[11] - q[16]",
+         "2 * (q[12] - q[2])", "2 * (q[8] - q[3])", "2 * (q[12] + q[2])", "q[1] - q[6] - q[11] + q[16]")
+
+
+@query(f"""WITH p AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT label, count(*) AS n, {_COVAR}, {_MEANS}, var_pop(e[1]) + var_pop(e[2]) + var_pop(e[3]) AS spread FROM p GROUP BY 1),
+h AS (SELECT *, [{", ".join(_HORN)}] AS h FROM s),
+m AS (SELECT *, [h[i] / sqrt(list_sum([x * x FOR x IN h])) + CASE WHEN i % 5 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR i IN range(1, 17)] AS m FROM h),
+q AS (SELECT *, list_reduce([m FOR i IN range({geo.SQUARINGS + 1})], lambda a, b: [(a[(i - 1) // 4 * 4 + 1] * a[(i - 1) % 4 + 1] + a[(i - 1) // 4 * 4 + 2] * a[(i - 1) % 4 + 5]
+  + a[(i - 1) // 4 * 4 + 3] * a[(i - 1) % 4 + 9] + a[(i - 1) // 4 * 4 + 4] * a[(i - 1) % 4 + 13]) / (list_sum([x * x FOR x IN a])) FOR i IN range(1, 17)]) AS q FROM m),
+r AS (SELECT *, {", ".join(f"{t} AS r{i // 3}{i % 3}" for i, t in enumerate(_TURN))} FROM q),
+f AS (SELECT *, ({" + ".join(f"r{j}{i} * c{i}{j}" for i in range(3) for j in range(3))}) / spread AS scale FROM r)
+SELECT label AS video_id, n, round(scale, 6) AS scale, {", ".join(f"round(r{i}{j}, 6) AS r{i}{j}" for i in range(3) for j in range(3))},
+  {", ".join(f"round(u{i} - scale * (r{i}0 * x0 + r{i}1 * x1 + r{i}2 * x2), 5) AS shift{i}" for i in range(3))} FROM f""")
 def similarity_fit(spark, d):
-    """No SQL: a decomposition of a matrix. Tested against a known transform."""
-    return geo.similarity_fit(as_pairs(spark, d))
+    fit = geo.similarity_fit(as_pairs(spark, d))
+    turn = [F.round(F.col("rotation")[3 * i + j], 6).alias(f"r{i}{j}") for i in range(3) for j in range(3)]
+    return fit.select("video_id", "n", F.round("scale", 6).alias("scale"), *turn, *[F.round(F.col("shift")[i], 5).alias(f"shift{i}") for i in range(3)])
 
 
 @query("""WITH s AS (SELECT l_orderkey AS cloud_id, l_partkey AS checksum FROM lineitem WHERE l_linenumber = 1)
@@ -401,12 +421,42 @@ def merge_points(spark, d):
     return geo.merge_points(rows.filter("l_linenumber = 1"), rows).select("cloud_id", "checksum")
 
 
-@query("""SELECT CAST(floor(l_extendedprice / 1000) AS BIGINT) AS tile_x, CAST(floor(l_quantity / 1000) AS BIGINT) AS tile_y, count(*) AS n_points,
+TILES_SQL = """SELECT CAST(floor(l_extendedprice / 1000) AS BIGINT) AS tile_x, CAST(floor(l_quantity / 1000) AS BIGINT) AS tile_y, count(*) AS n_points,
   min(l_extendedprice) AS min_x, max(l_extendedprice) AS max_x, min(l_quantity) AS min_y, max(l_quantity) AS max_y,
-  min(l_tax) AS min_z, max(l_tax) AS max_z FROM lineitem GROUP BY 1, 2""")
-def point_tiles(spark, d):
+  min(l_tax) AS min_z, max(l_tax) AS max_z FROM lineitem GROUP BY 1, 2"""
+
+
+def as_points(spark: SparkSession, d: str) -> DataFrame:
     keys = {"l_extendedprice": "x", "l_quantity": "y", "l_tax": "z"}
-    return geo.tiles(table(spark, d, "lineitem").select(*[F.col(k).alias(v) for k, v in keys.items()]), 1000.0)
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cloud_id"), "l_linenumber", *[F.col(k).alias(v) for k, v in keys.items()])
+
+
+@query(TILES_SQL)
+def point_tiles(spark, d):
+    return geo.tiles(as_points(spark, d), 1000.0)
+
+
+@query(TILES_SQL)
+def retile(spark, d):
+    """Tiles of all points but the seventh lines, then those lines come in: only tiles that they touch are made anew."""
+    points = as_points(spark, d)
+    old, new = points.filter("l_linenumber < 7"), points.filter("l_linenumber = 7")
+    touched = new.select(*[c.alias(k) for k, c in geo.tile_keys(1000.0).items()])
+    return geo.retile(geo.tiles(old, 1000.0), points, touched, 1000.0)
+
+
+@query(TILES_SQL)
+def merged_tiles(spark, d):
+    """Tiles of all points from tiles of two parts of them."""
+    points = as_points(spark, d)
+    return geo.merge_tiles(*(geo.tiles(points.filter(f"l_linenumber {which} 4"), 1000.0) for which in ("<", ">=")))
+
+
+@query("""WITH p AS (SELECT l_orderkey, md5(concat_ws(',', CAST(floor(l_extendedprice * 1000 + 0.5) AS BIGINT), CAST(floor(l_quantity * 1000 + 0.5) AS BIGINT),
+  CAST(floor(l_tax * 1000 + 0.5) AS BIGINT))) AS h FROM lineitem)
+SELECT l_orderkey AS cloud_id, count(*) AS n_points, CAST(sum(CAST('0x' || h[1:15] AS BIGINT)) % 1152921504606846976 AS BIGINT) AS checksum FROM p GROUP BY 1""")
+def cloud_checksum(spark, d):
+    return geo.cloud_checksum(as_points(spark, d))
 
 
 @query("""SELECT user_id AS video_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS polyline
@@ -442,3 +492,35 @@ def stream_dedup(spark, d):
     schema = table(spark, d, "events").schema
     twice = streams.table_stream(spark, d, "events.parquet", schema, times=2).withColumn("ts", F.col("ts").cast("timestamp"))
     return streams.drain(streams.first_arrivals(twice, "event_id", "ts"), f"dedup_{uuid.uuid4().hex}").select("event_id", "user_id", "value")
+
+
+@query("""WITH f AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'),
+g AS (SELECT user_id, ts AS fix_ts, value FROM events WHERE event_type = 'view')
+SELECT f.user_id AS video_id, event_id AS frame_no, epoch_us(fix_ts) - epoch_us(ts) AS apart_us, round(value / 10, 6) AS lat, round(value / 5, 6) AS lon
+FROM f JOIN g ON f.user_id = g.user_id AND fix_ts >= ts - INTERVAL 3 HOUR AND fix_ts <= ts + INTERVAL 1 HOUR""")
+def stream_gps_join(spark, d):
+    """Two streams over events, purchases as frames and views as fixes, joined within bounds both ways."""
+    schema = table(spark, d, "events").schema
+    frames, fixes = (streams.table_stream(spark, d, "events.parquet", schema).filter(F.col("event_type") == kind) for kind in ("purchase", "view"))
+    video, ts = F.col("user_id").alias("video_id"), F.col("ts").cast("timestamp").alias("ts")
+    joined = streams.gps_join(
+        frames.select(video, F.col("event_id").alias("frame_no"), ts), fixes.select(video, ts, (F.col("value") / 10).alias("lat"), (F.col("value") / 5).alias("lon")),
+        "3 HOURS", "1 HOUR",
+    )
+    out = streams.drain(joined, f"gps_{uuid.uuid4().hex}")
+    apart = F.unix_micros("fix_ts") - F.unix_micros("ts")
+    return out.select("video_id", "frame_no", apart.alias("apart_us"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query(SAMPLED_SQL)
+def stream_completed_sample(spark, d):
+    """Frames of all events dropped out of order in four files, with a marker for each video; samples are made when a video is complete."""
+    rows = scores(spark, d)
+    none = F.lit(None)
+    frames = rows.select("video_id", "frame_no", "path", "t_sec", "sharpness", none.cast("bigint").alias("frame_count"))
+    marks = rows.groupBy("video_id").agg(F.count("*").alias("frame_count"))
+    place = f"{shared_dir(spark)}/completed-{uuid.uuid4().hex}"
+    dropped = frames.unionByName(marks, allowMissingColumns=True).repartition(4, F.xxhash64("frame_no", "video_id"))
+    dropped.write.parquet(f"{place}/drop")
+    arriving = spark.readStream.schema(streams.ARRIVALS).option("maxFilesPerTrigger", 1).parquet(f"{place}/drop")
+    return streams.CompletedSamples(place, THRESHOLD, 1.0, FPS, buckets=8).run(arriving)

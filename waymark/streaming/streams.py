@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from waymark.functions import scalars
-from waymark.operators.filtering import is_sharp, sampling_step
-from waymark.session import shared_dir
+from waymark.operators.filtering import is_sharp, manifest, sampling_step
+from waymark.session import cut, exists, shared_dir
 
 
 def watch_folder(spark: SparkSession, root: str, since: str | None = None, glob: str = "*.{mp4,mov}") -> DataFrame:
@@ -133,3 +133,72 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+
+
+def gps_join(frames: DataFrame, fixes: DataFrame, before: str = "10 seconds", after: str = "10 seconds", delay: str = "10 minutes", how: str = "inner") -> DataFrame:
+    """Frames with every fix of their video from `before` their ts to `after` it, both ends included.
+
+    frames: video_id, frame_no, ts; fixes: video_id, ts, lat, lon. Rows of either stream may come up to `delay` late; later ones are
+    dropped. As both have a watermark and the condition bounds both times, a row is kept only until nothing can meet it any more.
+    how="leftOuter" also gives frames without a fix, once that is certain.
+    """
+    a = frames.select("video_id", "frame_no", "ts").withWatermark("ts", delay).alias("a")
+    b = fixes.select(F.col("video_id").alias("fix_video"), F.col("ts").alias("fix_ts"), "lat", "lon").withWatermark("fix_ts", delay).alias("b")
+    near = F.expr(f"video_id = fix_video AND fix_ts >= ts - INTERVAL {before} AND fix_ts <= ts + INTERVAL {after}")
+    return a.join(b, near, how).drop("fix_video")
+
+
+#: What a drop folder of a running job holds: frames, and for each finished video a marker with the number of its frames.
+ARRIVALS = "video_id bigint, frame_no bigint, path string, t_sec double, sharpness double, frame_count bigint"
+
+
+class CompletedSamples:
+    """Exact samples of videos whose frames come in any order, made when a video is complete.
+
+    A row with frame_count is a video's marker; it is complete when as many different frames have come, before the marker or
+    after it. `batch` is for foreachBatch. All that it writes lies in folders named by the batch, and of these it reads none
+    that is later, so a batch that runs again, whole or after a crash halfway, leaves the same files. Frames lie in buckets of
+    videos, so that a batch reads only the buckets that it touches.
+    """
+
+    def __init__(self, place: str, threshold: float = 100.0, source_fps: float = 1.0, target_fps: float = 5.0, buckets: int = 64):
+        self.place, self.buckets, self.settings = place, buckets, (threshold, source_fps, target_fps)
+
+    def _until(self, spark: SparkSession, name: str, batch_id: int, schema: StructType) -> DataFrame:
+        if not exists(spark, f"{self.place}/{name}"):
+            return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+        return spark.read.option("basePath", f"{self.place}/{name}").schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(f"{self.place}/{name}").filter(F.col("batch") <= batch_id)
+
+    def batch(self, rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        bucket = F.pmod(F.xxhash64("video_id"), F.lit(self.buckets)).cast("int")
+        rows = rows.withColumn("bucket", bucket)
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.place}/arrived/batch={batch_id}")
+        schema = spark.createDataFrame([], ARRIVALS + ", bucket int").schema
+        arrived = self._until(spark, "arrived", batch_id, schema)
+        now = arrived.filter(F.col("batch") == batch_id)
+        buckets = [r[0] for r in now.select("bucket").distinct().collect()]  # self.buckets numbers at most
+        touched = now.select("video_id").distinct()
+        here = arrived.filter(F.col("bucket").isin(buckets)).join(touched, "video_id", "left_semi")
+        frames = here.filter("frame_count IS NULL").dropDuplicates(["video_id", "frame_no", "path"])
+        wanted = here.filter("frame_count IS NOT NULL").groupBy("video_id").agg(F.max("frame_count").alias("wanted"))
+        there = wanted.join(frames.groupBy("video_id").count(), "video_id", "left")
+        complete = there.filter(F.coalesce("count", F.lit(0)) >= F.col("wanted")).select("video_id")
+        done_kind = spark.createDataFrame([], "video_id bigint").schema
+        done = self._until(spark, "done", batch_id - 1, done_kind).select("video_id")
+        complete = cut(complete.join(done, "video_id", "left_anti"))
+        complete.write.mode("overwrite").parquet(f"{self.place}/done/batch={batch_id}")
+        columns = ["video_id", "path", "frame_no", "t_sec", "sharpness"]
+        sample = manifest(frames.join(complete, "video_id", "left_semi").select(columns), *self.settings)
+        sample.write.mode("overwrite").parquet(f"{self.place}/sampled/batch={batch_id}")
+
+    def run(self, arriving: DataFrame) -> DataFrame:
+        """Take in a stream of ARRIVALS until nothing is left, and give all samples so far."""
+        query = (
+            arriving.writeStream.foreachBatch(self.batch).option("checkpointLocation", f"{self.place}/checkpoint").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        return self.samples(arriving.sparkSession)
+
+    def samples(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.place}/sampled").drop("batch")
