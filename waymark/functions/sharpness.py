@@ -34,18 +34,29 @@ def image_sharpness(image: pd.DataFrame) -> pd.Series:
 
 
 def array_sharpness(pixels: Column, side: int) -> Column:
-    """The same over an array of side*side grey values, as built-in functions only."""
-    at = lambda row, col: F.element_at(pixels, row * side + col + 1).cast("double")
-    turn = lambda i: -i if i < 0 else (2 * side - 2 - i if i >= side else i)
-    cells = F.array(*[
-        at(turn(r - 1), c) + at(turn(r + 1), c) + at(r, turn(c - 1)) + at(r, turn(c + 1)) - 4 * at(r, c)
-        for r in range(side) for c in range(side)
-    ])
-    n = float(side * side)
-    sums = F.aggregate(
-        cells,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
-        lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["q"] + x * x).alias("q")),
-        lambda acc: acc["q"] / n - (acc["s"] / n) * (acc["s"] / n),
-    )
-    return F.when(F.size(pixels) == side * side, sums)
+    """The same over an array of side*side grey values, as built-in functions only, for any side.
+
+    Each cell looks up its four neighbours by their place, so the expression is as long for a large image as for a small one. The
+    variance is from one pass of mergeable moments, count, mean and sum of squares about the mean, which does not cancel.
+    """
+    last = side - 1
+    at = lambda i: F.element_at(pixels, (i + 1).cast("int")).cast("double")
+
+    def cell(x: Column, i: Column) -> Column:
+        row, col = F.floor(i / side), i % side
+        up, down = (i + side, i - side) if side > 1 else (i, i)
+        right, left = (i + 1, i - 1) if side > 1 else (i, i)
+        above, below = F.when(row == 0, up).otherwise(i - side), F.when(row == last, down).otherwise(i + side)
+        before, after = F.when(col == 0, right).otherwise(i - 1), F.when(col == last, left).otherwise(i + 1)
+        around = (above, below, before, after) if side > 1 else (i, i, i, i)
+        return at(around[0]) + at(around[1]) + at(around[2]) + at(around[3]) - 4 * x.cast("double")
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n, off = acc["n"] + 1, x - acc["mean"]
+        mean = acc["mean"] + off / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + off * (x - mean)).alias("m2"))
+
+    moments = F.aggregate(F.transform(pixels, cell), start, step, lambda acc: acc["m2"] / acc["n"])
+    return F.when(F.size(pixels) == side * side, moments)

@@ -38,6 +38,7 @@ POINTS = _struct(
     ("cloud_id", StringType()), ("point_id", LongType()),
     *((name, DoubleType()) for name in ("x", "y", "z", "r", "g", "b")),
 )
+TRIANGLES = _struct(("cloud_id", StringType()), *((name, LongType()) for name in ("face_id", "a", "b", "c")))
 LOG_LINES = _struct(
     ("run_id", LongType()), ("line_no", LongType()), ("ts", TimestampType()),
     ("logger", StringType()), ("level", StringType()), ("message", StringType()),

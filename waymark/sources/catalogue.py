@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark import schemas
 from waymark.functions import scalars
+from waymark.session import cut, small
 
 FRAME_GLOB = "frame_*.jpg"
 ANY_IMAGE_GLOB = "*.{jpg,jpeg,png}"
@@ -82,11 +83,22 @@ def log_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line_no (from 1) and value of every line of text files. A file may be read in many splits: a line's number is its place
+    in its split and the counts of the splits before; splits are told by where they begin, and a task reads each from its start."""
+    number = F.monotonically_increasing_id()  # in a task's order of reading, so consecutive within a split
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"))
+    lines = read.withColumn("_n", number)
+    each = lines.groupBy("path", "_start").agg(F.min("_n").alias("_first"), F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy("path").orderBy("_start")) - F.col("_rows")
+    splits = cut(each.select("path", "_start", (before - F.col("_first") + 1).alias("_shift")))
+    return lines.join(small(splits, 200), ["path", "_start"]).select("path", (F.col("_n") + F.col("_shift")).alias("line_no"), "value")
+
+
 def read_log(spark: SparkSession, path: str, run_id: int = 0) -> DataFrame:
-    """Log files with line numbers. A file is read whole by one task, as only its start knows the count."""
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line_no", "value"))
-    return log_lines(rows.select(F.lit(run_id).cast("bigint").alias("run_id"), (F.col("line_no") + 1).cast("bigint").alias("line_no"), "value"))
+    """Log files with the number of each line in its file; large files are read in splits."""
+    rows = numbered_lines(spark, path)
+    return log_lines(rows.select(F.lit(run_id).cast("bigint").alias("run_id"), "line_no", "value"))
 
 
 def artifacts(spark: SparkSession, root: str) -> DataFrame:
@@ -99,37 +111,141 @@ def artifacts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+_KINDS = {"float": "f4", "float32": "f4", "double": "f8", "float64": "f8", "uchar": "u1", "uint8": "u1", "char": "i1", "int8": "i1",
+          "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4"}
+_ORDERS = {"binary_little_endian": "<", "binary_big_endian": ">"}
+
+
+class Ply:
+    """Header of a binary PLY file, and its elements one after another."""
+
+    def __init__(self, path: str, content: bytes):
+        head, _, self.body = content.partition(b"end_header\n")
+        lines = [x.split() for x in head.decode("ascii", "replace").splitlines()]
+        form = next((x[1] for x in lines if x[:1] == ["format"] and len(x) > 1), "none")
+        if form not in _ORDERS:
+            raise ValueError(f"{path}: PLY format {form} is not read")
+        self.path, self.order, self.elements = path, _ORDERS[form], []
+        for x in lines:
+            if x[:1] == ["element"]:
+                self.elements.append((x[1], int(x[2]), []))
+            elif x[:1] == ["property"]:
+                self.elements[-1][2].append(x[1:])
+        self.name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+
+    def kind(self, name: str) -> str:
+        return self.order + _KINDS[name]
+
+    def record(self, properties: list, lists: int | None = None) -> np.dtype:
+        """An element as one record: without lists, or with lists that all have so many entries."""
+        fields = []
+        for p in properties:
+            if p[0] != "list":
+                fields.append((p[-1], self.kind(p[0])))
+            elif lists is None:
+                raise ValueError(f"{self.path}: lists among {p[-1]} are not read")
+            else:
+                fields += [("#" + p[-1], self.kind(p[1])), (p[-1], self.kind(p[2]), (lists,))]
+        return np.dtype(fields)
+
+    def vertices(self) -> np.ndarray:
+        at = 0
+        for name, count, properties in self.elements:
+            if name == "vertex":
+                return np.frombuffer(self.body, self.record(properties), count, at)
+            at += count * self.record(properties).itemsize
+        return np.zeros(0, np.dtype([]))
+
+    def faces(self) -> tuple[np.ndarray, np.ndarray]:
+        """Corners of all faces, one face after another, and the number of corners of each."""
+        at = 0
+        for name, count, properties in self.elements:
+            if name == "face":
+                return self._faces(at, count, properties)
+            at += count * self.record(properties).itemsize
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _faces(self, at: int, count: int, properties: list) -> tuple[np.ndarray, np.ndarray]:
+        corners = next((p[-1] for p in properties if p[0] == "list" and p[-1] in ("vertex_indices", "vertex_index")), None)
+        if corners is None:
+            raise ValueError(f"{self.path}: faces without vertex_indices")
+        if sum(p[0] == "list" for p in properties) == 1:  # meshes of triangles alone are records of one size
+            record = self.record(properties, 3)
+            if at + count * record.itemsize <= len(self.body):
+                rows = np.frombuffer(self.body, record, count, at)
+                if (rows["#" + corners] == 3).all():
+                    return rows[corners].astype(np.int64).ravel(), np.full(count, 3, np.int64)
+        found, sizes = [], np.zeros(count, np.int64)
+        for k in range(count):
+            for p in properties:
+                if p[0] != "list":
+                    at += np.dtype(self.kind(p[0])).itemsize
+                    continue
+                n = int(np.frombuffer(self.body, self.kind(p[1]), 1, at)[0])
+                at += np.dtype(self.kind(p[1])).itemsize
+                if p[-1] == corners:
+                    found.append(np.frombuffer(self.body, self.kind(p[2]), n, at))
+                    sizes[k] = n
+                at += n * np.dtype(self.kind(p[2])).itemsize
+        return np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64), sizes
+
+
+def fans(corners: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Triangles (n, 3) of faces of any number of corners, and the face of each: a polygon is a fan from its first corner; faces
+    of less than three corners give none."""
+    begin = np.cumsum(sizes) - sizes
+    each = np.maximum(sizes - 2, 0)
+    face = np.repeat(np.arange(len(sizes)), each)
+    step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    first = begin[face]
+    return np.column_stack([corners[first], corners[first + step + 1], corners[first + step + 2]]), face
+
+
+def _ply_files(spark: SparkSession, root: str) -> DataFrame:
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").option("recursiveFileLookup", "true").load(root)
+    return raw.select("path", "content")
+
+
 def ply_points(spark: SparkSession, root: str) -> DataFrame:
     """Binary PLY files of either byte order with float or double x, y, z and optional colours; one task a file.
 
     A file without vertices gives no rows; one in another format, or with lists among its vertices, is an error.
     """
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").option("recursiveFileLookup", "true").load(root)
-    kinds = {"float": "f4", "float32": "f4", "double": "f8", "float64": "f8", "uchar": "u1", "uint8": "u1", "char": "i1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4"}
-    orders = {"binary_little_endian": "<", "binary_big_endian": ">"}
-    names = {"red": "r", "green": "g", "blue": "b"}
+    names = {"r": "red", "g": "green", "b": "blue"}
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                head, _, body = content.partition(b"end_header\n")
-                lines = [x.split() for x in head.decode("ascii", "replace").splitlines()]
-                form = next((x[1] for x in lines if x[:1] == ["format"] and len(x) > 1), "none")
-                if form not in orders:
-                    raise ValueError(f"{path}: PLY format {form} is not read")
-                count = next((int(x[2]) for x in lines if x[:2] == ["element", "vertex"]), 0)
-                if not count:
+                ply = Ply(path, content)
+                points = ply.vertices()
+                if not len(points):
                     continue
-                fields, inside = [], False
-                for x in lines:
-                    if x[:1] == ["element"]:
-                        inside = x[1] == "vertex"
-                    elif inside and x[:1] == ["property"]:
-                        fields.append((names.get(x[2], x[2]), orders[form] + kinds[x[1]]))
-                points = np.frombuffer(body, np.dtype(fields), count)
-                out = pd.DataFrame({"cloud_id": [path.rsplit("/", 1)[-1].rsplit(".", 1)[0]] * count, "point_id": np.arange(count)})
-                for name in "xyzrgb":
-                    out[name] = points[name].astype(float) if name in points.dtype.names else np.nan
+                out = pd.DataFrame({"cloud_id": [ply.name] * len(points), "point_id": np.arange(len(points))})
+                for c in "xyzrgb":
+                    name = names.get(c, c)
+                    out[c] = points[name].astype(float) if name in points.dtype.names else np.nan
                 yield out
 
-    return raw.select("path", "content").mapInPandas(read, schemas.POINTS)
+    return _ply_files(spark, root).mapInPandas(read, schemas.POINTS)
+
+
+def ply_triangles(spark: SparkSession, root: str) -> DataFrame:
+    """cloud_id, face_id, a, b, c of binary PLY files: corners are numbers of vertices, from 0, as `ply_points` has them.
+
+    Meshes of triangles are read at once, mixed lists face by face; polygons become fans of triangles with one face_id. A corner
+    that is no vertex is an error; a file without faces gives no rows. One task a file, in pieces of 100,000 triangles.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                ply = Ply(path, content)
+                triangles, face = fans(*ply.faces())
+                points = next((n for name, n, _ in ply.elements if name == "vertex"), 0)
+                if len(triangles) and not 0 <= triangles.min() <= triangles.max() < points:
+                    raise ValueError(f"{path}: a face has a corner that is no vertex")
+                for start in range(0, len(triangles), 100_000):
+                    part = triangles[start : start + 100_000]
+                    yield pd.DataFrame({"cloud_id": [ply.name] * len(part), "face_id": face[start : start + 100_000], "a": part[:, 0], "b": part[:, 1], "c": part[:, 2]})
+
+    return _ply_files(spark, root).mapInPandas(read, schemas.TRIANGLES)
