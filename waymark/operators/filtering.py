@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import scalars
 from waymark.functions.sharpness import image_sharpness
+from waymark.operators.ordering import positions
 
 
 def score_images(images: DataFrame) -> DataFrame:
@@ -25,9 +26,8 @@ def blur_filter(scores: DataFrame, threshold: float = 100.0) -> DataFrame:
     return scores.filter(is_sharp(threshold))
 
 
-def frame_order() -> Window:
-    """By number; the path breaks ties. A video's frames stand together: an hour has 3,600 of them at 1 a second."""
-    return Window.partitionBy("video_id").orderBy("frame_no", "path")
+#: Frames of a video are in order of their number; the path breaks ties.
+FRAME_ORDER = ["frame_no", "path"]
 
 
 def sampling_step(source_fps: float, target_fps: float) -> int:
@@ -38,18 +38,21 @@ def sampling_step(source_fps: float, target_fps: float) -> int:
 
 
 def temporal_sample(sharp: DataFrame, source_fps: float = 1.0, target_fps: float = 5.0) -> DataFrame:
-    """Every n-th survivor of each video, counted among survivors and not by frame number."""
+    """Every n-th survivor of each video, counted among survivors and not by frame number. A video may be of any length."""
     step = sampling_step(source_fps, target_fps)
     if step == 1:
         return sharp
-    ranked = sharp.withColumn("_i", F.row_number().over(frame_order()) - 1)
-    return ranked.filter(F.col("_i") % step == 0).drop("_i")
+    return positions(sharp, "video_id", FRAME_ORDER, "_i").filter(F.col("_i") % step == 0).drop("_i")
 
 
 def renumber(selected: DataFrame) -> DataFrame:
     """Manifest: new sequence numbers and names beside the original number and time."""
-    seq = F.row_number().over(frame_order()).cast("bigint")
-    rows = selected.withColumn("seq_no", seq)
+    return _named(positions(selected, "video_id", FRAME_ORDER, "_i"), 1)
+
+
+def _named(placed: DataFrame, step: int) -> DataFrame:
+    """Every `step`-th of the placed frames; of these, its number is its place in steps, counted from 1."""
+    rows = placed.filter(F.col("_i") % step == 0).withColumn("seq_no", F.expr(f"_i div {step} + 1"))
     return rows.select(
         "video_id", F.col("path").alias("src_path"), F.col("frame_no").alias("src_frame_no"), "t_sec", "sharpness", "seq_no",
         scalars.out_name(F.col("seq_no")).alias("out_name"),
@@ -57,8 +60,10 @@ def renumber(selected: DataFrame) -> DataFrame:
 
 
 def manifest(scores: DataFrame, threshold: float = 100.0, source_fps: float = 1.0, target_fps: float = 5.0) -> DataFrame:
-    """Blur filter, sampling and renumbering: one shuffle, as both windows share their partitioning."""
-    return renumber(temporal_sample(blur_filter(scores, threshold), source_fps, target_fps))
+    """Blur filter, sampling and renumbering: frames are put in order once, as a place among survivors tells both whether a frame
+    stays and its new number."""
+    step = sampling_step(source_fps, target_fps)
+    return _named(positions(blur_filter(scores, threshold), "video_id", FRAME_ORDER, "_i"), step)
 
 
 def in_order(frames: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.ordering import positions
 from waymark.session import cut, exists, remove
 
 #: Fixed values of WGS-84.
@@ -223,8 +224,19 @@ def update_tiles(path: str, points: DataFrame, touched: DataFrame, size: float,
         remove(spark, f"{path}/block_x={r[0]}/block_y={r[1]}")
 
 
-def polyline(fixes: DataFrame) -> DataFrame:
-    """A video's fixes in order of time. A list holds one track, so its size is the track's."""
+def polyline_chunks(fixes: DataFrame, size: int = 1000) -> DataFrame:
+    """A video's fixes in order of time (ties by lon, then lat), `size` of them to a row: video_id, chunk (from 0), polyline. A track
+    may be of any length."""
+    placed = positions(fixes.select("video_id", "ts", "lon", "lat"), "video_id", ["ts", "lon", "lat"], "_i")
+    points = F.sort_array(F.collect_list(F.struct("_i", "lon", "lat")))
+    return placed.groupBy("video_id", F.expr(f"_i div {size}").alias("chunk")).agg(F.transform(points, lambda p: F.array(p["lon"], p["lat"])).alias("polyline"))
+
+
+def polyline(fixes: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A video's fixes in order of time, in one row. A track of more than `most` fixes is an error: `polyline_chunks` has those."""
+    longest = fixes.groupBy("video_id").count().agg(F.max("count")).first()[0] or 0
+    if longest > most:
+        raise ValueError(f"a track has {longest} fixes, more than {most}: use polyline_chunks")
     points = F.sort_array(F.collect_list(F.struct("ts", "lon", "lat")))
     return fixes.groupBy("video_id").agg(F.transform(points, lambda p: F.array(p["lon"], p["lat"])).alias("polyline"))
 

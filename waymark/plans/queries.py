@@ -469,6 +469,23 @@ def gps_polyline(spark, d):
     return geo.polyline(fixes).select("video_id", line.alias("polyline"))
 
 
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events WHERE event_type = 'view')
+SELECT user_id AS video_id, i // 8 AS chunk, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY i) AS polyline FROM p GROUP BY 1, 2""")
+def gps_polyline_chunks(spark, d):
+    fixes = table(spark, d, "events").filter("event_type = 'view'").select(
+        F.col("user_id").alias("video_id"), "ts", F.col("event_id").alias("lon"), F.lit(0).cast("bigint").alias("lat")
+    )
+    line = F.array_join(F.transform("polyline", lambda p: p[0].cast("string")), ",")
+    return geo.polyline_chunks(fixes, 8).select("video_id", "chunk", line.alias("polyline"))
+
+
+@query(f"""WITH {RANKED} SELECT user_id AS video_id, (seq - 1) // 5 AS chunk, string_agg(printf('frame_%07d.jpg', seq), ',' ORDER BY seq) AS files
+FROM kept GROUP BY 1, 2""")
+def file_chunks(spark, d):
+    out = summary.file_chunks(filtering.manifest(scores(spark, d), THRESHOLD, 1.0, FPS), 5)
+    return out.select("video_id", "chunk", F.array_join("files", ",").alias("files"))
+
+
 @query("""SELECT o_custkey AS path, CAST(o_orderkey AS VARCHAR) AS title, o_orderdate AS updated FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) = 1""")
 def site_manifest(spark, d):
