@@ -68,8 +68,10 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("rows", [docs(1), docs(2), ODD, ODD + docs(45) + docs(17, "de", 100) + docs(16, "fr", 200)])
-@pytest.mark.parametrize("levels", [1, 2, 10])
+MANY = ODD + docs(45) + docs(17, "de", 100) + docs(16, "fr", 200)
+
+
+@pytest.mark.parametrize(("rows", "levels"), [(docs(1), 10), (docs(2), 1), (ODD, 2), (MANY, 1), (MANY, 2), (MANY, 10)])
 def test_manifest(spark, rows, levels):
     assert got(spark, rows, levels=levels) == plain(rows)
 
