@@ -116,6 +116,36 @@ def test_jaccard_unlinked_family(spark, monkeypatch, passages, block, rounds):
     assert len({c for _, c in got.values()}) >= 290
 
 
+def test_jaccard_unlinked_family_with_repeated_ids(spark):
+    """An id with several texts in a crowded family: each text links by its own shingles, also where another lacks the key."""
+    rng = random.Random(1)
+    pool = [" ".join(f"p{k}w{i}" for i in range(20)) for k in range(60)]
+    rows = []
+    for i in range(300):
+        text = " ".join(rng.sample(pool, 6))
+        rows.append((2 * i + 10, text))
+        if i % 3 == 0:
+            rows.append((2 * i + 10, " ".join(rng.sample(pool, 6))))
+        if i % 10 == 0:
+            rows.append((2 * i + 11, rows[-1][1].replace(" ", f" odd{i} ", 1)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs, 90, 3, 300).collect())
+    # Ids of one document's texts are told apart, and then linked by force: a link from each to the next.
+    whole = brute_links([(k, t) for k, (_, t) in enumerate(rows)], 90, 3)
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (d, _) in enumerate(rows):
+        x, y = find(d), find(rows[whole[k][1]][0])
+        root[max(x, y)] = min(x, y)
+    assert got == sorted((d, whole[k][0], find(d)) for k, (d, _) in enumerate(rows))
+    assert len({c for *_, c in got}) < len({d for d, _ in rows})
+
+
 def test_jaccard_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(100))
     rows = [(3, text), (3, text), (5, text + " more"), (None, text), (None, None), (None, "alone words here"), (9, "q")]

@@ -159,11 +159,12 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(arrow.tidy(run), f"doc_id {kind}, n_shingles bigint, hi bigint, lo bigint")
 
 
-def _deal(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Order by bucket, and for each bucket that has any its number and its stretch."""
+def _deal(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order by bucket, and for each bucket that has any its number and its stretch; others, however many, are not looked at."""
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-    return order, [(k, i, j) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+    ordered = bucket[order]
+    start = _runs(ordered)[1]
+    return order, list(zip(ordered[start].tolist(), start.tolist(), np.append(start[1:], len(ordered)).tolist(), strict=True))
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -210,7 +211,7 @@ def _shared_counts(docs: DataFrame, alike: Similarity, width: int, buckets: int)
                 many = np.bincount(run)[run] > 1
                 who, n = np.unique(node[many], return_counts=True)
                 key, node = key[start], np.where(many[start], _NOBODY, node[start])
-                order, parts = _deal(_bucket(key, buckets), buckets)
+                order, parts = _deal(_bucket(key, buckets))
                 key, node = key[order], node[order]
                 # Any number does for a slice that only brings its answers together; ids that come again are summed at the end.
                 where = hash((part.column("doc_id")[0].as_py(), part.num_rows, len(key)))
@@ -283,7 +284,7 @@ def _frequencies(slices: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 key, n = np.unique(np.frombuffer(row["shingles"], "<u8"), return_counts=True)
-                order, parts = _deal(_bucket(key, buckets), buckets)
+                order, parts = _deal(_bucket(key, buckets))
                 key, n = key[order], n[order].astype("<i4")
                 if parts:
                     rows = [(k, row["slice"], key[i:j].tobytes(), n[i:j].tobytes()) for k, i, j in parts]
@@ -350,7 +351,7 @@ def _rare_edges(slices: DataFrame, held: DataFrame, alike: Similarity, buckets:
             node = _bytes(left, "nodes", "<i8")[doc]
             head, a, b = _stars(key, node)
             key, node = key[head], node[head]
-            order, parts = _deal(_bucket(key, buckets), buckets)
+            order, parts = _deal(_bucket(key, buckets))
             key, node = key[order], node[order]
             rows = [(k, key[i:j].tobytes(), node[i:j].tobytes(), None) for k, i, j in parts]
             if len(a):
@@ -530,7 +531,8 @@ def _prefixes(left: DataFrame, alike: Similarity) -> DataFrame:
 
 
 def _keyed(prefixes: DataFrame, after: bool = False) -> DataFrame:
-    """key, node, label, n: a row for each own key of a set; with `after` (rows have such a key) for that key with each behind it."""
+    """key, node, label, n: a row for each own key of a set; with `after` (rows have such a key) for that key with each behind
+    it, if the set has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -539,7 +541,9 @@ def _keyed(prefixes: DataFrame, after: bool = False) -> DataFrame:
                 found = [np.frombuffer(r["keys"], "<u8") for r in rows]
                 if after:
                     own = [np.array(r["key"], "<i8").view("<u8") for r in rows]
-                    found = [words.mix(h * _K[0] + f[int(np.flatnonzero(f == h)[0]) + 1 :]) for h, f in zip(own, found, strict=True)]
+                    # Another text of the same id may be without the key; it meets others by keys of its own.
+                    behind = [f[np.flatnonzero(f == h)[0] + 1 :] if (f == h).any() else f[:0] for h, f in zip(own, found, strict=True)]
+                    found = [words.mix(h * _K[0] + f) for h, f in zip(own, behind, strict=True)]
                 else:
                     found = [f[: r["own"]] for r, f in zip(rows, found, strict=True)]
                 many = [len(f) for f in found]
@@ -565,7 +569,8 @@ def _link_apart(left: DataFrame, alike: Similarity, block: int) -> DataFrame:
     found, wide = _link_keyed(_keyed(prefixes), left, alike, block, last=alike.percent <= 50)
     if wide is None:
         return found
-    again = wide.join(prefixes.drop("label", "n"), "node")
+    # An id with several texts stands once for each in both.
+    again = wide.select("key", "node").distinct().join(prefixes, "node")
     return found.unionByName(_link_keyed(_keyed(again, after=True), left, alike, block, last=True)[0])
 
 
