@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -51,6 +53,24 @@ def unused(name: str, *columns: list[str]) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name in back-ticks, as Spark takes it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def over(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """df.mapInArrow for columns of any name: Spark looks them up by plain names, so they have such on the way."""
+    names = df.columns
+    made = [f"c{k}" for k in range(len(schema.fields))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(b.rename_columns(names) for b in batches):
+            yield out.rename_columns(made)
+
+    kind = StructType([StructField(n, f.dataType) for n, f in zip(made, schema.fields, strict=True)])
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(tidy(renamed), kind).toDF(*(f.name for f in schema.fields))
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     """Values of a string column, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

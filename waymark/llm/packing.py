@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from waymark.llm import arrow, tokens
-from waymark.llm.arrow import unused
+from waymark.llm.arrow import quoted, unused
 from waymark.session import cut, small
 
 PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids binary"
@@ -135,10 +136,10 @@ def best_fit(items: DataFrame, order: list[str], capacity: int = 2048, length_co
         by_length.setdefault(length, []).append((first, copies, sequence, offset))
     shared = spark.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in by_length.items()})
     slot, number, rank, before = (unused(x, items.columns) for x in ("_slot", "_number", "_rank", "_before"))
-    kind = dict(items.dtypes)[length_col]
-    many = spark.createDataFrame([(x, 1 + n // slot_rows) for x, n in counts.items()], f"`{length_col}` {kind}, `{number}` bigint")
+    many_kind = StructType([StructField(length_col, items.schema[length_col].dataType), StructField(number, LongType())])
+    many = spark.createDataFrame([(x, 1 + n // slot_rows) for x, n in counts.items()], many_kind)
     dealt = items.filter(F.col(length_col) < capacity).join(F.broadcast(many), length_col)  # a row for each length
-    dealt = dealt.withColumn(slot, F.pmod(F.xxhash64(*order), number)).select(*items.columns, slot)
+    dealt = dealt.withColumn(slot, F.pmod(F.xxhash64(*order), number)).select(*map(quoted, items.columns), slot)
     sizes = dealt.groupBy(length_col, slot).count()
     sizes = cut(sizes.select(length_col, slot, (F.sum("count").over(Window.partitionBy(length_col).orderBy(slot)) - F.col("count")).alias(before)))
     inside = F.row_number().over(Window.partitionBy(length_col, slot).orderBy(*order)) - 1
@@ -160,9 +161,8 @@ def best_fit(items: DataFrame, order: list[str], capacity: int = 2048, length_co
                 [*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"]
             )
 
-    kinds = dict(items.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sequence_id bigint, offset bigint"
-    return ranked.select(*names, rank).mapInArrow(arrow.tidy(place), schema).unionByName(whole)
+    schema = StructType([*(StructField(f.name, f.dataType) for f in items.schema.fields), StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return arrow.over(ranked.select(*map(quoted, names), rank), place, schema).unionByName(whole)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, **options) -> DataFrame:

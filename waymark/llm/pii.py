@@ -549,4 +549,4 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 text = pa.array([clean(t) for t in part.column(text_col).to_pylist()], pa.string())
                 yield part.set_column(part.schema.get_field_index(text_col), text_col, text)
 
-    return docs.mapInArrow(arrow.tidy(run), docs.schema)
+    return arrow.over(docs, run, docs.schema)

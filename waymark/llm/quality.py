@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from waymark.llm import arrow, words
 
@@ -21,11 +22,15 @@ _KINDS[128:] = 8
 OWN = 14  # features of a line by itself
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every line of all texts (lines by 3 * OWN + 2), and where each text's lines begin (one more at the end).
+LONG = 4_000  # lines from which on a text is worked through in stretches of so many
+
+
+def own_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of every line of all texts by itself (lines by OWN), where each text's lines begin (one more at the end), and a
+    hash of each line's words, 0 if it has none.
 
-    A line's own features are shares of byte classes, its length, its words' mean length, the share of words equal to the
-    word before, and whether an equal line stands above it in the text; those of the lines before and after come beside them.
+    They are shares of byte classes, its length, its words' mean length, the share of words equal to the word before, and whether
+    an equal line stands above it in the text.
     """
     raw, begins = words.join(texts)
     buf = np.frombuffer(raw, np.uint8)
@@ -58,6 +63,14 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     own = np.column_stack([
         counts / np.maximum(size, 1)[:, None], np.log1p(size) / 5, np.minimum(size / np.maximum(number, 1), 40) / 10, repeated, copy
     ])
+    return own, bounds, np.where(full, np.maximum(key, np.uint64(1)), np.uint64(0))
+
+
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of every line of all texts (lines by 3 * OWN + 2), its own and beside them those of the lines before and after,
+    and where each text's lines begin (one more at the end)."""
+    own, bounds, _ = own_features(texts)
+    n = len(own)
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     opens, closes = bounds[:-1], bounds[1:] - 1
@@ -67,6 +80,20 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack([own, before, after, edge]), bounds
 
 
+def stretches(text: str) -> Iterator[np.ndarray]:
+    """Own features of a long text's lines, LONG lines at a time, as own_features gives them for the whole text."""
+    raw = text.encode()
+    ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), len(raw))
+    seen = np.zeros(0, np.uint64)
+    for first in range(0, len(ends), LONG):
+        start = int(ends[first - 1]) + 1 if first else 0
+        own, _, key = own_features([raw[start : int(ends[min(first + LONG, len(ends)) - 1])].decode()])
+        known = np.searchsorted(seen, key)
+        own[(key > 0) & (known < len(seen)) & (seen[np.minimum(known, max(len(seen) - 1, 0))] == key if len(seen) else False), -1] = 1
+        seen = np.union1d(seen, key[key > 0])
+        yield own
+
+
 @dataclass
 class Model:
     """Weights of a field with the labels bad (0) and good (1), and of the step from a document's mean to its score."""
@@ -102,16 +129,43 @@ class Model:
             backward[at] = self.pass_on(odds[at + 1] + backward[at + 1], self.move.T)
         return forward, backward
 
+    def long_odds(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds and lengths of a long text's lines; features of one stretch at a time are held."""
+        odds, sizes, last, held = [], [], np.zeros(OWN), None
+
+        def take(own: np.ndarray, after: np.ndarray, opens: bool, closes: bool) -> None:
+            edge = np.zeros((len(own), 2))
+            edge[0, 0], edge[-1, 1] = opens, closes
+            odds.append(self.odds(np.hstack([own, np.vstack([last, own[:-1]]), np.vstack([own[1:], after]), edge])))
+            sizes.append(np.expm1(own[:, 10] * 5) + 1)
+
+        for own in stretches(text):
+            if held is not None:
+                take(held, own[0], not odds, False)
+                last = held[-1]
+            held = own
+        take(held, np.zeros(OWN), not odds, True)
+        return np.concatenate(odds), np.concatenate(sizes)
+
+    def long_score(self, text: str) -> float:
+        odds, sizes = self.long_odds(text)
+        both = _scan(odds, self.move) + _scan(odds[::-1], self.move.T)[::-1] - odds
+        return float((_sigmoid(both) * sizes).sum() / sizes.sum())
+
     def marginals(self, features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         forward, backward = self.chains(self.odds(features), bounds)
         return _sigmoid(forward + backward)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """A text's mean of the lines' chances of being good, weighted by their length, brought to a probability."""
-        if not texts:
-            return np.zeros(0)
-        features, bounds = line_features(texts)
-        return self.calibrate(_weighted(self.marginals(features, bounds), features, bounds))
+        mean = np.zeros(len(texts))
+        long = np.array([t.count("\n") >= LONG for t in texts], bool)
+        if (short := [t for t, far in zip(texts, long, strict=True) if not far]):
+            features, bounds = line_features(short)
+            mean[~long] = _weighted(self.marginals(features, bounds), features, bounds)
+        for k in np.flatnonzero(long):
+            mean[k] = self.long_score(texts[k])
+        return self.calibrate(mean)
 
     def calibrate(self, mean: np.ndarray) -> np.ndarray:
         p = np.clip(mean, 1e-6, 1 - 1e-6)
@@ -122,6 +176,50 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def _scan(odds: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Forward log-odds of one long chain. A step multiplies the chances of both labels by a 2 by 2 matrix; the products of blocks
+    of steps are made side by side, then joined one after another, then each block runs from where the one before ended."""
+    size = max(1, int(len(odds) ** 0.5))
+    blocks = -(-len(odds) // size)
+    steps = np.zeros(blocks * size)
+    steps[: len(odds)] = np.clip(odds, -300, 300)
+    steps = steps.reshape(blocks, size)
+    good, bad = np.exp(np.minimum(steps, 0)), np.exp(-np.maximum(steps, 0))  # a step's factors, the larger of them 1
+    factor = np.exp(move - move.max())
+
+    def step(g: np.ndarray, b: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        new_g, new_b = good[:, t] * (g * factor[1, 1] + b * factor[0, 1]), bad[:, t] * (g * factor[1, 0] + b * factor[0, 0])
+        return new_g, new_b
+
+    g, b = np.array([[1.0], [0.0]]).repeat(blocks, 1), np.array([[0.0], [1.0]]).repeat(blocks, 1)  # from either label alone
+    for t in range(size):
+        g, b = step(g, b, t)
+        top = np.maximum(np.maximum(g, b).max(axis=0), 1e-300)
+        g, b = g / top, b / top
+    starts, state = np.empty((2, blocks)), None
+    for k in range(blocks):
+        starts[:, k] = (np.nan, np.nan) if state is None else state
+        if state is None:  # the first block begins without a line before it
+            x = np.array([good[0, 0], bad[0, 0]])
+            for t in range(1, size):
+                x = np.array([good[0, t] * (x[0] * factor[1, 1] + x[1] * factor[0, 1]), bad[0, t] * (x[0] * factor[1, 0] + x[1] * factor[0, 0])])
+                x /= x.sum()
+            state = x
+        else:
+            state = np.array([state @ g[:, k], state @ b[:, k]])
+        state = state / max(state.sum(), 1e-300)
+    out = np.empty((blocks, size))
+    g, b = starts[0].copy(), starts[1].copy()
+    for t in range(size):
+        g, b = step(g, b, t)
+        if not t:
+            g[0], b[0] = good[0, 0], bad[0, 0]
+        total = np.maximum(g + b, 1e-300)
+        g, b = g / total, b / total
+        out[:, t] = np.log(np.maximum(g, 1e-300)) - np.log(np.maximum(b, 1e-300))
+    return out.ravel()[: len(odds)]
+
+
 def _weighted(good: np.ndarray, features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     length = np.expm1(features[:, 10] * 5) + 1
     return np.add.reduceat(good * length, bounds[:-1]) / np.add.reduceat(length, bounds[:-1])
@@ -237,7 +335,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows with a score of at least `threshold`, with the columns of docs, whatever their names."""
     name = arrow.unused("_score", docs.columns)
-    return with_score(docs, model, text_col, name).filter(F.col(name) >= threshold).select(*docs.columns)
+    return with_score(docs, model, text_col, name).filter(F.col(name) >= threshold).drop(name)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -254,5 +352,5 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
                 scores = pa.array(shared.value.scores(arrow.texts(part, text_col)), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], [*columns, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` double"
-    return docs.mapInArrow(arrow.tidy(run), schema)
+    schema = StructType([*(StructField(f.name, f.dataType) for f in docs.schema.fields), StructField(name, DoubleType())])
+    return arrow.over(docs, run, schema)
