@@ -490,9 +490,15 @@ def _sums(rows: DataFrame, alike: Similarity, block: int, copies: float = 1.0) -
     return out.select("key", "all", "most", "k", "km", F.expr("all * CAST(km AS DOUBLE) + (all - top) * CAST(k AS DOUBLE) <= split").alias("cheap"))
 
 
+#: Blocks on each side of a tile in which few sets meet many.
+_TILE = 4
+
+
 def _few_by_all(rows: DataFrame, alike: Similarity) -> DataFrame:
     """Edges between the sets outside a key's largest label and all of the key's, tile by tile. rows: key, node, label, shingles,
-    most, k, km. A row's copies are made right before they are dealt, one behind the other, so that they compress well."""
+    most, k, km. A row's copies are made right before they are dealt, one behind the other, so that they compress well. A tile
+    is of _TILE blocks a side, a few megabytes, as a set is copied once for each tile of the other side."""
+    rows = rows.withColumns({c: F.ceil(F.col(c) / _TILE).cast("bigint") for c in ("k", "km")})
     number = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     own = ["key", F.lit(0).cast("bigint").alias("family"), "node", "label", "shingles"]
