@@ -31,9 +31,10 @@ def demux_stage(frames: DataFrame, fixes: DataFrame | None = None, videos: DataF
     return counts.join(usable, "video_id", "left").withColumn("gps_csv", scalars.path_if(F.col("has_gps"), place("gps.csv"))).drop("has_gps")
 
 
-def filter_stage(scores: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """The manifest, and the funnel with the folders that it leads from and to."""
-    chosen = filtering.manifest(scores, params.blur_thresh, params.source_fps, params.target_fps)
+def filter_stage(scores: DataFrame, params: Params = Params(), chosen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The manifest (`chosen`, if it was made before), and the funnel with the folders that it leads from and to."""
+    if chosen is None:
+        chosen = filtering.manifest(scores, params.blur_thresh, params.source_fps, params.target_fps)
     funnel = summary.filter_funnel(scores, chosen, params.blur_thresh, params.target_fps)
     return chosen, funnel.select("video_id", place("frames").alias("input_dir"), place("frames_filtered").alias("output_dir"), *funnel.columns[1:])
 
@@ -65,7 +66,11 @@ def run_all(
     """One nested result for each video that came through all stages; `videos` (video_id, path) names their source files."""
     demux = demux_stage(scores, fixes, videos)
     _, funnel = filter_stage(scores, params)
-    sfm = sfm_stage(artifacts, demux)
+    return assembled(demux, funnel, sfm_stage(artifacts, demux))
+
+
+def assembled(demux: DataFrame, funnel: DataFrame, sfm: DataFrame) -> DataFrame:
+    """video_id and the nested result of each video that all three stages have."""
     pack = lambda df, name: df.select("video_id", F.struct(*[c for c in df.columns if c != "video_id"]).alias(name))
     whole = summary.assemble(pack(demux, "d"), pack(funnel, "f"), pack(sfm, "s"))
     outputs = F.struct(

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark import schemas
 from waymark.functions import scalars
+from waymark.functions.sharpness import image_sharpness
 from waymark.session import cut, small
 
 FRAME_GLOB = "frame_*.jpg"
@@ -27,16 +28,15 @@ def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 def frames(spark: SparkSession, root: str, glob: str = FRAME_GLOB, source_fps: float = 1.0) -> DataFrame:
     """Catalogue of frame files; the video is the `video_id=` folder, or else the parent folder."""
-    path = F.col("path")
-    tagged = F.regexp_extract(path, r"video_id=([^/]+)/", 1)
-    return files(spark, root, glob).select(
-        F.when(tagged != "", tagged).otherwise(scalars.parent_name(path)).alias("video_id"),
-        "path",
-        scalars.file_name(path).alias("file_name"),
-        scalars.frame_no(path).alias("frame_no"),
-        scalars.frame_time(scalars.frame_no(path), source_fps).alias("t_sec"),
-        "length",
-    )
+    return files(spark, root, glob).select(*_frame_columns(F.col("path"), source_fps), "length")
+
+
+def _frame_columns(path: Column, source_fps: float) -> list[Column]:
+    tagged, number = F.regexp_extract(path, r"video_id=([^/]+)/", 1), scalars.frame_no(path)
+    return [
+        F.when(tagged != "", tagged).otherwise(scalars.parent_name(path)).alias("video_id"), path.alias("path"),
+        scalars.file_name(path).alias("file_name"), number.alias("frame_no"), scalars.frame_time(number, source_fps).alias("t_sec"),
+    ]
 
 
 def pixels(spark: SparkSession, root: str, glob: str = FRAME_GLOB) -> DataFrame:
@@ -47,6 +47,19 @@ def pixels(spark: SparkSession, root: str, glob: str = FRAME_GLOB) -> DataFrame:
     )
 
 
+def scored_frames(spark: SparkSession, root: str, glob: str = FRAME_GLOB, source_fps: float = 1.0) -> DataFrame:
+    """The catalogue with sharpness and decoded, from one read of each image; undecodable files stay and score 0. Pixels never leave
+    the task that reads them."""
+    raw = (
+        spark.read.format("image").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("dropInvalid", "false")
+        .load(root).select("image", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"))
+    )
+    return raw.select(
+        *_frame_columns(F.col("path"), source_fps), "length",
+        image_sharpness("image").alias("sharpness"), (F.col("image.height") > 0).alias("decoded"),
+    )
+
+
 def gps_track(spark: SparkSession, path: str) -> DataFrame:
     """CSV of GPS tags to fixes; values that do not parse become null."""
     rows = spark.read.csv(path, header=True, schema=schemas.GPS_CSV, escape='"')
@@ -101,6 +114,11 @@ def read_log(spark: SparkSession, path: str, run_id: int = 0) -> DataFrame:
     return log_lines(rows.select(F.lit(run_id).cast("bigint").alias("run_id"), "line_no", "value"))
 
 
+def source_videos(spark: SparkSession, root: str, glob: str = "*.{mp4,MP4,mov,MOV}") -> DataFrame:
+    """video_id (the file's name without extension) and path of source files."""
+    return files(spark, root, glob).select(scalars.stem(F.col("path")).alias("video_id"), "path")
+
+
 def artifacts(spark: SparkSession, root: str) -> DataFrame:
     """Files below `<video>/sparse/<model>/` and `<video>/*.ply`; a file beside the models has model_id null."""
     path = F.col("path")
