@@ -94,9 +94,14 @@ class Graph:
     chain: list[tuple[int, int]] = field(default_factory=list)
     skip: list[tuple[int, int]] = field(default_factory=list)
     truth: list[int] = field(default_factory=list)  # for fits: the label, or -1 where it is not known
+    weak: list[tuple[int, int]] = field(default_factory=list)  # ties of plain words, see `_plain`
 
 
-WIDTH = 64
+WIDTH = 65
+#: The one feature of a mention that is a plain word: its shape tells nothing.
+_WORD = 64
+#: Names that are ordinary words or numbers as well: letters with hyphens, single letters with dots, signs and digits alone.
+_PLAIN = re.compile(r"[a-z]+(?:-[a-z]+)*|(?:[a-z]\.)+[a-z]|[0-9._%+-]+")
 
 
 def _shape(token: str) -> list[int]:
@@ -121,14 +126,14 @@ def _shape(token: str) -> list[int]:
 
 
 def _keys(token: str) -> set[str]:
-    """By what tokens that meet no base span are taken for the same thing."""
+    """By what tokens that meet no base span are taken for the same thing; no key of a base span is among them."""
     bare = token.strip(_EDGE).lower()
     digits = _digits(bare)
-    out = {"=" + bare} if len(bare) > 5 else set()
+    out = {"token=" + bare} if len(bare) > 5 else set()
     if len(digits) >= 7:
-        out.add("#" + digits[-7:])
+        out.add("token#" + digits[-7:])
     if "@" in bare and len(bare.partition("@")[0]) > 3:
-        out.add("=" + bare.partition("@")[0])
+        out.add("token=" + bare.partition("@")[0])
     return out
 
 
@@ -140,11 +145,22 @@ def _name(word: str) -> str:
     return word.strip("._%+-").lower()
 
 
+def _plain(name: str) -> bool:
+    """Whether equal words are likely to be just words: `will`, `april`, `well-known`, `2024`, but not `jane.doe` or `will7`."""
+    return bool(_PLAIN.fullmatch(name))
+
+
 def _base_keys(text: str, kind: int) -> set[str]:
-    """`=` and an e-mail's name, `#` and the last seven of all digits (of an e-mail's name: its digits)."""
+    """`=` and an e-mail's name, for a plain one also `~` and it, by which bare words meet it; `#` and the last seven of all digits
+    (of an e-mail's name: its digits)."""
     name = text.partition("@")[0] if kind == 0 else ""
-    digits = _digits(name or text)
-    return ({"=" + _name(name)} if len(_name(name)) > 3 else set()) | ({"#" + digits[-7:]} if len(digits) >= 7 else set())
+    digits, bare = _digits(name or text), _name(name)
+    out = {"#" + digits[-7:]} if len(digits) >= 7 else set()
+    if len(bare) > 3:
+        out.add("=" + bare)
+        if _plain(bare):
+            out.add("~" + bare)
+    return out
 
 
 def _cased(c: str) -> bool:
@@ -152,7 +168,8 @@ def _cased(c: str) -> bool:
 
 
 def _names(text: str, names: set[str]) -> Iterator[tuple[int, int, str]]:
-    """Whole words that are the name of an e-mail, with a host after it if one follows. A mailbox's role is a mention only with one."""
+    """Whole words that are the name of an e-mail, with a host after it if one follows. A mailbox's role is a mention only with one;
+    a plain word without one has a key of its own, whose ties are weak."""
     for m in _NAME.finditer(text):
         name = _name(m.group())
         if name not in names:
@@ -163,12 +180,40 @@ def _names(text: str, names: set[str]) -> Iterator[tuple[int, int, str]]:
             continue
         # Letters of scripts with cases would make it another word; others are written without spaces.
         if not (m.start() and _cased(text[m.start() - 1])) and not (m.end() < len(text) and _cased(text[m.end()])):
-            yield start, host.end() if host else end, "=" + name
+            yield start, host.end() if host else end, ("~" if _plain(name) and not host else "=") + name
+
+
+#: Longer numbers (only names of e-mails hold such) are met as a whole or by an end of so many digits.
+_ENDS = 24
+
+
+class Numbers:
+    """Digits of base spans: whole numbers, and all their ends of seven digits or more."""
 
+    def __init__(self) -> None:
+        self.whole: set[str] = set()
+        self.ends: set[str] = set()
 
-def _numbers(text: str, numbers: set[str], busy: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-    """Runs of digit groups, in one token or several, that are the end (seven digits at least) or the whole of a number of
-    `numbers`, which holds all those ends; zeros may stand before. Also single tokens that only end alike."""
+    def add(self, digits: str) -> None:
+        if len(digits) >= 7:
+            self.whole.add(digits)
+            self.ends.update(digits[i:] for i in range(max(0, len(digits) - _ENDS), len(digits) - 6))
+
+    def longest(self) -> int:
+        return max(map(len, self.whole), default=0) + 2
+
+    def says(self, digits: str) -> bool:
+        """Whether these are a number or its end, or its end behind a trunk 0, or the whole of it behind an international 00. Other
+        digits before an end make it another number."""
+        if digits in self.ends or digits in self.whole:
+            return True
+        return digits[:1] == "0" and digits[1:] in self.ends and digits[1:] not in self.whole or digits[:2] == "00" and digits[2:] in self.whole
+
+
+def _numbers(text: str, numbers: Numbers, busy: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Runs of digit groups, in one token or several, that are a number of `numbers` or an end of it: the longest such run up to a
+    group. One that hangs on further digits before it, by a hyphen, dot or slash, is another number and no mention."""
+    longest = numbers.longest()
 
     def meet(groups: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
         joined = "".join(text[a:b] for a, b in groups)
@@ -177,21 +222,18 @@ def _numbers(text: str, numbers: set[str], busy: list[tuple[int, int]]) -> Itera
             offset.append(offset[-1] + b - a)
         for k in range(len(groups)):
             end = offset[k + 1]
-            if end < 7 or joined[end - 7 : end] not in numbers:
+            if end < 7 or joined[end - 7 : end] not in numbers.ends:
                 continue
-            first = k
-            while offset[first] > end - 7:
-                first -= 1
-            best = first if not _SPACE.search(text, groups[first][0], groups[k][1]) else None
-            i = first
-            while i >= 0 and end - offset[i] <= 24:
-                x = joined[offset[i] : end]
-                if x in numbers or x.lstrip("0") in numbers:
+            i, best = k, None
+            while i >= 0 and end - offset[i] <= longest:
+                if end - offset[i] >= 7 and numbers.says(joined[offset[i] : end]):
                     best = i
                 i -= 1
             if best is None:
                 continue
             start, stop = groups[best][0], groups[k][1]
+            if best and not re.search(r"[\s(]", text[groups[best - 1][1] : start]):
+                continue
             if start and text[start - 1] == "(" and ")" in text[start:stop]:
                 start -= 1
             if start and text[start - 1] == "+":
@@ -238,16 +280,15 @@ def _apart(found: Iterable[tuple[int, int, str]], busy: list[tuple[int, int]]) -
 def _mentions(text: str, spans: list[tuple[int, int, int]], busy: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """(start, end, key) outside the base spans of all that meets a key of one, in order."""
     names: set[str] = set()
-    numbers: set[str] = set()
+    numbers = Numbers()
     for a, k, b in spans:
         for key in _base_keys(text[a:b], k):
             if key[0] == "=":
                 names.add(key[1:])
-            else:
-                digits = _digits(text[a:b].partition("@")[0])[-24:]
-                numbers.update(digits[i:] for i in range(len(digits) - 6))
+            elif key[0] == "#":
+                numbers.add(_digits(text[a:b].partition("@")[0]))
     found = list(_names(text, names)) if names else []
-    if numbers:
+    if numbers.whole:
         found += _numbers(text, numbers, busy)
     return _apart(found, busy)
 
@@ -281,7 +322,7 @@ def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph:
         left, right = len(token) - len(token.lstrip(_EDGE)), len(token.rstrip(_EDGE))
         g.spans.append((start + left, start + right) if keys is None and right > left else (start, end))
         g.label.append(label)
-        own = _shape(token)
+        own = [_WORD] if not label and keys and all(x[0] == "~" for x in keys) else _shape(token)
         g.features.append(own)
         if i and start - previous_end <= 2:
             g.chain.append((i - 1, i))
@@ -289,21 +330,24 @@ def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph:
             g.features[i] = own + [47 + f for f in g.features[i - 1] if f < 17]
         for key in _keys(token) if keys is None else keys:
             if key in seen and seen[key] != i:
-                g.skip.append((seen[key], i))
+                (g.weak if key[0] == "~" else g.skip).append((seen[key], i))
             seen[key] = i
         previous_end = end
     g.skip = sorted(set(g.skip))
+    g.weak = sorted(set(g.weak) - set(g.skip))
     return g
 
 
 @dataclass
 class Model:
-    """Log potentials: of a token's label by its features, of neighbours' labels, and of tied mentions' labels."""
+    """Log potentials: of a token's label by its features, of neighbours' labels, of tied mentions' labels, and of those tied by a
+    plain word."""
 
     weights: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
     ready: bool = True
+    weak: np.ndarray = field(default_factory=lambda: np.zeros((len(LABELS), len(LABELS))))
 
 
 def _design(features: list[list[int]]) -> np.ndarray:
@@ -318,7 +362,7 @@ def _forms(span: str, kind: int) -> list[str]:
     """Other ways to write what a base span says, which the patterns miss."""
     if kind == 0:
         name = _name(span.partition("@")[0])
-        return [name, name.upper()] if len(name) > 3 else []
+        return [] if len(name) <= 3 else [name + "@desk", name.upper() + "@desk"] if _plain(name) else [name, name.upper()]
     digits = _digits(span)
     if kind == 1 or len(digits) < 7:
         return []
@@ -326,11 +370,15 @@ def _forms(span: str, kind: int) -> list[str]:
     return [digits[-7:], digits[-8:], digits, " ".join(groups[-3:]), "-".join(groups[-2:])]
 
 
+_AWORD = re.compile(r"(?<![A-Za-z0-9@._%+-])[A-Za-z]{4,20}(?![A-Za-z0-9@._%+-])")
+
+
 def example(text: str, foreign: str = "", nodes: int = 60) -> Graph:
     """The graph of a text for a fit, with mentions of known labels planted behind it.
 
     Each base span of the text is written once more, in a form that the patterns miss, so a tie with a known label leads to it. A
-    base span of another text (`foreign`) is put after them: what meets its keys in this text does so by chance, and is no entity.
+    base span of another text (`foreign`) is put after them, and an address named after a word of this text: what meets their keys in
+    this text does so by chance, and is no entity.
     A mention of the text itself that meets a key of its own spans has no known label. Of long texts a stretch of at most
     `nodes` nodes is taken, the planted ones included.
     """
@@ -343,9 +391,12 @@ def example(text: str, foreign: str = "", nodes: int = 60) -> Graph:
             whole += form + " again"
     own = len(whole)
     whole += "\n" + foreign
+    # The word after a place that the text itself gives, so that all kinds of words come, the common ones most often.
+    if word := _AWORD.search(text, zlib.crc32(text.encode()) % (len(text) + 1)) or _AWORD.search(text):
+        whole += f" or {word.group().lower()}@example.net"
     g = graph(whole, base_spans(whole))
     near: dict[int, list[int]] = {}
-    for i, j in g.skip:
+    for i, j in g.skip + g.weak:
         near.setdefault(i, []).append(j)
         near.setdefault(j, []).append(i)
     for i, label in enumerate(g.label):
@@ -356,7 +407,7 @@ def example(text: str, foreign: str = "", nodes: int = 60) -> Graph:
         g.truth.append(label)
     first = max(0, len(g.label) - nodes)
     inside = lambda edges: [(i - first, j - first) for i, j in edges if i >= first and j >= first]
-    return Graph(g.spans[first:], g.features[first:], g.label[first:], inside(g.chain), inside(g.skip), g.truth[first:])
+    return Graph(g.spans[first:], g.features[first:], g.label[first:], inside(g.chain), inside(g.skip), g.truth[first:], inside(g.weak))
 
 
 def examples(texts: list[str]) -> list[Graph]:
@@ -378,38 +429,39 @@ def fit(graphs: list[Graph], steps: int = 300, ridge: float = 1e-5) -> Model:
     if not (truth > 0).any():
         return Model(np.zeros((WIDTH + 1, n)), np.zeros((n, n)), np.zeros((n, n)), False)
     x = _design([f for g in graphs for f in g.features])
-    left, right, tied = (np.zeros((len(truth), n)) for _ in range(3))  # how many neighbours of each label a node has
+    left, right, tied, weak = (np.zeros((len(truth), n)) for _ in range(4))  # how many neighbours of each label a node has
     at = 0
     for g in graphs:
-        for edges, forth, back in ((g.chain, left, right), (g.skip, tied, tied)):
+        for edges, forth, back in ((g.chain, left, right), (g.skip, tied, tied), (g.weak, weak, weak)):
             for i, j in edges:
                 if truth[at + i] >= 0 and truth[at + j] >= 0:
                     forth[at + j, truth[at + i]] += 1
                     back[at + i, truth[at + j]] += 1
         at += len(g.truth)
     known = truth >= 0
-    x, left, right, tied, y = x[known], left[known], right[known], tied[known], np.eye(n)[truth[known]]
+    x, left, right, tied, weak, y = x[known], left[known], right[known], tied[known], weak[known], np.eye(n)[truth[known]]
     # What kinds have in common about ties, agreement of entities and an entity's tie to none, has weights of its own beside those
     # of each pair of labels, so that a kind with few examples is helped by the others.
     agree, differ = np.diag([0.0, *[1.0] * (n - 1)]), np.zeros((n, n))
     differ[0, 1:] = differ[1:, 0] = 1
-    params = np.zeros((WIDTH + 1 + 2 * n + 1, n))
+    params = np.zeros((WIDTH + 1 + 3 * n + 1, n))
     m, v = np.zeros_like(params), np.zeros_like(params)
-    weights, chain, skip = slice(0, WIDTH + 1), slice(WIDTH + 1, WIDTH + 1 + n), slice(WIDTH + 1 + n, -1)
+    weights, chain, skip, words = slice(0, WIDTH + 1), slice(WIDTH + 1, WIDTH + 1 + n), slice(WIDTH + 1 + n, -1 - n), slice(-1 - n, -1)
+    loose = lambda: params[words] + params[words].T
     ties = lambda: params[skip] + params[skip].T + params[-1, 0] * agree + params[-1, 1] * differ
     for step in range(1, steps + 1):
         c = params[chain]
-        p = x @ params[weights] + left @ c + right @ c.T + tied @ ties()
+        p = x @ params[weights] + left @ c + right @ c.T + tied @ ties() + weak @ loose()
         p = np.exp(p - p.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         miss = y - p
-        tie = tied.T @ miss
+        tie, light = tied.T @ miss, weak.T @ miss
         common = np.zeros((1, n))
         common[0, :2] = (tie * agree).sum(), (tie * differ).sum()
-        grad = np.concatenate([x.T @ miss, left.T @ miss + (right.T @ miss).T, tie + tie.T, common]) / len(x) - ridge * params
+        grad = np.concatenate([x.T @ miss, left.T @ miss + (right.T @ miss).T, tie + tie.T, light + light.T, common]) / len(x) - ridge * params
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         params = params + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model(params[weights], params[chain], ties())
+    return Model(params[weights], params[chain], ties(), weak=loose())
 
 
 def propagate(g: Graph, model: Model, rounds: int = 30, damping: float = 0.3) -> np.ndarray:
@@ -419,9 +471,10 @@ def propagate(g: Graph, model: Model, rounds: int = 30, damping: float = 0.3) ->
     fixed = np.array(g.label)
     local[fixed > 0] = -60
     local[np.flatnonzero(fixed), fixed[fixed > 0]] = 0
-    edges = g.chain + g.skip
+    edges = g.chain + g.skip + g.weak
     if edges:
-        pair = np.concatenate([np.repeat(model.chain[None], len(g.chain), 0), np.repeat(model.skip[None], len(g.skip), 0)])
+        kinds = ((model.chain, g.chain), (model.skip, g.skip), (model.weak, g.weak))
+        pair = np.concatenate([np.repeat(potential[None], len(of), 0) for potential, of in kinds])
         pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
         i, j = np.array(edges).T
         source, target = np.concatenate([i, j]), np.concatenate([j, i])
@@ -449,13 +502,13 @@ def added_spans(text: str, spans: list[tuple[int, int, int]], model: Model, sure
     if not model.ready or not spans:
         return []
     g = graph(text, spans)
-    tied = {i for edge in g.skip for i in edge if not g.label[i]}
+    tied = {i for edge in g.skip + g.weak for i in edge if not g.label[i]}
     if not tied:
         return []
     p = propagate(g, model)
     label = {i: y for i, y in enumerate(g.label) if y}
     near: dict[int, list[int]] = {}
-    for i, j in g.skip:
+    for i, j in g.skip + g.weak:
         near.setdefault(i, []).append(j)
         near.setdefault(j, []).append(i)
     todo, out = list(label), []
@@ -479,7 +532,7 @@ def train(docs: DataFrame, sample: int = 20_000, nodes: int = 60, id_col: str =
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pa.list_(pa.list_(pa.int32()))
-        kinds = {"features": pairs, "label": pa.list_(pa.int32()), "chain": pairs, "skip": pairs, "truth": pa.list_(pa.int32())}
+        kinds = {"features": pairs, "label": pa.list_(pa.int32()), "chain": pairs, "skip": pairs, "truth": pa.list_(pa.int32()), "weak": pairs}
         for batch in batches:
             found = [example(t, f, nodes) for t, f in zip(arrow.texts(batch, "text"), arrow.texts(batch, "foreign"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("h"), *(pa.array([getattr(g, c) for g in found], t) for c, t in kinds.items())], ["h", *kinds])
@@ -488,11 +541,11 @@ def train(docs: DataFrame, sample: int = 20_000, nodes: int = 60, id_col: str =
     h = F.xxhash64("doc_id")
     number = F.lpad(F.pmod(h, F.lit(10**10)).cast("string"), 10, "7")
     foreign = F.concat(F.lit("+1 "), number, F.lit(" or user"), F.substring(number, 1, 3), F.lit("@example.com"))
-    schema = "h bigint, features array<array<int>>, label array<int>, chain array<array<int>>, skip array<array<int>>, truth array<int>"
+    schema = "h bigint, features array<array<int>>, label array<int>, chain array<array<int>>, skip array<array<int>>, truth array<int>, weak array<array<int>>"
     found = rows.join(F.broadcast(ids.distinct()), "doc_id").select(h.alias("h"), "text", foreign.alias("foreign")).mapInArrow(arrow.tidy(extract), schema)
     # In a fixed order, for sums of floats depend on it.
-    kept = found.orderBy("h", "label", "features", "chain", "skip", "truth").limit(sample).toArrow().to_pylist()
-    return fit([Graph([], r["features"], r["label"], r["chain"], r["skip"], r["truth"]) for r in kept])
+    kept = found.orderBy("h", "label", "features", "chain", "skip", "truth", "weak").limit(sample).toArrow().to_pylist()
+    return fit([Graph([], r["features"], r["label"], r["chain"], r["skip"], r["truth"], r["weak"]) for r in kept])
 
 
 def _line(spans: list[tuple[int, int, int]]) -> str:
