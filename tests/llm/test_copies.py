@@ -206,6 +206,11 @@ def test_topk(spark):
         got = topk.search(table, **options).collect()
         assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
     assert topk.search(table.limit(0)).collect() == []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a shard comes in several batches
+    try:
+        assert {tuple(r) for r in topk.search(table, shard_rows=100, tile_rows=5).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     few = topk.search(table.filter("vec_id IN (0, 3)")).collect()
     assert len(few) == 1
     big = spark.createDataFrame([(0, [1e8, 1.0]), (1, [1e6, 0.0])], "vec_id bigint, embedding array<double>")
@@ -221,6 +226,16 @@ def test_topk(spark):
     assert got == sorted(one + one + two)
 
 
+def test_topk_grid(spark):
+    rows = spark.range(1000).selectExpr("id AS vec_id", "array(1.0D) AS v").unionAll(spark.range(500).selectExpr("50L AS vec_id", "array(2.0D) AS v"))
+    shards, groups, tiles = topk.grid(1500, 520, 50, 10, 100)
+    assert (shards, groups, tiles) == (150, 9, 6)
+    cells = topk.dealt(rows, 50, shards, groups, tiles)
+    assert cells.count() == 1500 * tiles + 520 * groups
+    assert cells.filter("number IS NOT NULL").groupBy("cell").count().agg({"count": "max"}).first()[0] < 150  # a hot id fills no tile
+    assert topk.grid(10**9, 2 * 10**7) == (61036, 954, 306) and topk.grid(100, 2) == (1, 1, 1) and topk.grid(0, 0) == (1, 1, 1)
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for t in range(150):

@@ -253,13 +253,15 @@ def test_propagation_agrees_with_enumeration():
     n = len(pii.LABELS)
     model = pii.Model(rng.normal(size=(pii.WIDTH + 1, n)), rng.normal(size=(n, n)), np.eye(n))
     model.skip = model.skip + model.skip.T
-    g = pii.Graph([(0, 1)] * 3, [[1], [2, 5], [9]], [0, 0, 2], [(0, 1)], [(1, 2)])
+    model.weak = rng.normal(size=(n, n))
+    model.weak = model.weak + model.weak.T
+    g = pii.Graph([(0, 1)] * 4, [[1], [2, 5], [9], [64]], [0, 0, 2, 0], [(0, 1)], [(1, 2)], weak=[(2, 3)])
     local = pii._design(g.features) @ model.weights
-    want = np.zeros((3, n))
-    for y in itertools.product(range(n), repeat=3):
+    want = np.zeros((4, n))
+    for y in itertools.product(range(n), repeat=4):
         if y[2] == 2:
-            p = np.exp(local[0, y[0]] + local[1, y[1]] + model.chain[y[0], y[1]] + model.skip[y[1], y[2]])
-            for i in range(3):
+            p = np.exp(local[0, y[0]] + local[1, y[1]] + local[3, y[3]] + model.chain[y[0], y[1]] + model.skip[y[1], y[2]] + model.weak[y[2], y[3]])
+            for i in range(4):
                 want[i, y[i]] += p
     want /= want.sum(axis=1, keepdims=True)
     assert np.allclose(pii.propagate(g, model), want, atol=1e-4)
