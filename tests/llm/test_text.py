@@ -46,6 +46,17 @@ def test_chunked_bpe(spark, docs, texts, library):
     for options in ({}, {"mean": 64}, {"mean": 64, "chunk_bytes": 20_000, "group_bytes": 100_000}):
         out = chunks.digests(chunks.encode(docs, decoded=True, **options))
         assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()) == want
+    for options in ({}, {"part_bytes": 3_000, "mean": 64, "chunk_bytes": 20_000}):
+        out = chunks.encoded_digests(docs, **options)
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        rows = out.collect()
+        assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == want
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in docs.collect())
+    out = chunks.digests(chunks.encode(docs, decoded=True, part_bytes=3_000))
+    assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()) == want
+    out = chunks.digests(chunks.decode(chunks.encode(docs, part_bytes=20_000)))
+    assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()) == want
+    assert chunks.encoded_digests(docs.limit(0)).collect() == []
     out = chunks.digests(chunks.decode(chunks.encode(docs)))
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()) == want
     assert chunks.encode(docs.limit(0), decoded=True).collect() == []

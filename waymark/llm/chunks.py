@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +18,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from waymark.llm import arrow, tokens
 
 WINDOW = 16
+_PART = ["doc_id", "text", "row", "part", "last"]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: A character that is surely no white space, and a space or newline after it: between them pre-tokens part whatever stands around.
+#: White space beyond ASCII begins with the bytes C2, E1, E2, or is E3 80 80.
+_SURE = re.compile(rb"(?:[!-~]|[\xC3-\xDF][\x80-\xBF]|(?:[\xE0\xE4-\xEF][\x80-\xBF]|\xE3[\x81-\xBF])[\x80-\xBF]|\xE3\x80[\x81-\xBF]|[\xF0-\xF7][\x80-\xBF]{3})[ \n]")
 
 
 def cut_points(raw: bytes, mean: int = 1024) -> list[int]:
@@ -47,6 +54,36 @@ def cut_points(raw: bytes, mean: int = 1024) -> list[int]:
     return out
 
 
+def split(raw: memoryview | bytes, most: int) -> Iterator[memoryview | bytes]:
+    """A text's bytes in parts of `most` bytes or a little more, whose ids in a row are those of the text: they part at sure breaks
+    only. Where none comes, a part is as long as it must be."""
+    start = 0
+    while len(raw) - start > most and (found := _SURE.search(raw, start + most - 1)):
+        yield raw[start : found.end() - 1]
+        start = found.end() - 1
+    yield raw[start:]
+
+
+def parted(batch: pa.RecordBatch, first: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) with texts of more than `most` bytes in parts, a part a batch: also the row's number from `first` on, the
+    part's from 0 on, and whether it is the last."""
+    sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+    start = 0
+    for end in [*np.flatnonzero(sizes > most).tolist(), batch.num_rows]:
+        if end > start:
+            n = end - start
+            some = [*batch.slice(start, n).columns, pa.array(np.arange(first + start, first + end)), pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, bool))]
+            yield pa.RecordBatch.from_arrays(some, _PART)
+        if end < batch.num_rows:
+            raw = memoryview(batch.column("text")[end].as_buffer())
+            done = 0
+            for k, part in enumerate(split(raw, most)):
+                done += len(part)
+                some = [pa.array([str(part, "utf-8")]), pa.array([first + end]), pa.array([k], pa.int32()), pa.array([done == len(raw)])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(end, 1), *some], _PART)
+        start = end + 1
+
+
 class Joiner:
     """Ids of whole texts from those of their chunks.
 
@@ -138,7 +175,7 @@ class Slice:
 
     def __init__(self, data: bytes, mean: int):
         table = pa.ipc.open_stream(data).read_all()
-        self.doc_id, known = table.column("doc_id"), {}
+        self.rows, known = table.drop_columns(["text"]), {}
         self.order = []
         for text in table.column("text").to_pylist():
             raw = (text or "").encode()
@@ -169,24 +206,31 @@ def _number(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[fresh], of
 
 
-def _assembled(docs: DataFrame, model: str, ranks: str, mean: int, chunk_bytes: int, group_bytes: int, finish, schema: str) -> DataFrame:
+def _assembled(
+    docs: DataFrame, model: str, ranks: str, mean: int, chunk_bytes: int, group_bytes: int, part_bytes: int, finish: Callable, join: Callable, schema: str
+) -> DataFrame:
     """Ids of all texts (doc_id, text) to `finish`, each chunk that several slices of texts have encoded in one of them only.
 
-    Texts are shuffled once, in compressed slices of about 4 MB. A slice sends 16 bytes for each of its chunks to the bucket of
+    Texts of more than part_bytes go in parts, rows of their own on the whole way. `finish` makes a table of parts (row, part, last
+    and what `schema` names), and `join` takes them, in the order of the text, from stream to stream, where any text has more than
+    one. Texts are shuffled once, in compressed slices of about 4 MB. A slice sends 16 bytes for each of its chunks to the bucket of
     that hash; where slices meet, the first one is to encode the chunk, and its ids go by way of the bucket to the others. What no
     other slice has is encoded in its place. However many texts hold a chunk, a bucket hears of it once a slice, and so that this
     is bounded too, slices of more than `group_bytes` of texts fall into groups with buckets of their own.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = F.octet_length("text")
+    total, longest = (x or 0 for x in docs.agg(F.sum(size), F.max(size)).first())
     groups = 1 + total // group_bytes
     each = max(8, total // groups // chunk_bytes)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, count = TaskContext.get().partitionId() << 32, 0
+        place, count, rows = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            for part in arrow.slices(batch, "text", 4_000_000):
-                yield pa.RecordBatch.from_arrays([pa.array([place + count], pa.int64()), pa.array([Slice.data(part)], pa.binary())], ["slice", "data"])
-                count += 1
+            for some in parted(batch, place + rows, part_bytes):
+                for part in arrow.slices(some, "text", 4_000_000):
+                    yield pa.RecordBatch.from_arrays([pa.array([place + count], pa.int64()), pa.array([Slice.data(part)], pa.binary())], ["slice", "data"])
+                    count += 1
+            rows += batch.num_rows
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,18 +308,22 @@ def _assembled(docs: DataFrame, model: str, ranks: str, mean: int, chunk_bytes:
             left = [k for k, x in enumerate(ids) if x is None]
             for k, x in zip(left, enc.encode_many([own.chunks[k].decode() for k in left]), strict=True):
                 ids[k] = np.frombuffer(x, "<u4")
-            out.append(finish(enc, own.doc_id, Joiner(enc).join(own.order, ids, own.chunks)))
+            out.append(finish(enc, own.rows, Joiner(enc).join(own.order, ids, own.chunks)))
         arrow.release()
-        return pa.concat_tables(out) if out else finish(enc, pa.array([], id_type), [])
+        return pa.concat_tables(out) if out else finish(enc, nothing, [])
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    nothing = pa.schema([("doc_id", id_type), ("row", pa.int64()), ("part", pa.int32()), ("last", pa.bool_())]).empty_table()
     slices = docs.mapInArrow(arrow.tidy(pack), "slice bigint, data binary").repartition("slice")
     asked = slices.mapInArrow(arrow.tidy(ask), "bucket bigint, slice bigint, at binary, keys binary")
     told = asked.groupBy("bucket").applyInArrow(settle, "bucket bigint, slice bigint, at binary, keys binary, own binary")
     own = slices.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(encode_own, "bucket bigint, keys binary, sizes binary, ids binary")
     met = told.drop("own").unionByName(own, allowMissingColumns=True)
     sent = met.groupBy("bucket").applyInArrow(deliver, "slice bigint, at binary, sizes binary, ids binary")
-    return slices.groupBy("slice").cogroup(sent.groupBy("slice")).applyInArrow(assemble, schema)
+    made = slices.groupBy("slice").cogroup(sent.groupBy("slice")).applyInArrow(assemble, f"{schema}, row bigint, part int, last boolean")
+    if longest > part_bytes:
+        made = made.repartition("row").sortWithinPartitions("row", "part").mapInArrow(arrow.tidy(join), made.schema)
+    return made.drop("row", "part", "last")
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:
@@ -284,28 +332,116 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole texts from parts in order; one that is a text by itself is left as it is."""
+    held: list[tuple] = []
+    for batch in batches:
+        texts = batch.column("text") if "text" in batch.schema.names else None
+        ends, done = np.flatnonzero(batch.column("last").to_numpy(zero_copy_only=False)).tolist(), 0
+        for end in [*ends, batch.num_rows]:
+            for k in range(done, min(end + 1, batch.num_rows)):
+                held.append((batch.column("ids")[k].values, None if texts is None else texts[k].as_py()))
+            if end < batch.num_rows:
+                row = {c: batch.column(c).slice(end, 1) for c in batch.schema.names}
+                if len(held) > 1:
+                    row["ids"] = _lists([np.concatenate([x.to_numpy() for x, _ in held])])
+                    if texts is not None:
+                        row["text"] = pa.array(["".join(t for _, t in held)])
+                yield pa.RecordBatch.from_pydict(row, batch.schema)
+                held = []
+            done = end + 1
+
+
 def encode(
     docs: DataFrame, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", mean: int = 1024, decoded: bool = False,
-    chunk_bytes: int = 16_000_000, group_bytes: int = 32_000_000_000, id_col: str = "doc_id", text_col: str = "text",
+    chunk_bytes: int = 16_000_000, group_bytes: int = 32_000_000_000, part_bytes: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id and ids (array<int>) of every text, as the tokenizers library gives them without special tokens; with `decoded`
     also text, decoded from them as decode() does, in the same step.
 
     Texts are cut where a rolling hash says so, a chunk is encoded once, wherever its texts lie (once in each `group_bytes` of
-    texts), and joins are encoded anew until they agree with the chunks. A null text counts as empty and has no
-    ids. Repeated and null ids are texts like others, texts may be of any length, other columns are not read, and no rows give none.
+    texts), and joins are encoded anew until they agree with the chunks. A text of more than `part_bytes` is worked through in
+    parts, between places where pre-tokens part in any case (before a space or newline after another character); only a stretch
+    without such a place must go as one. A null text counts as empty and has no ids. Repeated and null ids are texts like
+    others, other columns are not read, and no rows give none.
     """
     kind = dict(docs.dtypes)[id_col]
 
-    def finish(enc: tokens.Encoder, doc_id: pa.ChunkedArray, ids: list[np.ndarray]) -> pa.Table:
-        columns = {"doc_id": doc_id, "ids": _lists(ids)}
+    def finish(enc: tokens.Encoder, rows: pa.Table, ids: list[np.ndarray]) -> pa.Table:
+        columns = {"doc_id": rows.column("doc_id"), "ids": _lists(ids)}
         if decoded:
             columns["text"] = pa.array(map(enc.decode, ids), pa.string())
-        return pa.table(columns)
+        return pa.table(columns | {c: rows.column(c) for c in ("row", "part", "last")})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {kind}, ids array<int>" + ", text string" * decoded
-    return _assembled(rows, model, ranks, mean, chunk_bytes, group_bytes, finish, schema)
+    return _assembled(rows, model, ranks, mean, chunk_bytes, group_bytes, part_bytes, finish, _joined, schema)
+
+
+class Digest:
+    """Count of ids, hash of the decimal ids joined by commas, and hash of the decoded text, part by part."""
+
+    def __init__(self, enc: tokens.Encoder):
+        self.enc, self.n, self.ids, self.text = enc, 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, ids: np.ndarray) -> Digest:
+        if len(ids):
+            said = ",".join(map(_decimals(len(self.enc.bytes)).__getitem__, ids.tolist()))
+            self.ids.update(("," + said if self.n else said).encode())
+            self.text.update(self.enc.decode(ids).encode())
+            self.n += len(ids)
+        return self
+
+    def row(self) -> tuple[int, str, str]:
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
+@functools.lru_cache(2)
+def _decimals(n: int) -> list[str]:
+    return list(map(str, range(n)))
+
+
+def encoded_digests(
+    docs: DataFrame, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", mean: int = 1024, chunk_bytes: int = 16_000_000,
+    group_bytes: int = 32_000_000_000, part_bytes: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The rows of digests(encode(docs, decoded=True)), made where a text's ids are put together.
+
+    So a text that goes in parts is hashed part by part, and neither its ids nor what they decode to ever stand in one row. Nulls,
+    ids and other columns as in `encode`.
+    """
+    kind = dict(docs.dtypes)[id_col]
+
+    def finish(enc: tokens.Encoder, rows: pa.Table, ids: list[np.ndarray]) -> pa.Table:
+        whole = pc.and_(pc.equal(rows.column("part"), 0), rows.column("last")).to_pylist()
+        told = [Digest(enc).add(x).row() if w else (0, None, None) for x, w in zip(ids, whole, strict=True)]
+        left = pa.array([None if w else x.astype("<u4").tobytes() for x, w in zip(ids, whole, strict=True)], pa.binary())
+        made = _rows(told, "n_tokens ids_sha256 decoded_sha256", [pa.int64(), pa.string(), pa.string()])
+        made = made.add_column(0, "doc_id", rows.column("doc_id")).append_column("_ids", left)
+        for c in ("row", "part", "last"):
+            made = made.append_column(c, rows.column(c))
+        return made
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, state = tokens.encoder(model, ranks), None
+        for batch in batches:
+            told: list[tuple] = []
+            for n, a, b, ids, last in zip(*(batch.column(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256", "_ids", "last")), strict=True):
+                if not ids.is_valid:
+                    told.append((n.as_py(), a.as_py(), b.as_py()))
+                    continue
+                state = (state or Digest(enc)).add(np.frombuffer(ids.as_buffer(), "<u4"))
+                if last.as_py():
+                    told.append(state.row())
+                    state = None
+            ends = batch.filter(batch.column("last"))
+            made = dict(zip(ends.schema.names, ends.columns, strict=True)) | dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), zip(*told, strict=True), strict=False))
+            made["_ids"] = pa.nulls(ends.num_rows, pa.binary())
+            yield pa.RecordBatch.from_pydict(made, batch.schema)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, _ids binary"
+    return _assembled(rows, model, ranks, mean, chunk_bytes, group_bytes, part_bytes, finish, join, schema).drop("_ids")
 
 
 def decode(encoded: DataFrame, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:

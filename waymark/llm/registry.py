@@ -63,7 +63,7 @@ def op1_license_windows(spark, d):
 @query()
 def op3_chunked_bpe(spark, d):
     """No SQL: a tokenizer. Tested against the library."""
-    return chunks.digests(chunks.encode(table(spark, d, "documents"), decoded=True))
+    return chunks.encoded_digests(table(spark, d, "documents"))
 
 
 @query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
